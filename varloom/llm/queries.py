@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing
+from . import common, exact_dedup, mixing, secrets, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,73 @@ runs AS (SELECT doc_id, size, source_size, target, whole, floor(target - whole *
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, budget - start)))::BIGINT AS taken FROM runs"""
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op10_mixing": OP10}
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, least_good=0.5, z=1.645)
+
+
+def _op4_level(name: str, rows: str, mean: str) -> str:
+    """A level of the shrinkage: rows of the table with its prior mean m, then its strength k."""
+    return f"""{name}m AS MATERIALIZED (SELECT t.*, {mean} AS m FROM {rows}),
+{name}k AS MATERIALIZED (SELECT CASE WHEN coalesce(sum(n * (n - 1) * m * (1 - m)), 0) = 0 THEN 2.0
+   ELSE round(1 / least(greatest((sum((good - n * m) * (good - n * m)) - sum(n * m * (1 - m))) / sum(n * (n - 1) * m * (1 - m)), 0.001), 0.9) - 1, 3) END::DOUBLE AS k FROM {name}m),
+{name} AS MATERIALIZED (SELECT t.*, good + k * m AS a, n - good + k * (1 - m) AS b, (good + k * m) / (good + k * m + n - good + k * (1 - m)) AS mean FROM {name}m t, {name}k)"""
+
+
+_RULE_FITS = " ".join(
+    f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{v} {r}'"
+    for v, r in sorted(URL_RULES, key=lambda x: -len(x[1]))
+)
+_LONG = ", ".join(f"'{x}'" for x in url_filters.LONG_SUFFIXES)
+
+OP4 = f"""
+WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hit AS (SELECT *, CASE {_RULE_FITS} END AS hit FROM urls),
+h AS (SELECT host, count(*) AS pages, count(hit) AS n, count(*) FILTER (WHERE starts_with(hit, 'allow')) AS good, string_split(host, '.') AS p FROM hit GROUP BY host),
+h2 AS (SELECT host, n::DOUBLE AS n, good::DOUBLE AS good, n AS n_int, good AS good_int,
+  CASE WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+  CASE WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM h),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h2 GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d0 GROUP BY ALL),
+{_op4_level('sl', 's0 t', "(SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s0)")},
+{_op4_level('dl', 'd0 t JOIN sl USING (suffix)', 'sl.mean').replace('SELECT t.*, sl.mean', 'SELECT t.suffix, t.domain, t.n, t.good, sl.mean')},
+{_op4_level('hl', 'h2 t JOIN dl USING (suffix, domain)', 'dl.mean').replace('SELECT t.*, dl.mean', 'SELECT t.host, t.n, t.good, t.n_int, t.good_int, dl.mean')},
+rep AS (SELECT host, n_int, good_int, mean + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper FROM hl)
+SELECT page_id, host, path, substr(hit, 7) AS rule, coalesce(substr(hit, 1, 5), CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+ good_int AS host_good, n_int AS host_labelled FROM hit JOIN rep USING (host)"""
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.BlobLedger(spark, common.scratch_path(spark, "ledger"))
+    ledger.scan(docs)
+    out = ledger.report(docs, ["doc_id"])
+    base = F.filter("found", lambda x: x["kind"] < len(secrets.BASE_RULES))
+    counts = [F.size(F.filter(F.transform("found", lambda x: x["kind"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE_RULES)]
+    return out.select("doc_id", *counts, F.sha2(secrets.span_text(base, secrets.RULES), 256).alias("base_sha256"), secrets.span_text(F.col("found"), secrets.RULES).alias("spans"))
+
+
+def _op7_kind(k: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT doc_id, row_no, {k} AS kind, '{rule.kind}' AS name, unnest(string_split_regex(text, '{pattern}')) AS gap, unnest(regexp_extract_all(text, '{pattern}', 0)) AS whole,
+  unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS tested, generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS pos, {rule.least} AS least
+  FROM docs WHERE regexp_matches(text, '{pattern}')"""
+
+
+OP7 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row_no, coalesce(text, '') AS text FROM documents),
+pieces AS ({" UNION ALL ".join(_op7_kind(k, r) for k, r in enumerate(secrets.RULES))}),
+placed AS (SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY row_no, kind ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS stop
+  FROM pieces WHERE whole IS NOT NULL),
+kept AS (SELECT *, stop - length(whole) AS start FROM placed WHERE length(tested) >= least),
+summed AS (SELECT row_no, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY row_no)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN summed USING (row_no)"""
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_url_filters": op4_url_filters, "op7_secret_scans": op7_secret_scans, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op10_mixing": OP10}
