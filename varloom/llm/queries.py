@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, secrets, url_filters
+from . import common, exact_dedup, mixing, ogg_media, secrets, url_filters, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,5 +117,24 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN summed USING (row_no)"""
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_url_filters": op4_url_filters, "op7_secret_scans": op7_secret_scans, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op10_mixing": OP10}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "packages")
+    zip_warc.write_packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return zip_warc.read_packages(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p LEFT JOIN t USING (payload_digest)"""
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "media")
+    ogg_media.store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return ogg_media.read_features(spark.read.parquet(path))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_url_filters, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10}
