@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, mixing, ogg_media, packing, quality, secrets, url_filters, zip_warc
+from . import common, exact_dedup, line_dedup, mixing, ogg_media, packing, quality, secrets, url_filters, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,12 @@ SELECT page_id, host, path, substr(hit, 7) AS rule, coalesce(substr(hit, 1, 5),
  good_int AS host_good, n_int AS host_labelled FROM hit JOIN rep USING (host)"""
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    return out.select("doc_id", spans.alias("removed_lines"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.BlobLedger(spark, common.scratch_path(spark, "ledger"))
@@ -144,5 +150,5 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.read_features(spark.read.parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_url_filters, op5_packing, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
 ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10}
