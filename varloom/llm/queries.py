@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, line_dedup, mixing, ogg_media, packing, quality, secrets, url_filters, zip_warc
+from . import common, exact_dedup, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ runs AS (SELECT doc_id, size, source_size, target, whole, floor(target - whole *
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, budget - start)))::BIGINT AS taken FROM runs"""
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.classes(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.select("doc_id", "class_id", "class_size", "texts", "links", kept.alias("kept"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -150,5 +156,5 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.read_features(spark.read.parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
 ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10}
