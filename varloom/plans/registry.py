@@ -1,4 +1,5 @@
 """All queries of the library outside of its subpackage for training text."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from varloom.plans import base, review  # noqa: F401
+
+QUERIES, ORACLE_SQL = base.QUERIES, base.ORACLE_SQL
