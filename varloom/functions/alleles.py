@@ -33,38 +33,46 @@ def _common(a: Column, b: Column, most: Column, at_end: bool) -> Column:
     return F.array_max(F.filter(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), lambda k: cut(a, k) == cut(b, k)))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: it becomes a lambda's variable, so that expressions stay small when it is used often."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _trimmed(ref: Column, alt: Column, keep: int) -> Column:
+    """struct(ref, alt, prefix): without the shared suffix, then without the shared prefix of length `prefix`; `keep` bases stay of both."""
+
+    def shortest(u: Column) -> Column:
+        return F.least(F.length(u["ref"]), F.length(u["alt"])) - keep
+
+    def without_suffix(u: Column) -> Column:
+        return let(_common(u["ref"], u["alt"], shortest(u), at_end=True), lambda n: F.struct(F.substring(u["ref"], F.lit(1), F.length(u["ref"]) - n).alias("ref"), F.substring(u["alt"], F.lit(1), F.length(u["alt"]) - n).alias("alt")))
+
+    def without_prefix(u: Column) -> Column:
+        return let(_common(u["ref"], u["alt"], shortest(u), at_end=False), lambda n: F.struct(F.substring(u["ref"], n + 1, F.length(u["ref"])).alias("ref"), F.substring(u["alt"], n + 1, F.length(u["alt"])).alias("alt"), n.alias("prefix")))
+
+    return let(let(F.struct(F.upper(ref).alias("ref"), F.upper(alt).alias("alt")), without_suffix), without_prefix)
+
+
 def minimal(pos: Column, ref: Column, alt: Column) -> Column:
     """struct(pos, ref, alt): the shared suffix goes first, then the shared prefix, one anchor base stays.
 
-    Equal or non-sequence alleles are only upper-cased.
+    Equal or non-sequence alleles are only upper-cased, as are the many that are single bases and minimal already.
     """
-    ref, alt = F.upper(ref), F.upper(alt)
-    suffix = _common(ref, alt, F.least(F.length(ref), F.length(alt)) - 1, at_end=True)
-    r, a = F.substring(ref, F.lit(1), F.length(ref) - suffix), F.substring(alt, F.lit(1), F.length(alt) - suffix)
-    prefix = _common(r, a, F.least(F.length(r), F.length(a)) - 1, at_end=False)
-    short = F.struct((pos + prefix).cast("long").alias("pos"), F.substring(r, prefix + 1, F.length(r)).alias("ref"), F.substring(a, prefix + 1, F.length(a)).alias("alt"))
-    plain = F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"))
-    # most alleles are single bases, which are minimal
-    single = (F.length(ref) == 1) | (F.length(alt) == 1)
-    changes = ~single & is_sequence(ref) & is_sequence(alt) & (ref != alt)
-    one_long = is_sequence(ref) & is_sequence(alt) & (ref != alt)
-    return F.when(changes & one_long, short).otherwise(plain)
+    plain = F.struct(pos.cast("long").alias("pos"), F.upper(ref).alias("ref"), F.upper(alt).alias("alt"))
+    short = let(_trimmed(ref, alt, 1), lambda u: F.struct((pos + u["prefix"]).cast("long").alias("pos"), u["ref"].alias("ref"), u["alt"].alias("alt")))
+    changes = (F.length(ref) > 1) & (F.length(alt) > 1) & is_sequence(ref) & is_sequence(alt) & (F.upper(ref) != F.upper(alt))
+    return F.when(changes, short).otherwise(plain)
 
 
 def variant_key(chrom: Column, pos: Column, ref: Column, alt: Column) -> Column:
     """CHROM:POS:REF:ALT of the minimal allele."""
-    m = minimal(pos, ref, alt)
-    return F.concat_ws(":", chromosome(chrom), m["pos"].cast("string"), m["ref"], m["alt"])
+    return let(minimal(pos, ref, alt), lambda m: F.concat_ws(":", chromosome(chrom), m["pos"].cast("string"), m["ref"], m["alt"]))
 
 
 def vep_alt(ref: Column, alt: Column) -> Column:
     """The ALT as an annotator writes it in Allele: trimmed of all that is shared, - if nothing is left."""
-    r, a = F.upper(ref), F.upper(alt)
-    suffix = _common(r, a, F.least(F.length(r), F.length(a)), at_end=True)
-    r2, a2 = F.substring(r, F.lit(1), F.length(r) - suffix), F.substring(a, F.lit(1), F.length(a) - suffix)
-    prefix = _common(r2, a2, F.least(F.length(r2), F.length(a2)), at_end=False)
-    left = F.substring(a2, prefix + 1, F.length(a2))
-    return F.when(is_sequence(ref) & is_sequence(alt), F.when(left == "", "-").otherwise(left)).otherwise(alt)
+    left = let(_trimmed(ref, alt, 0), lambda u: F.when(u["alt"] == "", "-").otherwise(u["alt"]))
+    return F.when(is_sequence(ref) & is_sequence(alt), left).otherwise(alt)
 
 
 def single_copy(chrom: Column, pos: Column) -> Column:
