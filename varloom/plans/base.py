@@ -40,7 +40,8 @@ def query(name: str, sql: str | None = None):
 def oracle(views: tuple[str, ...] | list[str], select: str, *ctes: str) -> str:
     """A statement that starts with fixture views and further CTEs."""
     parts = [fixtures.ctes(*views)] if views else []
-    return "WITH " + ", ".join([*parts, *[c.strip() for c in ctes]]) + "\n" + select.strip()
+    named = [*parts, *[c.strip() for c in ctes]]
+    return ("WITH " + ", ".join(named) + "\n" if named else "") + select.strip()
 
 
 class Views:
