@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions.scratch import shared_root
+
 #: Classes by code, and the family of each.
 CLASSES = ("inactive", "PLS", "pELS", "dELS", "CA-H3K4me3", "CA-CTCF", "CA-TF", "CA", "TF")
 FAMILIES = ("", "promoter", "enhancer", "enhancer", "h3k4me3", "ctcf", "tf", "accessibility", "tf")
@@ -182,6 +184,7 @@ def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Parents that aren't terms themselves take part as ancestors. Pairs are checkpointed each round.
     """
+    shared_root(edges.sparkSession)  # sees to a checkpoint folder
     pairs = edges.select("term", F.col("parent").alias("ancestor")).distinct()
     n = -1
     for _ in range(most_rounds):
