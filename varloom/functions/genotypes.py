@@ -16,23 +16,33 @@ def called_alleles(gt: Column) -> Column:
 
 
 def copies(gt: Column, allele: Column) -> Column:
-    return F.size(F.filter(called_alleles(gt), lambda x: x == allele))
+    """How many tokens are the allele, by string functions: as quick as code generation gets on hundreds of millions of calls."""
+    apart = F.concat(F.lit("/"), F.replace(F.translate(F.coalesce(gt, F.lit("./.")), "|", "/"), F.lit("/"), F.lit("//")), F.lit("/"))
+    token = F.concat(F.lit("/"), allele.cast("string"), F.lit("/"))
+    return ((F.length(apart) - F.length(F.replace(apart, token, F.lit("")))) / F.length(token)).cast("int")
+
+
+def ploidy(gt: Column) -> Column:
+    whole = F.coalesce(gt, F.lit("./."))
+    return F.length(whole) - F.length(F.translate(whole, "/|", "")) + 1
+
+
+def fully_called(gt: Column) -> Column:
+    return F.coalesce(gt.rlike(r"^[0-9]+([|/][0-9]+)*$"), F.lit(False))
 
 
 def zygosity(gt: Column, allele: Column) -> Column:
     """Of the ALT with number `allele`: null for a non-carrier.
 
-    One token: hemizygous; a token without a call: half_called; all called copies: homozygous; one copy: heterozygous.
+    One token: hemizygous; a token without a call: half_called; all copies: homozygous; one copy: heterozygous.
     """
-    n, called, tokens = copies(gt, allele), F.size(called_alleles(gt)), F.size(allele_tokens(gt))
-    return F.when(n == 0, F.lit(None).cast("string")).when(tokens == 1, "hemizygous").when(called < tokens, "half_called").when(n == called, "homozygous").when(n == 1, "heterozygous").otherwise("non_reference")
+    n = copies(gt, allele)
+    return F.when(n == 0, F.lit(None).cast("string")).when(ploidy(gt) == 1, "hemizygous").when(~fully_called(gt), "half_called").when(n == ploidy(gt), "homozygous").when(n == 1, "heterozygous").otherwise("non_reference")
 
 
 def review_class(gt: Column) -> Column:
     """The review's own classes, which leave uncalled, half-called and reference genotypes as other."""
-    tokens = allele_tokens(gt)
-    full = F.size(called_alleles(gt)) == F.size(tokens)
-    return F.when(~full | F.forall(tokens, lambda x: x == "0"), "other").when(F.size(tokens) == 1, "hemizygous").when(F.size(F.array_distinct(tokens)) == 1, "homozygous_alt").otherwise("heterozygous")
+    return F.when(~fully_called(gt) | is_hom_ref(gt), "other").when(ploidy(gt) == 1, "hemizygous").when(gt.rlike(r"^([0-9]+)([|/]\1)+$"), "homozygous_alt").otherwise("heterozygous")
 
 
 def is_phased(gt: Column) -> Column:
@@ -41,13 +51,11 @@ def is_phased(gt: Column) -> Column:
 
 def is_heterozygous(gt: Column) -> Column:
     """Two different called alleles, 1/2 among them."""
-    tokens = F.split(gt, "[|/]")
-    return (F.size(tokens) == 2) & (tokens[0] != tokens[1]) & F.forall(tokens, lambda x: x.rlike("^[0-9]+$"))
+    return F.coalesce(gt.rlike(r"^([0-9]+)[|/](?!\1$)[0-9]+$"), F.lit(False))
 
 
 def is_hom_ref(gt: Column) -> Column:
-    called = called_alleles(gt)
-    return F.coalesce((F.size(called) > 0) & (F.size(called) == F.size(allele_tokens(gt))) & F.forall(called, lambda x: x == 0), F.lit(False))
+    return F.coalesce(gt.rlike(r"^0([|/]0)*$"), F.lit(False))
 
 
 def call_fields(fmt: Column, sample: Column) -> Column:

@@ -59,7 +59,7 @@ def qc_failures(qc: CallQc = STANDARD, ft: str | None = None) -> Column:
     gt, balance = F.col("gt"), F.col("allele_balance")
     klass = G.review_class(gt)
     only = lambda kind, checks: [F.when(kind, c) for c in checks]
-    half = F.when((F.size(G.called_alleles(gt)) < F.size(G.allele_tokens(gt))) & F.exists(G.called_alleles(gt), lambda a: a > 0), "genotype partially called")
+    half = F.when(~G.fully_called(gt) & gt.rlike(r"(^|[|/])0*[1-9][0-9]*([|/]|$)"), "genotype partially called")
     checks = [*_low("DP", F.col("dp"), qc.min_dp), *_low("GQ", F.col("gq"), qc.min_gq), *_low("alternate depth", F.col("ad_alt"), qc.min_alt_depth), *_high("DP", F.col("dp"), qc.max_dp), half]
     checks += only(klass == "heterozygous", [*_low("reference depth", F.col("ad_ref"), qc.min_het_ref_depth), *_low("allele balance", balance, qc.het_ab_min), *_high("allele balance", balance, qc.het_ab_max)])
     checks += only(klass.isin("homozygous_alt", "hemizygous"), _low("alternate allele balance", balance, qc.hom_ab_min))
@@ -92,7 +92,7 @@ def compound_candidates(calls: DataFrame, genes: DataFrame) -> DataFrame:
 
 def best_evidence(calls: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row for each of keys: called calls before uncalled, then higher GQ, then the first by `order`."""
-    called = F.size(G.called_alleles(F.col("gt"))) > 0
+    called = F.col("gt").rlike("[0-9]")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(called.desc(), F.col("gq").desc_nulls_last(), order))
     return calls.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 

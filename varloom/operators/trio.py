@@ -56,7 +56,7 @@ def trios(people: DataFrame, samples: DataFrame | None = None) -> tuple[DataFram
 def evidence(calls: DataFrame, allele: int = 1) -> DataFrame:
     """sample_id, site_id, ev: struct of what the assessment needs of a call."""
     a, gt = F.lit(allele), F.col("gt")
-    called = F.size(G.called_alleles(gt)) == F.size(G.allele_tokens(gt))
+    called = G.fully_called(gt)
     haplotype = F.when(G.is_phased(gt), F.array_position(G.allele_tokens(gt), a.cast("string")).cast("int") - 1)
     ev = F.struct("gt", called.alias("called"), (G.copies(gt, a) > 0).alias("carrier"), "dp", "gq", "ad_alt", (F.col("dp") - F.col("ad_alt")).alias("ad_ref"), G.allele_balance(F.col("ad_alt"), F.col("dp")).alias("ab"), G.is_phased(gt).alias("phased"), haplotype.alias("haplotype"), (F.col("phase_set") if "phase_set" in calls.columns else F.lit(None).cast("string")).alias("phase_set"))
     return calls.select("sample_id", "site_id", ev.alias("ev"))
@@ -102,8 +102,7 @@ def de_novo(rows: DataFrame, t: TrioThresholds = DEFAULT) -> DataFrame:
     mosaic = which(lambda e: _true(F.col(f"{e}.ab") > t.parent_ab_max))
     weak = which(lambda e: ~_adequate(e, t.parent_min_dp, t.min_gq))
     no_depth = which(lambda e: F.col(f"{e}.ad_alt").isNull() | F.col(f"{e}.ad_ref").isNull() | F.col(f"{e}.ab").isNull())
-    child_alleles = G.called_alleles(F.col("child.gt"))
-    hom_child = F.col("_one").isNull() & (F.size(child_alleles) == 2) & F.forall(child_alleles, lambda x: x > 0) & (F.size(F.array_distinct(child_alleles)) == 1)
+    hom_child = F.col("_one").isNull() & F.col("child.gt").rlike(r"^([1-9][0-9]*)[|/]\1$")
     ab = F.col("child.ab")
     bad_ab = ab.isNull() | (ab < t.child_ab_min) | (F.col("_one").isNull() & (ab > t.child_ab_max))
     out = lambda status, reason: F.struct(F.lit(status).alias("status"), reason.alias("reasons"))
