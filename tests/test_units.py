@@ -258,3 +258,39 @@ def test_intake_replays_without_change(spark):
     intake.merge_batch(table, table.read().withColumn("gt", F.lit("0/0")), 1)
     assert table.state() == (1, 1)
     assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["field count", "site"]
+
+
+def chunked(spark, sequence, size):
+    return spark.createDataFrame([("1", i // size, sequence[i : i + size]) for i in range(0, len(sequence), size)], "chrom string, chunk long, sequence string")
+
+
+def test_indels_move_left(spark):
+    from varloom.operators import reference as P
+
+    seq = "GGGCACACACAATTTTTTC" + "ACGT" * 20
+    cases = [(9, "ACA", "A"), (16, "T", "TT"), (12, "A", "G"), (3, "G", "GC"), (17, "TT", "T"), (5, "T", "TA"), (500, "A", "AT"), (7, "CA", "CACA")]
+    rows = spark.createDataFrame([(i, "1", *c) for i, c in enumerate(cases)], "id int, chrom string, pos int, ref string, alt string")
+    out = {r.id: r for r in P.left_aligned(rows, chunked(spark, seq, 32), 32).collect()}
+
+    def apply(pos, ref, alt):
+        return seq[: pos - 1] + alt + seq[pos - 1 + len(ref) :]
+
+    for i, (pos, ref, alt) in enumerate(cases):
+        r = out[i]
+        if pos > len(seq):
+            assert r.status == "unmapped"
+        elif seq[pos - 1 : pos - 1 + len(ref)] != ref:
+            assert r.status == "reference_mismatch" or len(ref) == len(alt) == 1
+        else:
+            assert r.status == "aligned" and apply(r.pos, r.ref, r.alt) == apply(pos, ref, alt)
+            if len(ref) != len(alt):
+                assert not any(seq[p - 1 : p - 1 + len(r.ref)] and apply(p, seq[p - 1 : p - 1 + len(r.ref)], seq[p - 1] + (r.alt[1:] if len(r.alt) > 1 else "")) == apply(pos, ref, alt) and len(r.ref) == 1 for p in range(1, r.pos))
+
+
+def test_hgvs_becomes_alleles(spark):
+    from varloom.operators import reference as P
+
+    seq = "ACGTTGCA" * 5
+    cases = {"x:g.2C>G": (2, "C", "G"), "g.3_4del": (2, "CGT", "C"), "g.3del": (2, "CG", "C"), "g.4_5insAA": (4, "T", "TAA"), "g.3_4dup": (2, "C", "CGT"), "g.3_4delinsA": (2, "CGT", "CA"), "g.2A>G": (None, None, None), "c.3del": (None, None, None), "g.900del": (None, None, None)}
+    rows = spark.createDataFrame([("1", h) for h in cases], "chrom string, hgvs string")
+    assert {r.hgvs: (r.pos, r.ref, r.alt) for r in P.hgvs_alleles(rows, chunked(spark, seq, 16), 16).collect()} == cases
