@@ -100,6 +100,8 @@ def decode(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     streams: dict[int, dict] = {}
     p = 0
     while p < len(data):
+        if p + 27 > len(data):
+            raise ValueError(f"the page at byte {p} is cut off")
         magic, version, flags, granule, serial, number, crc, n = struct.unpack_from("<4sBBqIIIB", data, p)
         laces = data[p + 27 : p + 27 + n]
         start = p + 27 + n
