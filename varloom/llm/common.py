@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,26 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 0.001
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their path has it as the driver's has.
+
+    For sessions that were started elsewhere and find the package by sys.path alone.
+    """
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    path = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _shipped or root in path or Path.cwd().resolve() == root:
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "varloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted((root / "varloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

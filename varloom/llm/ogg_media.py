@@ -163,6 +163,7 @@ def store(docs: DataFrame, path: str) -> None:
                 raw = [x.encode() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
+    common.ship(docs.sparkSession)
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.plain_text().alias("text")).mapInArrow(tasks, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -181,4 +182,5 @@ def read_features(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FEATURES.split(", ")]])
 
+    common.ship(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(tasks, f"doc_id long, {FEATURES}")

@@ -103,6 +103,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TO
     The pieces are written once with a number of their own, by which they are dealt: repeated ids fall into different
     groups, and a group that is packed again gets the same pieces in the same order.
     """
+    common.ship(docs.sparkSession)
     cut_up = common.materialize(pieces(docs, capacity, path).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     loose = cut_up.filter(F.col("length") < capacity)
     tokens = loose.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

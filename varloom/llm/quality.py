@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int =
 
 def score_column(model: Model, spark):
     """A column function of text: P(label 1), rounded to 6 digits."""
+    common.ship(spark)
     shared = spark.sparkContext.broadcast((model.margin, model.bias))
 
     @pandas_udf("double")
@@ -184,6 +185,7 @@ def score_column(model: Model, spark):
 def score(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     model = fit(docs, labels, per_class)
+    common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

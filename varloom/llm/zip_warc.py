@@ -199,6 +199,7 @@ def write_packages(pages: DataFrame, path: str, per_package: int = 500, max_byte
             name = f"{hashlib.sha1(content).hexdigest()[:16]}-{name}"
             yield pa.RecordBatch.from_pydict({"name": [name], "records": [n], "content": pa.array([content], pa.binary())})
 
+    common.ship(pages.sparkSession)
     with_revisits(pages, least).mapInArrow(tasks, PACKAGES).write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
 
 
@@ -218,4 +219,5 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 types = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array([package] * len(rows), pa.string()), *[pa.array(cols[k], t) for k, t in types.items()]], ["package", *types])
 
+    common.ship(packages.sparkSession)
     return packages.select(name, "content").mapInArrow(tasks, RECORDS)
