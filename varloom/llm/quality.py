@@ -45,14 +45,13 @@ def _mix(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word of a byte array: a polynomial of its bytes, by the difference of running sums."""
+    """(start, hash) of each word of a byte array: the sum of its bytes, each times a factor by place in the word."""
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    start, stop = edge[::2], edge[1::2]
+    start = edge[::2]
     if not len(start):
         return start, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        # words are hashed by their own bytes: position within the word picks the factor
         inside = np.arange(len(data)) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [len(data)]))))
         factor = (np.minimum(inside, 255).astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _P
         term = (data.astype(np.uint64) + np.uint64(1)) * (factor ^ (factor >> np.uint64(29)))

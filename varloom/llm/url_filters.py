@@ -50,14 +50,13 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
 
     The rules are a short list of configuration and become one CASE expression.
     """
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     chain = None
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         hit = F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
         chain = F.when(fits, hit) if chain is None else chain.when(fits, hit)
-    return out if chain is None else chain
+    return F.lit(None).cast("struct<rule:string,verdict:string>") if chain is None else chain
 
 
 def prior_strength(good: Column, n: Column, mean: Column) -> list[Column]:
