@@ -201,5 +201,28 @@ def test_line_dedup_finds_every_repeated_window(spark):
     assert line_dedup.clean(rows.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_passages_with_frequent_lines(spark):
+    """Each passage is one window, whose least line may be the frequent one, which is first met among other lines."""
+    rng = random.Random(17)
+    line = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    frequent = spark.range(1000).select(F.concat(F.lit("read more "), "id").alias("x")).orderBy(F.xxhash64("x")).first().x
+    passages = [[line(20), frequent, line(27)] for _ in range(12)]
+    docs = {0: "\n".join([line(60), frequent, line(60)])}
+    for k, p in enumerate(passages):
+        docs[10 + k] = "\n".join([line(30), *p, line(30)])
+        docs[40 + k] = "\n".join([line(30), "", *p, line(30), *p])
+    out = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup.clean(spark.createDataFrame(list(docs.items()), DOCS)).collect()}
+    assert out == {d: [(2, 4), (6, 8)] if d >= 40 else [] for d in docs}
+
+
+def test_line_dedup_deletes_runs_to_their_last_line(spark):
+    rng = random.Random(18)
+    line = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    run = [line(40), line(40), line(5), line(3)]
+    rows = [(1, "\n".join([line(9), *run, line(9)])), (2, "\n".join([line(9), *run])), (2, "\n".join([line(9), *run])), (3, "\n".join(run[1:] + [line(9)]))]
+    out = sorted((r.doc_id, [tuple(x) for x in r.removed]) for r in line_dedup.clean(spark.createDataFrame(rows[:2] + [rows[1], rows[3]], DOCS)).collect())
+    assert out == [(1, []), (2, [(1, 4)]), (2, [(1, 4)]), (3, [])]
+
+
 def test_sha_of_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c4")

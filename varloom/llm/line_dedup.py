@@ -1,14 +1,14 @@
-"""Operator 6, line dedup: winnowing over line hashes. DataFrame functions only.
+"""Operator 6, line dedup: windows of whole lines, matched with their first occurrence. DataFrame functions only.
 
-A text is its lines that hold a word. From each line a window opens that closes as soon as it holds MIN_WORDS words; of
-each window the line with the least hash (the leftmost of equal ones) is a fingerprint. Equal runs of lines with at
-least MIN_WORDS words contain an equal window, so they are certain to share a fingerprint. A later occurrence of a fingerprint is matched with
-its first one only (by doc_id, then position), which makes as many matches as occurrences, however frequent the line. Each match stands
-for a diagonal: the two texts are compared along it, before and after the fingerprint, and the maximal runs of equal lines
-that hold MIN_WORDS words are deleted from the later text. Every deleted line so has an equal one that is earlier.
+A text is its lines that hold a word. From each line a window opens that closes as soon as it holds MIN_WORDS words, and
+to each line one leads that opens as late as it can to hold as many. A window's key is made of the hashes of all its lines, so that
+equal keys are equal lines with at least MIN_WORDS words. A window is matched with the first one of its key only (by
+doc_id, then position), which makes at most one match for each window, however frequent a line or passage is. All but the
+first are deleted. The windows within a run of lines that holds MIN_WORDS words cover it: what is deleted is each
+line of each run that occurs earlier as a whole, and every deleted line so has an equal one that is earlier.
 
-A line is compared by two hashes and its length, without white space at its ends. The fingerprints of a hot line go to their first
-occurrence by the split in `common.attach_stats`; what lies behind is grouped by pairs of documents.
+A line is compared by two hashes and its length, without white space at its ends; a window by a hash of each of both. The windows of a
+hot passage go to their first occurrence by the split in `common.attach_stats`; what lies behind is grouped by document.
 
 Defined cases: a null text counts as empty. Texts of fewer than MIN_WORDS words are left as they are. Runs repeated
 within a text go too, but for the first. Rows repeated with the same doc_id and text count as one document and get one
@@ -38,44 +38,41 @@ def _lines(text: Column) -> Column:
     return F.transform(words, lambda s: F.struct(F.xxhash64(s["x"]).alias("a"), (F.hash(s["x"]).cast("long") * (1 << 24) + F.length(s["x"])).alias("b"), F.size(F.split(s["x"], " +")).alias("w"), s["line"].alias("line")))
 
 
-def _fingerprints(lines: Column, min_words: int) -> Column:
-    """Positions in lines that are the least of a window. A window has at most min_words lines, as each holds a word."""
+def _windows(lines: Column, min_words: int) -> Column:
+    """array<struct<i, j, first, last, fp>>: positions in lines, line numbers and key of each window. A window has at most min_words lines, as each holds a word."""
+    place = 1 << 31  # a window is i * place + j here, a number, which array_distinct finds by hashing
 
-    def window(_: Column, i: Column) -> Column:
-        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(None).cast("long").alias("a"), F.lit(-1).alias("p"))
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(acc["n"] >= min_words, acc).otherwise(F.struct((acc["n"] + x["w"]).alias("n"), (acc["k"] + 1).alias("k")))
 
-        def step(acc: Column, x: Column) -> Column:
-            less = acc["a"].isNull() | (x["a"] < acc["a"])
-            on = F.struct((acc["n"] + x["w"]).alias("n"), (acc["at"] + 1).alias("at"), F.when(less, x["a"]).otherwise(acc["a"]).alias("a"), F.when(less, acc["at"]).otherwise(acc["p"]).alias("p"))
-            return F.when(acc["n"] >= min_words, acc).otherwise(on)
+    def spans(part, span) -> Column:
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"))
+        return F.transform(lines, lambda _, i: F.aggregate(part(i), none, step, lambda acc: F.when(acc["n"] >= min_words, span(i.cast("long"), acc["k"] - 1))))
 
-        return F.aggregate(F.slice(lines, i + 1, min_words), none, step, lambda acc: F.when(acc["n"] >= min_words, i + acc["p"]))
+    ahead = spans(lambda i: F.slice(lines, i + 1, min_words), lambda i, k: i * place + i + k)
+    back = spans(lambda i: F.reverse(F.slice(lines, F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))), lambda i, k: (i - k) * place + i)
 
-    return F.array_compact(F.array_distinct(F.transform(lines, window)))
+    def window(s: Column) -> Column:
+        i, j = F.shiftright(s, 31).cast("int"), s.bitwiseAND(place - 1).cast("int")
+        inside = F.slice(lines, i + 1, j - i + 1)
+        fp = F.struct(F.xxhash64(F.transform(inside, lambda x: x["a"])).alias("a"), F.hash(F.transform(inside, lambda x: x["b"])).alias("b"))
+        return F.struct(i.alias("i"), j.alias("j"), F.get(lines, i)["line"].alias("first"), F.get(lines, j)["line"].alias("last"), fp.alias("fp"))
+
+    return F.transform(F.array_compact(F.array_distinct(F.concat(ahead, back))), window)
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, h (the document's key), runs: array<struct<first, last>> of lines to delete; only documents with some."""
-    text = common.plain_text()
-    own = docs.select(*_key(F.col("doc_id"), text), _lines(text).alias("lines")).filter(F.aggregate("lines", F.lit(0), lambda n, x: n + x["w"]) >= min_words)
-    own = common.materialize(own, "lines")
-    marks = own.select(*_DOC, "lines", F.explode(_fingerprints(F.col("lines"), min_words)).alias("p")).select(*_DOC, "p", F.element_at("lines", F.col("p") + 1)["a"].alias("fp"))
-    marks = common.materialize(marks, "marks")
-    firsts = common.materialize(marks.groupBy("fp").agg(F.min(F.struct("d", "h", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
-    met = common.attach_stats(marks, firsts, "fp", "n", common.total_of(firsts, "n"), ["d", "p"])
-    met = met.filter(F.col("first").isNotNull() & (F.struct("d", "h", "p") != F.col("first")))
-    diagonals = met.select(*_DOC, F.col("first.d").alias("d0"), F.col("first.h").alias("h0"), (F.col("p") - F.col("first.p")).alias("shift")).filter("NOT (d = d0 AND h = h0 AND shift <= 0)").distinct()
-    one = own.dropDuplicates(_DOC)
-    pairs = diagonals.join(one, _DOC).withColumnRenamed("lines", "mine").join(one.select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("lines").alias("theirs")), ["d0", "h0"])
-    at, at0 = F.greatest(F.lit(0), "shift"), F.greatest(F.lit(0), -F.col("shift"))
-    n = F.least(F.size("mine") - at, F.size("theirs") - at0)
-    both = F.arrays_zip(F.slice("mine", at + 1, n).alias("x"), F.slice("theirs", at0 + 1, n).alias("y"))
-    equal = F.filter(F.transform(both, lambda s, i: F.struct(i.alias("i"), s["x"]["w"].alias("w"), s["x"]["line"].alias("line"), ((s["x"]["a"] == s["y"]["a"]) & (s["x"]["b"] == s["y"]["b"])).alias("same"))), lambda s: s["same"])
-    diagonal = [*_DOC, "d0", "h0", "shift"]
-    rows = pairs.filter(n > 0).select(*diagonal, F.inline(equal)).drop("same")
-    rows = rows.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("i")))
-    runs = rows.groupBy(*diagonal, "island").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("w").alias("words")).filter(F.col("words") >= min_words)
-    return runs.groupBy(*_DOC).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    own = docs.select(*_key(F.col("doc_id"), common.plain_text()), _lines(common.plain_text()).alias("lines"))
+    marks = common.materialize(own.select(*_DOC, F.inline(_windows(F.col("lines"), min_words))), "marks")
+    firsts = common.materialize(marks.groupBy("fp").agg(F.min(F.struct("d", "h", "i")).alias("origin"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    met = common.attach_stats(marks, firsts, "fp", "n", common.total_of(firsts, "n"), ["d", "i"])
+    met = met.filter(F.col("origin").isNotNull() & (F.struct("d", "h", "i") != F.col("origin"))).select(*_DOC, "i", "j", "first", "last").distinct()
+    inside = Window.partitionBy(*_DOC).orderBy("i", "j")
+    apart = F.coalesce(F.col("i") > F.max("j").over(inside.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    islands = met.withColumn("apart", apart.cast("int")).withColumn("island", F.sum("apart").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy(*_DOC, "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
