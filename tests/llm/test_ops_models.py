@@ -94,6 +94,27 @@ def test_near_keeps_one_of_each_class(spark, near):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_link_of_two_large_families_is_found(spark):
+    """One pair links two families; hundreds of pairs just below the limit agree in more samples."""
+    rng = random.Random(21)
+    base = words(rng, 300)
+
+    def put(at):
+        return " ".join(f"new{at[i]}x{i}" if i in at else w for i, w in enumerate(base))
+
+    apart = {30 + 50 * i: -1 for i in range(5)}
+    edits = [(i, k) for k in range(9) for i in range(2, 298) if all(abs(i - a) > 4 for a in [*apart, 148])]
+    rng.shuffle(edits)
+    one = [{i: k} for i, k in edits if i < 148][:800] + [{148: 0}]
+    two = [apart | {148: 0}] + [apart | {i: k} for i, k in edits if i > 148][:40]
+    texts = [put(x) for x in one + two]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    idf = near_dedup.inverse_frequencies(docs)
+    alike = lambda a, b: near_dedup.weighted_jaccard(near_dedup.shingles(texts[a]), near_dedup.shingles(texts[b]), idf) >= 0.8
+    assert [(a, b) for a in range(770, 801) for b in range(801, 842) if alike(a, b)] == [(800, 801)]
+    assert {(r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()} == {(0, len(texts))}
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(9)
     pairs = [(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in [(i, i + 1) for i in range(40)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(120)] if a != b]

@@ -12,9 +12,9 @@ similar ones, or ones with several ways to each other, still more surely.
 
 Equal texts are one node. Buckets of at most SMALL nodes propose all their pairs. A larger bucket proposes its members'
 links to one leader, the member with the largest buckets altogether, which the original of many copies tends to be. The
-members that are then still outside of their bucket's largest class, few as a rule, are held against the whole bucket in blocks,
-and propose those that agree with them in most samples; this goes on until a round adds no link. Each
-proposed pair is verified by the exact weighted Jaccard similarity of both whole texts. Classes are the connected
+members that are then still outside of their bucket's largest class, few as a rule, are held against the whole bucket in blocks.
+They propose the few that agree with them in most samples, then more of them, and last all members of other classes that agree in
+AGREE samples, so that no rank cuts a pair off. A pair is proposed in the first bucket that it shares. Each proposed pair is verified by the exact weighted Jaccard similarity of both whole texts. Classes are the connected
 components of verified links, found by rounds of joins.
 
 Defined cases: a null text counts as empty; empty texts equal each other and nothing else. Rows repeated with the same
@@ -40,7 +40,9 @@ HASHES = BANDS * ROWS
 IDF_BITS, IDF_FLOOR = 18, 0.9
 IDF_BUCKETS = 1 << IDF_BITS
 CHUNK = 1 << 16
-BLOCK, CLOSEST, CLOSEST_OF_BLOCK, AGREE = 1000, 48, 4, 30
+BLOCK, AGREE = 1000, 30
+#: How many of a bucket a member outside of its largest class proposes, round by round; the last round has no limit.
+STEPS = (16, 256, None)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
@@ -278,14 +280,13 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = common.materialize(_ordered(pairs), "pairs")
     links = common.materialize(_verified(texts, tried, idf), "links")
     labels = components(links)
-    while crowded:
+    for step in STEPS if crowded else ():
         rooted = common.materialize(large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        new = common.materialize(_closest_apart(rooted, nodes, total).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
+        new = common.materialize(_closest_apart(rooted, nodes, total, step).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = common.materialize(_verified(texts, new, idf), "links")
         if found.isEmpty():
-            break
+            tried = tried.union(new)
+            continue
         tried, links = tried.union(new), links.union(found)
         # the new links join whole classes: components among roots, each a node of the small graph
         of = rooted.select("node", "root").distinct()
@@ -316,13 +317,14 @@ def _to_leaders(large: DataFrame, total: int) -> DataFrame:
     return common.attach_stats(large, lead, "bucket", "members", total, ["node"]).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
-def _closest_apart(rooted: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+def _closest_apart(rooted: DataFrame, nodes: DataFrame, total: int, step: int | None) -> DataFrame:
     """Pairs (a, b) for members that aren't in the largest class of their bucket: the members of other classes most like them.
 
     rooted: bucket, node, root. These members are a query set that is held against the whole bucket in blocks of about
     BLOCK by BLOCK. Within a block, samples are compared in numpy, and each query gives the members most like it that
-    agree in at least AGREE samples: its share of CLOSEST for the whole bucket, and CLOSEST_OF_BLOCK at least. A pair at the
-    least similarity agrees in fewer samples with a chance of 0.0007.
+    agree in at least AGREE samples: its share of `step` for the whole bucket, one of each block at least, or all if step
+    is None. A pair at the least similarity agrees in fewer samples with a chance of 0.0007. Pairs that share an earlier band
+    than the bucket's are left to the bucket of that band: a small one has proposed them, a large one does.
     """
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("bucket").agg(F.sum("m").alias("members"), F.count("*").alias("classes"), F.max(F.struct("m", "root")).alias("main")).filter("classes > 1")
@@ -331,7 +333,7 @@ def _closest_apart(rooted: DataFrame, nodes: DataFrame, total: int) -> DataFrame
     rows = common.materialize(rows.join(nodes.select(F.col("digest").alias("node"), "samples"), "node"), "apart")
     n, q = F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("queries") / F.lit(BLOCK))
     own, each = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), k), lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    share = F.greatest(F.floor(F.lit(CLOSEST) / n), F.lit(CLOSEST_OF_BLOCK)).alias("share")
+    share = F.greatest(F.floor(F.lit(step or 0) / n), F.lit(1)).alias("share")
     against = rows.select("bucket", "node", "root", "samples", share, F.lit(False).alias("asks"), own(n, 1).alias("block"), each(q).alias("q_block"))
     asking = rows.filter(F.col("root") != F.col("main")).select("bucket", "node", "root", "samples", share, F.lit(True).alias("asks"), each(n).alias("block"), own(q, 2).alias("q_block"))
 
@@ -341,13 +343,26 @@ def _closest_apart(rooted: DataFrame, nodes: DataFrame, total: int) -> DataFrame
             return pdf.iloc[:0][["node", "root"]].rename(columns={"node": "a", "root": "b"})
         x, y = (np.frombuffer(b"".join(d["samples"]), np.uint32).reshape(len(d), HASHES) for d in (one, other))
         root_x, root_y = (np.array([hash(bytes(r)) for r in d["root"]]) for d in (one, other))
-        agree = np.zeros((len(x), len(y)), np.int16)
-        for k in range(HASHES):
-            agree += x[:, k, None] == y[None, :, k]
-        agree[root_x[:, None] == root_y[None, :]] = 0
-        best = np.argsort(-agree, axis=1, kind="stable")[:, : int(pdf["share"].iloc[0])]
-        i, j = np.nonzero(np.take_along_axis(agree, best, 1) >= AGREE)
-        return pd.DataFrame({"a": one["node"].to_numpy()[i], "b": other["node"].to_numpy()[best[i, j]]})
+        every = np.concatenate([x, y])
+        # the bucket's band, or an earlier one that this block shares as well; 0 where hashes of unequal bands met
+        home = int((every == every[0]).all(0).reshape(BANDS, ROWS).all(1).argmax())
+        agree, early = np.zeros((len(x), len(y)), np.int16), np.zeros((len(x), len(y)), bool)
+        for band in range(BANDS):
+            shared = np.ones((len(x), len(y)), bool)
+            for k in range(band * ROWS, band * ROWS + ROWS):
+                same = x[:, k, None] == y[None, :, k]
+                agree += same
+                shared &= same
+            if band < home:
+                early |= shared
+        agree[early | (root_x[:, None] == root_y[None, :])] = 0
+        if step is None:
+            i, j = np.nonzero(agree >= AGREE)
+        else:
+            best = np.argsort(-agree, axis=1, kind="stable")[:, : int(pdf["share"].iloc[0])]
+            i, j = np.nonzero(np.take_along_axis(agree, best, 1) >= AGREE)
+            j = best[i, j]
+        return pd.DataFrame({"a": one["node"].to_numpy()[i], "b": other["node"].to_numpy()[j]})
 
     return _ordered(against.union(asking).groupBy("bucket", "block", "q_block").applyInPandas(compare, "a binary, b binary"))
 
