@@ -294,3 +294,13 @@ def test_hgvs_becomes_alleles(spark):
     cases = {"x:g.2C>G": (2, "C", "G"), "g.3_4del": (2, "CGT", "C"), "g.3del": (2, "CG", "C"), "g.4_5insAA": (4, "T", "TAA"), "g.3_4dup": (2, "C", "CGT"), "g.3_4delinsA": (2, "CGT", "CA"), "g.2A>G": (None, None, None), "c.3del": (None, None, None), "g.900del": (None, None, None)}
     rows = spark.createDataFrame([("1", h) for h in cases], "chrom string, hgvs string")
     assert {r.hgvs: (r.pos, r.ref, r.alt) for r in P.hgvs_alleles(rows, chunked(spark, seq, 16), 16).collect()} == cases
+
+
+def test_contexts_are_known_beyond_ten_thousand(spark):
+    ids = [f"CL:{i}" for i in range(10_050)]
+    contexts = spark.createDataFrame([(i, x, 1) for i, x in enumerate(ids)], "row_index long, ontology_id string, detected int")
+    sites = overlaps = spark.range(10_050).select(F.col("id").alias("site_id"), F.col("id").alias("row_index"))
+    assert R.filter_contexts(sites, overlaps, contexts, ids[::40]).count() == len(ids[::40])
+    assert R.filter_contexts(sites, overlaps, contexts, ids[7:8] * 2, "all").count() == 1
+    with pytest.raises(ValueError):
+        R.filter_contexts(sites, overlaps, contexts, [ids[0], "CL:x"])

@@ -104,8 +104,7 @@ def overlap_summary(tissues: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def filter_contexts(sites: DataFrame, overlaps: DataFrame, contexts: DataFrame, wanted: list[str], mode: str = "any") -> DataFrame:
     """Sites with an overlapping element that is detected in any, or altogether in all, of the wanted contexts."""
-    known = {r[0] for r in contexts.select("ontology_id").distinct().limit(10_000).collect()}
-    if not wanted or mode not in ("any", "all") or not set(wanted) <= known:
+    if not wanted or mode not in ("any", "all") or contexts.filter(F.col("ontology_id").isin(*wanted)).agg(F.countDistinct("ontology_id")).first()[0] < len(set(wanted)):
         raise ValueError("choose known contexts, and any or all")
     hits = overlaps.join(contexts.filter(F.col("ontology_id").isin(*wanted) & (F.col("detected") > 0)).select("row_index", "ontology_id"), "row_index")
     good = hits.groupBy("site_id").agg(F.countDistinct("ontology_id").alias("n")).filter(F.col("n") >= (1 if mode == "any" else len(set(wanted))))
