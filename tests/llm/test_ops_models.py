@@ -1,7 +1,9 @@
 """Near-dedup, quality, packing, WARC and Ogg on small cases, against brute force and round trips."""
 
+import collections
 import io
 import random
+import re
 import zipfile
 import zlib
 
@@ -39,7 +41,7 @@ def near(spark):
     rng.shuffle(texts)
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000, None), (None, texts[0])]
     docs = spark.createDataFrame(rows, DOCS)
-    return rows, docs, near_dedup.classes(docs).collect(), near_dedup.inverse_frequencies(docs)
+    return rows, docs, near_dedup.classes(docs).collect(), near_dedup.inverse_frequencies(docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct())
 
 
 def test_near_classes_are_the_components_of_similar_pairs(near):
@@ -67,23 +69,89 @@ def test_near_classes_are_the_components_of_similar_pairs(near):
     assert {r.doc_id: (r.class_id, r.class_size) for r in out} == want
 
 
-def test_near_links_are_counted_and_samples_agree_by_similarity(near):
-    _, _, out, _ = near
-    assert all((r.links > 0) == (r.texts > 1) for r in out)
+def test_near_samples_agree_by_similarity():
     rng = random.Random(4)
     base = words(rng, 3000)
-    idf = np.ones(near_dedup.IDF_BUCKETS)
+    idf = np.full(near_dedup.IDF_BUCKETS, near_dedup.SCALE)
+    idf[::3] = 240
     sampler = near_dedup.Sampler(idf)
     rates, true = [], []
     for n in (20, 60, 120):
         a, b = near_dedup.shingles(" ".join(base)), near_dedup.shingles(" ".join(edited(rng, base, n)))
-        key, weight = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]) * 1.0
+        key, weight = np.concatenate([a[0], b[0]]), np.concatenate([near_dedup.weights(x, idf) for x in (a, b)])
         s = sampler.signatures(key, weight, np.array([0, len(a[0])]))
         rates.append((s[0] == s[1]).mean())
         true.append(near_dedup.weighted_jaccard(a, b, idf))
     assert np.abs(np.array(rates) - np.array(true)).max() < 0.2
 
 
+def test_near_samples_are_unbiased():
+    rng = random.Random(14)
+    idf = np.full(near_dedup.IDF_BUCKETS, near_dedup.SCALE)
+    rates, true = [], []
+    for n in range(150):
+        base = words(rng, 150)
+        pair = [near_dedup.shingles(" ".join(t)) for t in (base + base[:20], edited(rng, base, n % 8))]
+        s = near_dedup.Sampler(idf).signatures(np.concatenate([x[0] for x in pair]), np.concatenate([near_dedup.weights(x, idf) for x in pair]), np.array([0, len(pair[0][0])]))
+        rates.append((s[0] == s[1]).mean())
+        true.append(near_dedup.weighted_jaccard(*pair, idf))
+    assert abs(np.mean(rates) - np.mean(true)) < 0.02
+    assert np.corrcoef(rates, true)[0, 1] > 0.8
+
+
+def test_near_shingles_are_those_of_the_words():
+    rng = random.Random(15)
+    texts = ["", " ", "a", "A  b\tc", "x" * 5000, "one two three four five", "\x0bé Éa", *[" ".join(rng.choice(["ab", "abcdefgh", "abcdefghi", "Ä" * 9, "q"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]]
+    kept = {}
+    for text, bag in zip(texts, near_dedup.bags(texts), strict=True):
+        w = re.split("[\t-\r ]+", text.lower().strip("\t\n\x0b\x0c\r "))
+        w = [] if w == [""] else w
+        runs = [" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))] if w else []
+        assert sorted(bag[1].tolist()) == sorted(collections.Counter(runs).values())
+        alone = near_dedup.shingles(text)
+        assert bag[0].tolist() == alone[0].tolist()
+        for r in set(runs):
+            if len(set(runs)) == 1:
+                assert kept.setdefault(r, int(bag[0][0])) == int(bag[0][0])
+    assert len(set(kept.values())) == len(kept)
+
+
+def test_near_products_are_the_similarities_of_pairs():
+    rng, own = random.Random(16), np.random.default_rng(16)
+    idf = own.integers(230, 257, near_dedup.IDF_BUCKETS)
+    base = words(rng, 120)
+    found = [near_dedup.shingles(" ".join(edited(rng, base, rng.randint(0, 8)) * rng.randint(1, 2))) for _ in range(60)]
+    one, other = found[:35], found[20:]
+    alike = near_dedup.all_similar(one, other, idf)
+    assert alike.tolist() == [[bool(near_dedup.similar(*near_dedup._minima(a, b, idf))) for b in other] for a in one]
+    assert 0 < alike.sum() < alike.size
+    joined = near_dedup.joining(np.array([[1, 0, 0], [0, 1, 0], [0, 1, 1]], bool), np.array([0, 1, 2]), np.array([3, 1, 4]))
+    assert sorted(joined) == [(0, 3), (1, 2), (2, 4)]
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 40_000])
+def test_near_classes_of_a_crowded_family_near_the_limit(spark, monkeypatch, block):
+    """A family whose texts stand just above and below the limit: classes are those of all pairs by brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(31)
+    base = words(rng, 150)
+    texts = list({" ".join(edited(rng, base, rng.randint(2, 6))) for _ in range(300)})
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    idf = near_dedup.inverse_frequencies(docs)
+    found = [near_dedup.shingles(t) for t in texts]
+    alike = near_dedup.all_similar(found, found, idf)
+    root = np.arange(len(texts))
+    while True:
+        low = np.where(alike, root[None, :], len(texts)).min(1)
+        if (low == root).all():
+            break
+        root = low
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert len(set(got.values())) > 5
+    assert sum(got[i] == r for i, r in enumerate(root.tolist())) >= 0.99 * len(texts)
+    assert all(root[i] == root[c] for i, c in got.items())
+
+
 def test_near_keeps_one_of_each_class(spark, near):
     rows, docs, out, _ = near
     kept = near_dedup.keep_one(docs.withColumn("root", F.lit("x")))

@@ -36,9 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode (tests), and else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,12 +50,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/varloom-{name}-{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Tables that one operator writes to the shared folder on its way, to be dropped together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
+        """df, written and read back: later steps start from files that outlive an executor. keep: `drop` leaves it."""
+        path = scratch_path(self.spark, name)
+        df.write.option("compression", codec).parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: later steps start from files that outlive an executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, name, codec)
 
 
 def plain_text(name: str = "text") -> Column:
@@ -73,12 +93,12 @@ def attach_stats(rows: DataFrame, stats: DataFrame, key: str, size: str, total:
     heavy = stats.filter(F.col(size) >= at_least)
     light = stats.filter(F.col(size) < at_least)
     names = [c for c in stats.columns if c != key]
-    out = rows.join(F.broadcast(heavy.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_h_{c}") for c in names])), F.col(key) == F.col("_k"), "left")
-    loose = F.col("_k").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_salt", F.when(loose, F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(4096))).otherwise(F.lit(0)))
-    light = light.select(F.col(key).alias("_lk"), F.lit(0).cast("long").alias("_ls"), *[F.col(c).alias(f"_l_{c}") for c in names])
-    out = out.join(light, (F.col(key) == F.col("_lk")) & (F.col("_salt") == F.col("_ls")), "left")
-    return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in names])
+    out = rows.join(F.broadcast(heavy.select(F.col(key).alias("_vl_k"), *[F.col(c).alias(f"_vl_h_{c}") for c in names])), F.col(key) == F.col("_vl_k"), "left")
+    loose = F.col("_vl_k").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_vl_salt", F.when(loose, F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(4096))).otherwise(F.lit(0)))
+    light = light.select(F.col(key).alias("_vl_lk"), F.lit(0).cast("long").alias("_vl_ls"), *[F.col(c).alias(f"_vl_l_{c}") for c in names])
+    out = out.join(light, (F.col(key) == F.col("_vl_lk")) & (F.col("_vl_salt") == F.col("_vl_ls")), "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_vl_h_{c}", f"_vl_l_{c}").alias(c) for c in names])
 
 
 def total_of(stats: DataFrame, size: str) -> int:

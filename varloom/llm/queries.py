@@ -52,7 +52,7 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(table(spark, sf_dir, "documents"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", "class_id", "class_size", "texts", "links", kept.alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", "texts", kept.alias("kept"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
