@@ -54,7 +54,7 @@ class Tables:
     """Tables that one operator writes to the shared folder on its way, to be dropped together."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.names = spark, [], []
 
     def write(self, df: DataFrame, name: str, codec: str = "snappy", keep: bool = False) -> DataFrame:
         """df, written and read back: later steps start from files that outlive an executor. keep: `drop` leaves it."""
@@ -64,11 +64,24 @@ class Tables:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str, codec: str = "snappy") -> DataFrame:
+        """df as a table bucketed by key, one bucket a shuffle partition: joins on key read it without moving it again.
+
+        df should come from a grouping by key, so that its tasks hold whole buckets and write a file for each.
+        """
+        table = f"varloom_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("compression", codec).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        self.names.append(table)
+        return self.spark.table(table)
+
     def drop(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
         for path in self.paths:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-        self.paths = []
+        self.paths, self.names = [], []
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:

@@ -318,7 +318,8 @@ def inverse_frequencies(texts: DataFrame, idf_floor: float = IDF_FLOOR) -> np.nd
 
 
 def _digest():
-    return F.unhex(F.sha2(common.plain_text(), 256))
+    """The first half of the text's SHA-256: 16 bytes tell texts apart at any number of documents."""
+    return F.unhex(F.substring(F.sha2(common.plain_text(), 256), 1, 32))
 
 
 def _banded(nodes: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -387,7 +388,7 @@ def classes(docs: DataFrame, idf_floor: float = IDF_FLOOR) -> DataFrame:
     tables = common.Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), common.plain_text().alias("text"))
     nodes = docs.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text"))
-    nodes = tables.write(nodes, "nodes", "zstd")
+    nodes = tables.write_bucketed(nodes, "nodes", "node", "zstd")
     idf = inverse_frequencies(nodes, idf_floor)
     banded = tables.write(_banded(nodes.select("node", "text"), idf), "bands")
     spread = banded.select("node", "size", F.posexplode("bands").alias("band", "hash"))
@@ -405,9 +406,8 @@ def classes(docs: DataFrame, idf_floor: float = IDF_FLOOR) -> DataFrame:
     known = tables.write(nodes.select("node", "least", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
     rooted = tables.write(met.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
     for whole in (False, True):
-        mixed = _mixed_buckets(rooted, tables)
-        blocks = mixed.agg(F.max("blocks")).first()[0] or 0
-        if blocks > whole:  # with one block a bucket, the first turn has met it whole
+        mixed = _mixed_buckets(rooted, tables).filter(F.col("blocks") > int(whole))  # the first turn has met buckets of one block whole
+        if not mixed.isEmpty():
             found = tables.write(_links_apart(rooted, mixed, texts, idf, total, whole).distinct(), "links")
             moved = components(found, tables).withColumnRenamed("node", "old").withColumnRenamed("root", "new")
             known, rooted = (
