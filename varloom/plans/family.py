@@ -110,19 +110,19 @@ def pair_counts(v):
 def ped(v):
     """Pedigree text of the fixture's families, with parents outside of the family and a child whose mother isn't known."""
     n = F.col("c_custkey")
-    rows = v.table("customer").filter("c_custkey < 60").select(F.concat(F.lit("F"), F.floor(n / 3).cast("string")).alias("family"), F.concat(F.lit("S"), n.cast("string")).alias("sample"),
+    rows = v.table("customer").select(F.concat(F.lit("F"), F.floor(n / 3).cast("string")).alias("family"), F.concat(F.lit("S"), n.cast("string")).alias("sample"),
         F.when(n % 3 == 0, F.concat(F.lit("S"), (n + 2).cast("string"))).otherwise("0").alias("father"), F.when((n % 3 == 0) & (n % 15 != 0), F.concat(F.lit("S"), (n + 1).cast("string"))).when(n % 3 == 0, ".").otherwise("-9").alias("mother"),
         F.when(n % 2 == 0, "1").otherwise("2").alias("sex"), F.when((n % 3 == 0) & (n % 2 == 0), "2").otherwise("1").alias("affected"), n.alias("line"))
     return rows
 
 
 @on_views("s11_x05_trios", (), """SELECT 'F' || c_custkey // 3 AS family_id, 'S' || c_custkey AS proband, 'S' || (c_custkey + 1) AS mother, 'S' || (c_custkey + 2) AS father, 'male' AS proband_sex
- FROM c c1 WHERE c_custkey % 6 = 0 AND c_custkey % 15 <> 0 AND EXISTS (SELECT 1 FROM c c2 WHERE c2.c_custkey = c1.c_custkey + 1) AND EXISTS (SELECT 1 FROM c c2 WHERE c2.c_custkey = c1.c_custkey + 2)""", "c AS (SELECT c_custkey FROM customer WHERE c_custkey < 60)")
+ FROM c c1 WHERE c_custkey % 6 = 0 AND c_custkey % 15 <> 0 AND EXISTS (SELECT 1 FROM c c2 WHERE c2.c_custkey = c1.c_custkey + 1) AND EXISTS (SELECT 1 FROM c c2 WHERE c2.c_custkey = c1.c_custkey + 2)""", "c AS (SELECT c_custkey FROM customer)")
 def trios(v):
     return Y.trios(Y.members(ped(v)))[0]
 
 
 @on_views("x05_trio_warnings", ("fx_files",), """SELECT 'F' || c_custkey // 3 AS family_id, 'S' || c_custkey AS proband, 'sample not found' AS warning FROM c
- WHERE c_custkey % 6 = 0 AND c_custkey % 15 <> 0 AND (SELECT count(*) FROM fx_files f WHERE f.sample_id IN ('S' || c_custkey, 'S' || (c_custkey + 1), 'S' || (c_custkey + 2)) AND f.file_id <> 1) < 3""", "c AS (SELECT c_custkey FROM customer WHERE c_custkey < 60)")
+ WHERE c_custkey % 6 = 0 AND c_custkey % 15 <> 0 AND (SELECT count(*) FROM fx_files f WHERE f.sample_id IN ('S' || c_custkey, 'S' || (c_custkey + 1), 'S' || (c_custkey + 2)) AND f.file_id <> 1) < 3""", "c AS (SELECT c_custkey FROM customer)")
 def warnings(v):
     return Y.trios(Y.members(ped(v)), v.files.filter("file_id <> 1"))[1]

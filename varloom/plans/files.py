@@ -11,13 +11,20 @@ from varloom.plans.base import KEYED, Views, on_views, oracle, query
 from varloom.sources import vcf as V
 from varloom.streaming import intake as T
 
-SAMPLES = ("S0", "S1", "S2", "S3", "S4", "S5")
+SAMPLES = ("S0", "S1", "S2", "S3", "S4", "S5")  # columns of the text: pools of all samples by number modulo six
 FIELDS = ("Allele", "Consequence", "SYMBOL", "ALLELE_NUM")
 
 
+def pooled(calls: DataFrame) -> DataFrame:
+    """Of each pool and site the call of the sample with the least number."""
+    number = F.substring("sample_id", 2, 12).cast("long")
+    first = calls.groupBy("site_id", F.concat(F.lit("S"), number % 6).alias("pool")).agg(F.min_by(F.struct("gt", "dp", "gq"), number).alias("c"))
+    return first.select("site_id", F.col("pool").alias("sample_id"), "c.*")
+
+
 def vcf_lines(v: Views) -> DataFrame:
     """One line a site with six samples: a second ALT G on every third, consequences by number or by allele."""
-    calls = v.calls.filter(F.col("sample_id").isin(*SAMPLES)).groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"))))).alias("m"))
+    calls = pooled(v.calls).groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"))))).alias("m"))
     n = F.col("site_id")
     entry = F.transform(F.col("genes"), lambda g: F.concat_ws("|", F.col("alt"), F.lit("missense%20variant"), g, F.when(n % 2 == 0, "1").otherwise("")))
     genes = v.annotations.groupBy("site_id").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
@@ -36,7 +43,7 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VCF = """
-six AS (SELECT * FROM fx_calls WHERE sample_id IN ('S0', 'S1', 'S2', 'S3', 'S4', 'S5')), st AS (SELECT k.*, s.ref AS raw_ref, s.alt AS raw_alt FROM keyed k JOIN fx_sites s USING (site_id) WHERE site_id IN (SELECT site_id FROM six))"""
+six AS (SELECT site_id, 'S' || (n % 6) AS sample_id, gt, dp, gq FROM (SELECT *, substr(sample_id, 2)::BIGINT AS n FROM fx_calls) QUALIFY row_number() OVER (PARTITION BY site_id, n % 6 ORDER BY n) = 1), st AS (SELECT k.*, s.ref AS raw_ref, s.alt AS raw_alt FROM keyed k JOIN fx_sites s USING (site_id) WHERE site_id IN (SELECT site_id FROM six))"""
 
 
 @query("s01_p06_vcf_alleles", oracle(("fx_sites", "fx_calls"), "SELECT site_id, 0 AS alt_index, variant_key FROM st WHERE TRUE UNION ALL SELECT site_id, 1, NULL FROM st WHERE site_id % 3 = 0", KEYED, VCF))

@@ -61,7 +61,7 @@ def stop_rule(v):
     """Edits on coding sequences made from part keys; tests compare the rule with a walk over codons."""
     n = F.col("p_partkey")
     part = v.table("part")
-    models = part.filter("p_partkey <= 37").select(F.concat(F.lit("M"), n % 37).alias("tx_id"), F.concat(F.lit("ATG"), F.translate(F.sha2(n.cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")).alias("coding"), (F.lit(60) + n % 60).alias("last_junction"), (n % 11 == 0).alias("selenocysteine"))
-    edits = part.select(n.alias("site_id"), F.concat(F.lit("M"), n % 41, F.lit(".2")).alias("tx_id"), (n % 50 + 3).cast("int").alias("cds_pos")).join(models.select(F.col("tx_id").alias("_t"), F.col("coding").alias("_c")), F.substring_index("tx_id", ".", 1) == F.col("_t"), "left")
+    models = part.select(F.concat(F.lit("M"), n).alias("tx_id"), F.concat(F.lit("ATG"), F.translate(F.sha2(n.cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")).alias("coding"), (F.lit(60) + n % 60).alias("last_junction"), (n % 11 == 0).alias("selenocysteine"))
+    edits = part.select(n.alias("site_id"), F.concat(F.when(n % 41 == 0, "N").otherwise("M"), n, F.lit(".2")).alias("tx_id"), (n % 50 + 3).cast("int").alias("cds_pos")).join(models.select(F.col("tx_id").alias("_t"), F.col("coding").alias("_c")), F.substring_index("tx_id", ".", 1) == F.col("_t"), "left")
     edits = edits.select("site_id", "tx_id", "cds_pos", F.coalesce(F.substring("_c", F.col("cds_pos") + 1, F.lit(1)), F.lit("A")).alias("ref")).withColumn("alt", F.concat("ref", F.when(F.col("site_id") % 2 == 0, "G").otherwise("GT")))
     return T.stop_rule(edits, models)

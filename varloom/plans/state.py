@@ -117,11 +117,11 @@ def lift_metrics(v):
     return Q.liftover_metrics(lifted(v))
 
 
-OUTCOME = "oc AS (SELECT site_id, class, CASE WHEN class = 'swap' AND n > 0 AND NOT nonref THEN 'correction' WHEN class = 'swap' THEN 'swap' WHEN class = 'new_reference' THEN 'new_reference' END AS outcome FROM lf LEFT JOIN (SELECT site_id, count(*) AS n, bool_or(gt <> '0/0') AS nonref FROM fx_calls WHERE sample_id IN ('S1', 'S2', 'S3') GROUP BY 1) USING (site_id))"
+OUTCOME = "oc AS (SELECT site_id, class, CASE WHEN class = 'swap' AND n > 0 AND NOT nonref THEN 'correction' WHEN class = 'swap' THEN 'swap' WHEN class = 'new_reference' THEN 'new_reference' END AS outcome FROM lf LEFT JOIN (SELECT site_id, count(*) AS n, bool_or(gt <> '0/0') AS nonref FROM fx_calls GROUP BY 1) USING (site_id))"
 
 
 def outcomes(v):
-    return Q.swap_outcomes(lifted(v), v.calls.filter(F.col("sample_id").isin("S1", "S2", "S3")))
+    return Q.swap_outcomes(lifted(v), v.calls)
 
 
 @on_views("x23_swap_outcomes", ("fx_sites", "fx_calls"), "SELECT site_id, class, outcome FROM oc", KEYED, LIFTED, OUTCOME)
@@ -244,7 +244,7 @@ def hashes(v):
     return v.files.select("sample_id", B.profile_label("import_profile", "analysis_scope").alias("label"), B.profile_hash("import_profile", "analysis_scope").alias("hash"))
 
 
-@on_views("p33_ages", ("fx_individuals",), "SELECT individual_id, nullif(sex_at_birth, '') AS sex, CASE WHEN contains(age_at_onset, 'months') THEN 'months' ELSE 'years' END AS unit, (CASE WHEN contains(age_at_onset, 'months') THEN CAST(split_part(age_at_onset, ' ', 1) AS DOUBLE) / 12 ELSE CAST(age_at_onset AS DOUBLE) END) AS years FROM fx_individuals")
+@on_views("p33_ages", ("fx_individuals",), "SELECT individual_id, sex, CASE WHEN years <= 130 THEN unit END AS unit, CASE WHEN years <= 130 THEN years END AS years FROM (SELECT individual_id, nullif(sex_at_birth, '') AS sex, CASE WHEN contains(age_at_onset, 'months') THEN 'months' ELSE 'years' END AS unit, (CASE WHEN contains(age_at_onset, 'months') THEN CAST(split_part(age_at_onset, ' ', 1) AS DOUBLE) / 12 ELSE CAST(age_at_onset AS DOUBLE) END) AS years FROM fx_individuals)")
 def ages(v):
     age = B.age_parts(F.col("age_at_onset"))
     return v.individuals.select("individual_id", B.sex(F.col("sex_at_birth")).alias("sex"), age["unit"].alias("unit"), age["years"].alias("years"))

@@ -22,15 +22,15 @@ SELECT site_id, chrom, pos, ref, alt, gene_no FROM (
  FROM (SELECT p_partkey, substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS b1,
         substr('ACGT', CAST(1 + (p_partkey % 4 + 1 + p_partkey % 3) % 4 AS INT), 1) AS b2 FROM part) x) y
 """,
-    # One genotype per (sample, site), 60 samples; phased, half-called and reference calls, three FILTER values.
+    # One genotype per (sample, site), a sample for each customer; phased, half-called and reference calls, three FILTER values.
     "fx_calls": """
 SELECT sample_id, site_id, gt, dp, gq, ad_alt, filter FROM (
- SELECT concat('S', CAST(o_custkey % 60 AS INT)) AS sample_id, l_partkey AS site_id,
+ SELECT concat('S', CAST(o_custkey AS INT)) AS sample_id, l_partkey AS site_id,
   CASE (l_orderkey + l_linenumber) % 8 WHEN 3 THEN '1/1' WHEN 4 THEN '0|1' WHEN 5 THEN '1|0' WHEN 6 THEN './1' WHEN 7 THEN '0/0' ELSE '0/1' END AS gt,
   CAST(FLOOR(l_quantity) AS INT) AS dp, CAST(FLOOR(l_extendedprice) AS BIGINT) % 100 AS gq,
   CAST(FLOOR(l_quantity * (l_discount * 10)) AS INT) AS ad_alt,
   CASE l_returnflag WHEN 'N' THEN 'PASS' WHEN 'A' THEN '.' ELSE 'LowQual' END AS filter,
-  ROW_NUMBER() OVER (PARTITION BY o_custkey % 60, l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS rn
+  ROW_NUMBER() OVER (PARTITION BY o_custkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS rn
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) t WHERE rn = 1
 """,
     # Three transcripts per site over 23 genes; NULL frequencies and scores; some site-genes without MANE.
@@ -50,11 +50,11 @@ SELECT c_custkey AS row_index, CASE c_custkey % 5 WHEN 0 THEN '1' WHEN 1 THEN '2
  (c_custkey * 104729) % 400000 AS start0, (c_custkey * 104729) % 400000 + 200 + (c_custkey % 7) * 400 AS end0,
  c_mktsegment AS ccre_class FROM customer
 """,
-    # 20 families: proband, mother, father, sex of the proband.
+    # Families of three customers: proband, mother, father, sex of the proband.
     "fx_trios": """
-SELECT concat('F', CAST(c_custkey AS INT)) AS family_id, concat('S', CAST(c_custkey * 3 AS INT)) AS proband, concat('S', CAST(c_custkey * 3 + 1 AS INT)) AS mother,
- concat('S', CAST(c_custkey * 3 + 2 AS INT)) AS father, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS proband_sex
-FROM customer WHERE c_custkey < 20
+SELECT concat('F', CAST(FLOOR(c_custkey / 3.0) AS INT)) AS family_id, concat('S', CAST(c_custkey AS INT)) AS proband, concat('S', CAST(c_custkey + 1 AS INT)) AS mother,
+ concat('S', CAST(c_custkey + 2 AS INT)) AS father, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS proband_sex
+FROM customer WHERE c_custkey % 3 = 0
 """,
     # Protein change of the missense rows.
     "fx_protein": """
@@ -83,13 +83,13 @@ SELECT site_id, transcript_base, score, copy_no FROM (
     # Interval × biosample class codes 0–8.
     "fx_codes": """
 SELECT row_index, sample_index, CASE WHEN (row_index * 7 + sample_index * 13) % 5 < 3 THEN 0 ELSE CAST(1 + (row_index + sample_index) % 8 AS INT) END AS code
-FROM fx_ccre CROSS JOIN (SELECT n_nationkey AS sample_index FROM nation WHERE n_nationkey < 12) s
+FROM fx_ccre CROSS JOIN (SELECT n_nationkey AS sample_index FROM nation) s
 """,
     # Biosample dimension with shared donors.
     "fx_profiles": """
 SELECT n_nationkey AS sample_index, concat('CL:', CAST(n_nationkey % 4 AS INT)) AS ontology_id, concat('D', CAST(n_nationkey % 5 AS INT)) AS donor,
  CASE n_nationkey % 3 WHEN 0 THEN 'full_classification' WHEN 1 THEN 'partial_classification' ELSE 'accessibility_only' END AS evidence_tier
-FROM nation WHERE n_nationkey < 12
+FROM nation
 """,
     # Ontology edges (a tree).
     "fx_edges": """
@@ -118,8 +118,8 @@ FROM (SELECT DISTINCT sample_id FROM fx_calls) s
     "fx_individuals": """
 SELECT concat('P', CAST(c_custkey AS INT)) AS individual_id, concat('S', CAST(c_custkey AS INT)) AS sample_id,
  CASE c_custkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' ELSE '' END AS sex_at_birth,
- CASE WHEN c_custkey % 4 = 0 THEN concat(CAST(c_custkey AS INT), ' months') ELSE CAST(c_custkey AS VARCHAR(10)) END AS age_at_onset
-FROM customer WHERE c_custkey < 60
+ CASE WHEN c_custkey % 4 = 0 THEN concat(CAST(c_custkey AS INT), ' months') ELSE CAST(c_custkey % 140 AS VARCHAR(10)) END AS age_at_onset
+FROM customer
 """,
 }
 
