@@ -280,10 +280,15 @@ def test_ids_are_those_of_the_public_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", " a  b\n\n\tc", "Ünïcödé 😀 don't we'll 123456", "<|endoftext|>", "x" * 5000, "\u3000 　\r\n", "ab" * 3000 + " ."]
+    rng = random.Random(8)
+    bits = ["a", " ", "\n", "é", "😀", "12", "don't", "<|endoftext|>", "<|endof", "text|>", "\u3000"]
+    texts = ["", " a  b\n\n\tc", "Ünïcödé 😀 don't we'll 123456", "<|endoftext|>", "a <|endoftext|> b", "x" * 5000, "\u3000 　\r\n", "ab" * 3000 + " ."]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     for s in texts:
         assert list(packing.token_ids(s)) == [*t.encode(s, add_special_tokens=False).ids, 1]
+    t.encode_special_tokens = True
+    for s in texts:
+        assert list(packing.token_ids(s, special_as_text=True)) == [*t.encode(s, add_special_tokens=False).ids, 1]
 
 
 def test_warc_round_trip(spark):

@@ -9,7 +9,13 @@ First fit: the leftmost bin with room for a piece is found by a walk down a tour
 largest free capacity below them, in log2(bins) steps.
 
 Tokens come from byte-level BPE with the ranks of byte_bpe_50k (the tiktoken file of that vocabulary, whose ids equal those
-of the JSON file for `tokenizers`, and which is three times as fast). Strings of special tokens in a text are ordinary text.
+of the JSON file for `tokenizers`, and which is three times as fast). A special token's string in a text gets that token's
+id, as `tokenizers` gives it with add_special_tokens=False; with special_as_text it is ordinary text, which is safer for
+texts that nobody vouches for.
+
+No padding is stored: a sequence ends with its last piece, and whoever pads it goes up to `capacity`, but leaves one whose
+fill is a power of two. Pieces of equal length go in the order of their numbers; which group a piece is dealt to depends on
+its number alone, so that groups have no ties.
 
 Defined cases: a null or empty text is its end token alone. Repeated rows, also with the same doc_id, are packed as
 documents of their own. A null doc_id is kept. Texts of any length are cut as often as need be. An empty table gives
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: The special tokens of the vocabulary.
+SPECIAL = {"<|endoftext|>": 50256}
 CAPACITY, END_ID, GROUP_TOKENS = 2048, 1, 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _encoders: dict = {}
@@ -43,13 +51,14 @@ def encoder(path: str | None = None):
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
-def token_ids(text: str, path: str | None = None) -> np.ndarray:
+def token_ids(text: str, path: str | None = None, special_as_text: bool = False) -> np.ndarray:
     """The document's ids as unsigned 32-bit integers, with the end token."""
-    return np.array([*encoder(path).encode_ordinary(text), END_ID], dtype="<u4")
+    ids = encoder(path).encode_ordinary(text) if special_as_text else encoder(path).encode(text, allowed_special="all")
+    return np.array([*ids, END_ID], dtype="<u4")
 
 
 def cut(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int]]:
@@ -59,14 +68,14 @@ def cut(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, int, i
         yield start, len(part), zlib.crc32(part.tobytes())
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, special_as_text: bool = False) -> DataFrame:
     """PIECES of docs (doc_id, text)."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = token_ids(text.as_py(), path)
+                ids = token_ids(text.as_py(), path, special_as_text)
                 rows += [(doc_id, start, length, crc, len(ids)) for start, length, crc in cut(ids, capacity)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
@@ -97,14 +106,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
     return bins, offsets
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, seed: int = 17, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, seed: int = 17, path: str | None = None, special_as_text: bool = False) -> DataFrame:
     """PIECES with sequence_id and offset for docs (doc_id, text).
 
     The pieces are written once with a number of their own, by which they are dealt: repeated ids fall into different
     groups, and a group that is packed again gets the same pieces in the same order.
     """
     common.ship(docs.sparkSession)
-    cut_up = common.materialize(pieces(docs, capacity, path).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    cut_up = common.materialize(pieces(docs, capacity, path, special_as_text).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     loose = cut_up.filter(F.col("length") < capacity)
     tokens = loose.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-tokens // group_tokens))
