@@ -125,6 +125,24 @@ def test_rules_come_before_reputation(spark):
     assert empty.count() == 0
 
 
+def test_domains_by_a_suffix_table(spark):
+    hosts = ["www.a.co.za", "a.co.za", "co.za", "x.y.city.kawasaki.jp", "a.b.com:8080", "1.2.3.4", "1.2.3.4:80", "[::1]:443", "local", "", "a.co.uk"]
+    table = spark.createDataFrame([("za",), ("co.za",), ("CITY.kawasaki.jp",), ("jp",), ("com",)], "suffix string")
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filters.with_domains(rows, table).collect()}
+    assert [got[h] for h in hosts[:5]] == [("a.co.za", "co.za"), ("a.co.za", "co.za"), ("co.za", "co.za"), ("y.city.kawasaki.jp", "city.kawasaki.jp"), ("b.com", "com")]
+    assert [got[h] for h in hosts[5:8]] == [("1.2.3.4", "(address)"), ("1.2.3.4", "(address)"), ("[::1]", "(address)")]
+    assert [got[h] for h in hosts[8:]] == [("local", "local"), ("", ""), ("a.co.uk", "co.uk")]
+
+
+def test_labelled_outcomes_reach_unseen_hosts(spark):
+    """Hosts of a domain with many bad pages are blocked without a page of their own, and others are not."""
+    pages = spark.createDataFrame([(1, "http://new.spam.com/x"), (2, "http://fine.org/"), (3, "http://unseen.net/"), (4, "http://new.fine.org/")], "page_id long, url string")
+    seen = [(f"http://h{i}.spam.com/", False) for i in range(60) for _ in range(3)] + [(f"http://s{i}.com/", True) for i in range(60) for _ in range(3)] + [(f"http://h{i}.fine.org/", True) for i in range(60)]
+    out = {r.page_id: r.verdict for r in url_filters.judge(pages, [], spark.createDataFrame(seen, "url string, good boolean")).collect()}
+    assert out == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
 BRUTE = {r.kind: re.compile(r.pattern) for r in secrets.RULES}
 
 

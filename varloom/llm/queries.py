@@ -82,16 +82,17 @@ _RULE_FITS = " ".join(
     f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{v} {r}'"
     for v, r in sorted(URL_RULES, key=lambda x: -len(x[1]))
 )
+_ADDRESS = r"regexp_matches(name, '^([0-9]+([.][0-9]+){3}|\[.*\])$')"
 _LONG = ", ".join(f"'{x}'" for x in url_filters.LONG_SUFFIXES)
 
 OP4 = f"""
 WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 hit AS (SELECT *, CASE {_RULE_FITS} END AS hit FROM urls),
-h AS (SELECT host, count(*) AS pages, count(hit) AS n, count(*) FILTER (WHERE starts_with(hit, 'allow')) AS good, string_split(host, '.') AS p FROM hit GROUP BY host),
+h AS (SELECT host, count(*) AS pages, count(hit) AS n, count(*) FILTER (WHERE starts_with(hit, 'allow')) AS good, regexp_replace(host, ':[0-9]*$', '') AS name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS p FROM hit GROUP BY host),
 h2 AS (SELECT host, n::DOUBLE AS n, good::DOUBLE AS good, n AS n_int, good AS good_int,
-  CASE WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
-  CASE WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM h),
+  CASE WHEN {_ADDRESS} THEN name WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+  CASE WHEN {_ADDRESS} THEN '{url_filters.ADDRESS}' WHEN array_to_string(p[-2:], '.') IN ({_LONG}) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM h),
 d0 AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h2 GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d0 GROUP BY ALL),
 {_op4_level('sl', 's0 t', "(SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM s0)")},
