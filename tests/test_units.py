@@ -9,6 +9,8 @@ from varloom.functions import alleles as A
 from varloom.functions import fields as X
 from varloom.functions import genotypes as G
 from varloom.functions.scratch import scratch_path
+from varloom.operators import clinical as L
+from varloom.operators import genes as E
 from varloom.operators import haplotypes as T
 from varloom.operators import intervals as I
 from varloom.operators import library as B
@@ -304,3 +306,45 @@ def test_contexts_are_known_beyond_ten_thousand(spark):
     assert R.filter_contexts(sites, overlaps, contexts, ids[7:8] * 2, "all").count() == 1
     with pytest.raises(ValueError):
         R.filter_contexts(sites, overlaps, contexts, [ids[0], "CL:x"])
+
+
+def test_findings_have_the_tags_of_their_wording(spark):
+    want = {
+        "normal count, low memory B cells": (["Reduced", "Normal", "Functional / subset abnormality"], ["Other lymphocyte"]),
+        "Not assessed; T cells low": (["Not assessed"], ["Other lymphocyte"]),
+        "NK cells absent, monocytes/macrophages increased": (["Absent / very low", "Increased", "Variable / mixed"], ["NK / innate lymphoid", "Myeloid / phagocyte"]),
+        "Low to  normal": (["Reduced", "Normal", "Variable / mixed"], ["Other cell or tissue"]),
+        "severely  low platelets": (["Absent / very low", "Reduced"], ["Platelet / erythroid"]),
+        "hyperplasia": (["Descriptive finding"], ["Other cell or tissue"]),
+        "unknowns": (["Descriptive finding"], ["Other cell or tissue"]),
+        "   ": ([], []),
+        None: ([], []),
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", E.finding_tags(F.col("t")).alias("tags"), E.cell_groups(F.col("t")).alias("cells"))
+    assert {r.t: (r.tags, r.cells) for r in rows.collect()} == want
+
+
+def test_a_clinical_record_without_position_stops_the_scan(spark):
+    rows = spark.createDataFrame([("1", "x5", "a", "A", "C", "CLNSIG=Pathogenic;MC=SO:1|missense_variant")], "chrom string, pos string, id string, ref string, alt string, info string")
+    with pytest.raises(Exception, match="whole number as position"):
+        L.missense_scan(rows).collect()
+    assert L.missense_scan(rows.withColumn("info", F.lit("CLNSIG=Benign;MC=missense_variant"))).count() == 0
+    assert L.missense_scan(rows.limit(0)).count() == 0
+
+
+def test_prepared_gene_scores_are_ranged_and_unique(spark):
+    kind = "variant string, gene string, a string, dropped string"
+    good = [("chrX-7-a-g", "ENSG00000000001.3", "0.5", "q"), ("10-5-A-C", "ENSG00000000001", "NA", "q"), ("2-9-A-C", "ENSG00000000002", "1", "q"), ("2-3-A-C", "ENSG00000000002", "0", "q"), ("M-1-A-C", "ENSG00000000002", "0", "q")]
+    out = S.prepared_gene_scores(spark.createDataFrame(good, kind), ["a"], partitions=1)
+    assert [tuple(r) for r in out.collect()] == [("2", 3, "A", "C", "ENSG00000000002", "0"), ("2", 9, "A", "C", "ENSG00000000002", "1"), ("10", 5, "A", "C", "ENSG00000000001", "."), ("X", 7, "A", "G", "ENSG00000000001", "0.5"), ("MT", 1, "A", "C", "ENSG00000000002", "0")]
+    for bad, why in ((good + [("x-7-A-G", "ENSG00000000001.9", "0.1", "q")], "repeated"), (good + [("3-1-A-G", "ENSG1", "0.1", "q")], "invalid: gene"), (good + [("3-1-A-G", "ENSG00000000003", "inf", "q")], "invalid: score a")):
+        with pytest.raises(Exception, match=why):
+            S.prepared_gene_scores(spark.createDataFrame(bad, kind), ["a"]).collect()
+
+
+def test_evidence_of_an_alt_by_name_and_by_slot(spark):
+    alts = F.array(F.lit("C"), F.lit("G"))
+    cases = [("c|x,g|y", 1, ["g|y"], ["g|y"]), ("C|x&G|y", 0, ["C|x"], ["C|x"]), ("u,v", 1, ["v"], []), ("%47|z", 1, ["%47|z"], ["%47|z"]), ("-", 0, [], []), (None, 0, [], []), ("a|1,b|2,c|3", 0, [], ["c|3"])]
+    rows = spark.createDataFrame([(i, r, k) for i, (r, k, _, _) in enumerate(cases)], "i int, raw string, k int").withColumn("alt", F.when(F.col("k") == 0, "C").otherwise("G"))
+    got = rows.select("i", X.assertions_of_alt(F.col("raw"), F.col("alt"), F.col("k"), alts).alias("a"), X.records_of_alt(F.col("raw"), F.col("alt"), F.col("k"), alts).alias("r")).orderBy("i").collect()
+    assert [(g.a, g.r) for g in got] == [(a, r) for _, _, a, r in cases]

@@ -13,6 +13,12 @@ FREQUENCY_GROUPS = (
     ("max_af", ("MAX_AF",)),
     ("gnomad_global", ("gnomADg_AF", "gnomADe_AF", "gnomAD_AF")),
 )
+#: Fields of protein-level matches, one slot an ALT.
+PROTEIN_MATCH_FIELDS = (
+    "ClinVar_path_aa_match", "ClinVar_path_aa_change_match", "ClinVar_path_aa_details",
+    "ClinGen_path_aa_match", "ClinGen_path_aa_change_match", "ClinGen_path_aa_details",
+    "GenIA_path_aa_match", "GenIA_path_aa_change_match", "GenIA_path_aa_details",
+)
 #: Three-letter amino acids and their letters.
 AMINO_ACIDS = {"Ala": "A", "Arg": "R", "Asn": "N", "Asp": "D", "Cys": "C", "Gln": "Q", "Glu": "E", "Gly": "G", "His": "H", "Ile": "I", "Leu": "L", "Lys": "K", "Met": "M", "Phe": "F", "Pro": "P", "Ser": "S", "Thr": "T", "Trp": "W", "Tyr": "Y", "Val": "V", "Sec": "U", "Ter": "*"}
 
@@ -89,9 +95,50 @@ def per_allele(value: Column, alt_index: Column, n_alts: Column) -> Column:
     return F.when(F.size(tokens) == n_alts, present(F.get(tokens, alt_index)))
 
 
-def tagged_tokens(value: Column, alt: Column) -> Column:
-    """Tokens of a comma-separated value whose first |-part is the ALT."""
-    return F.filter(F.split(value, ","), lambda x: F.substring_index(x, "|", 1) == alt)
+def _tokens_of_alt(value: Column, alt_index: Column, alts: Column, least_alts: int, fold) -> tuple[Column, Column, Column]:
+    """(tokens that may belong to the ALT, whether any token names an ALT, whether there is a slot for each ALT).
+
+    A value is a list of comma slots, each of tokens joined by &. Tokens that name their ALT before the first | decide over
+    the number of slots: only without any such token does a slot for each ALT count as that ALT's.
+    """
+    slots = F.split(value, ",", -1)
+    every = F.flatten(F.transform(slots, lambda s: F.split(s, "&", -1)))
+    known = F.transform(alts, fold)
+    named = F.exists(every, lambda t: t.contains("|") & F.array_contains(known, fold(percent_decoded(F.substring_index(t, "|", 1)))))
+    by_slot = (F.size(slots) == F.size(alts)) & (F.size(alts) >= least_alts)
+    own = F.when(~named & by_slot, F.split(F.get(slots, alt_index), "&", -1)).otherwise(every)
+    return F.filter(own, lambda t: ~t.isin(*MISSING)), named, by_slot
+
+
+def assertions_of_alt(value: Column, alt: Column, alt_index: Column, alts: Column) -> Column:
+    """array of the assertions that belong to one ALT (alt_index from 0 in array alts); an unnamed token belongs to each."""
+    own, named, by_slot = _tokens_of_alt(value, alt_index, alts, 2, lambda x: x)
+    lead = lambda t: percent_decoded(F.substring_index(t, "|", 1))
+    mine = lambda t: ~t.contains("|") | (lead(t) == alt) | (F.size(alts) == 1) | (~named & by_slot & ~F.array_contains(alts, lead(t)))
+    return F.when(present(value).isNull(), F.array().cast("array<string>")).otherwise(F.filter(own, mine))
+
+
+def records_of_alt(value: Column, alt: Column, alt_index: Column, alts: Column) -> Column:
+    """array of the records that name one ALT, in either case; records without a name belong to none."""
+    own, _, _ = _tokens_of_alt(value, alt_index, alts, 1, F.upper)
+    mine = lambda t: t.contains("|") & (F.upper(percent_decoded(F.substring_index(t, "|", 1))) == F.upper(alt))
+    return F.when(present(value).isNull(), F.array().cast("array<string>")).otherwise(F.filter(own, mine))
+
+
+def prediction_info(info: Column, alt: Column, alt_index: Column, alts: Column) -> Column:
+    """The INFO map with the evidence of one ALT only: protein matches by slot, assertions and records by ALT, with their numbers."""
+    slot = lambda v: F.coalesce(present(F.get(F.split(v, ",", -1), alt_index)), F.lit(""))
+    number = lambda a: F.when(F.size(a) > 0, F.size(a).cast("string")).otherwise("")
+    assertions = assertions_of_alt(F.coalesce(info["ClinGen_ERepo"], F.lit("")), alt, alt_index, alts)
+    records = records_of_alt(F.coalesce(info["GenIA"], F.lit("")), alt, alt_index, alts)
+    put = [
+        (info["ClinGen_ERepo"].isNotNull(), {"ClinGen_ERepo": F.array_join(assertions, ","), "ClinGen_ERepo_count": number(assertions)}),
+        (info["GenIA"].isNotNull() | info["GenIA_count"].isNotNull(), {"GenIA": F.array_join(records, "&"), "GenIA_count": number(records)}),
+        *[(info[k].isNotNull(), {k: percent_decoded(slot(info[k]))}) for k in PROTEIN_MATCH_FIELDS],
+    ]
+    own = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(k).alias("key"), v.alias("value"))) for there, values in put for k, v in values.items()]))
+    changed = F.transform(own, lambda e: e["key"])
+    return F.map_concat(F.map_filter(info, lambda k, v: ~F.array_contains(changed, k)), F.map_from_entries(own))
 
 
 def population_frequency(values: dict[str, Column]) -> tuple[Column, Column]:

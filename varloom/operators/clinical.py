@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions.alleles import chromosome
+from varloom.functions.fields import info_map
+
 #: Whole labels that count as pathogenic, and classes in clinical order.
 PATHOGENIC = ("pathogenic", "likely pathogenic", "pathogenic/likely pathogenic")
 CLASS_ORDER = ("Pathogenic", "Likely_pathogenic", "Uncertain_significance", "Likely_benign", "Benign")
@@ -70,6 +73,27 @@ def ordered_classes(rows: DataFrame, by: str, label: str) -> DataFrame:
     return rows.groupBy(by).agg(F.array_sort(F.collect_set(pair)).alias("_c")).select(by, F.transform("_c", lambda x: x["c"]).alias("classes"))
 
 
+def missense_scan(records: DataFrame, labels: tuple[str, ...] = PATHOGENIC) -> DataFrame:
+    """chrom, pos, ref, alt, record_id, classification, disease, genes: an ALT each of the pathogenic missense records of a clinical VCF.
+
+    records: chrom, pos, id, ref, alt, info as `sources.vcf.records` gives them. Whole labels decide, as in `is_pathogenic_label`;
+    ALTs that aren't plain sequence are left out, and take their number with them. A record without position stops the job.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = records.withColumn("_i", info_map(F.col("info")))
+    rows = rows.filter(is_pathogenic_label(F.col("_i")["CLNSIG"], labels) & text(F.col("_i")["MC"]).contains("missense_variant"))
+    position = F.coalesce(F.col("pos").try_cast("long"), F.raise_error(F.lit("a clinical record has no whole number as position")).cast("long"))
+    alts = F.split("alt", ",", -1)
+    rows = rows.withColumns({"_pos": position, "_n": F.size(alts)}).select("*", F.posexplode(alts).alias("_k", "_alt"))
+    rows = rows.filter(F.col("ref").rlike("^[ACGTNacgtn]+$") & F.col("_alt").rlike("^[ACGTNacgtn]+$"))
+    own = F.coalesce(F.when(~F.col("id").isin("", "."), F.col("id")), F.concat_ws(":", chromosome(F.col("chrom")), F.col("_pos").cast("string"), "ref", "_alt"))
+    genes = F.filter(F.transform(F.split(text(F.col("_i")["GENEINFO"]), r"\|"), lambda g: F.substring_index(g, ":", 1)), lambda g: g != "")
+    return rows.select(
+        "chrom", F.col("_pos").alias("pos"), "ref", F.col("_alt").alias("alt"), F.when(F.col("_n") > 1, F.concat(own, F.lit(":ALT"), F.col("_k") + 1)).otherwise(own).alias("record_id"),
+        F.translate(F.col("_i")["CLNSIG"], "_", " ").alias("classification"), F.translate(text(F.col("_i")["CLNDN"]), "_", " ").alias("disease"), F.array_join(genes, "|").alias("genes"),
+    )
+
+
 def build_catalog(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """One catalog from sources with the same columns: pathogenic rows, one for each record, gene, transcript, position and change; the first source's row wins."""
     parts = [df.filter(is_pathogenic_label(F.col("classification"))).withColumns({"source": F.lit(name), "_o": F.lit(i)}) for i, (name, df) in enumerate(sources)]

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tags of free-text laboratory findings; a finding that wasn't assessed has no other tag.
-FINDING_TAGS = {"low": r"\b(low|decreased|reduced|absent)\b", "high": r"\b(high|increased|elevated)\b", "normal": r"\bnormal\b", "variable": r"\b(variable|fluctuating)\b"}
-NOT_ASSESSED = r"not (assessed|tested|done)"
-CELL_GROUPS = {"T": r"\bt[- ]?cells?\b", "B": r"\bb[- ]?cells?\b", "NK": r"\bnk[- ]?cells?\b", "neutrophil": r"\bneutrophils?\b"}
+# Labels of free-text laboratory findings and of the cells that they name, with the wording of each.
+NOT_ASSESSED, OTHER_FINDING, OTHER_CELLS = "Not assessed", "Descriptive finding", "Other cell or tissue"
+FINDING_TAGS = {
+    "Not assessed": r"\b(?:not assessed|no data|unknown|not available)\b",
+    "Absent / very low": r"\b(?:absent|undetectable|very low|profound(?:ly)?|severe(?:ly)? low|agammaglobulin\w*|depletion)\b",
+    "Reduced": r"\b(?:low|decreas\w*|reduc\w*|lymphopen\w*|neutropen\w*|hypogammaglobulin\w*|pancytopen\w*|declin\w*)\b",
+    "Increased": r"\b(?:high|increas\w*|elevat\w*|expan\w*)\b",
+    "Normal": r"\b(?:normal|nl|near-normal)\b",
+    "Variable / mixed": r"\b(?:variab\w*|occasion\w*|sometimes|may be|normal to|normal or|low to normal|to high|to low)\b|/",
+    "Functional / subset abnormality": r"\b(?:poor|impair\w*|dysfunction\w*|defect\w*|response\w*|proliferat\w*|activat\w*|memory|transitional|naive|naïve|class switch\w*|treg|cytotoxic\w*)\b",
+}
+CELL_GROUPS = {
+    "NK / innate lymphoid": r"\b(?:NK|NKT|iNKT|MAIT)\b",
+    "Myeloid / phagocyte": r"\b(?:myeloid|monocyte|macrophage|phagocyte|granulocyte|PMN|neutrophil)\w*\b",
+    "Dendritic cell": r"\b(?:dendritic|DC|pDC|MDC)\w*\b",
+    "Stem / progenitor": r"\b(?:hematopoietic stem|bone marrow|progenitor)\w*\b",
+    "Platelet / erythroid": r"\b(?:platelet|erythroid|red cell|anaemia|anemia|hemoglobin|Hb)\w*\b",
+    "Epithelial / skin": r"\b(?:epithelial|epidermis|keratinocyte|skin)\w*\b",
+    "CNS / microglia": r"\b(?:CNS|central nervous|microglia|brain)\w*\b",
+    "Stromal / fibroblast": r"\b(?:stromal|fibroblast)\w*\b",
+    "Osteoclast": r"\bosteoclast\w*\b",
+    "Other lymphocyte": r"\b(?:lymphocyte|T cell|B cell|Treg|gamma.?delta|g/d)\w*\b",
+    "Eosinophil / mast cell": r"\b(?:eosinophil|mast cell)\w*\b",
+}
 #: Curated status labels by code.
 CURATION = {"1": "Definitive", "2": "Strong", "3": "Moderate", "4": "Limited", "5": "Disputed"}
 
@@ -106,16 +126,22 @@ def curation(code: Column) -> Column:
     return F.create_map(*[F.lit(x) for p in CURATION.items() for x in p])[code]
 
 
+def _labels(text: Column, wording: dict[str, str], other: str) -> Column:
+    """The labels whose wording a text has, `other` alone if it has none, and nothing for a text without words."""
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), r"\s+", " "))
+    found = F.array_compact(F.array(*[F.when(plain.rlike(f"(?i){w}"), label) for label, w in wording.items()]))
+    return F.when(plain == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.lit(other))).otherwise(found)
+
+
 def finding_tags(text: Column) -> Column:
-    """array<string> of the tags of a finding; not_assessed alone if it says so."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    tags = F.array_compact(F.array(*[F.when(low.rlike(p), t) for t, p in FINDING_TAGS.items()]))
-    return F.when(low.rlike(NOT_ASSESSED), F.array(F.lit("not_assessed"))).otherwise(tags)
+    """array<string> of a finding's tags, several if its wording has several; one that says it wasn't assessed has that tag alone."""
+    tags = _labels(text, FINDING_TAGS, OTHER_FINDING)
+    return F.when(F.array_contains(tags, NOT_ASSESSED), F.array(F.lit(NOT_ASSESSED))).otherwise(tags)
 
 
 def cell_groups(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(p), g) for g, p in CELL_GROUPS.items()]))
+    """array<string> of the groups of cells that a finding names."""
+    return _labels(text, CELL_GROUPS, OTHER_CELLS)
 
 
 def phenotype_parts(text: Column) -> Column:

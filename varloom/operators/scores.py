@@ -219,3 +219,43 @@ def phred(text: Column) -> Column:
     """A phred-like score: one plain decimal, not negative."""
     v = X.strict_decimal(text)
     return F.when(v >= 0, v)
+
+
+#: Markers of a withheld score, and names that a contig may have.
+WITHHELD = ("", ".", "na", "n/a", "nan")
+CONTIG = r"^([1-9]|1[0-9]|2[0-2]|X|Y|MT)$"
+
+
+def gene_scores(rows: DataFrame, scores: list[str], allele: str = "variant", gene: str = "gene") -> DataFrame:
+    """chrom, pos, ref, alt, gene, the scores as text and `reason` for rows of a gene-level score table with ids chrom-pos-ref-alt.
+
+    Only the named scores are kept; a withheld one is a dot. reason names the first rule that a row breaks, null if none: a
+    known contig, a whole position from 1 on, one base changed into another, an Ensembl gene id (its version is dropped), and
+    scores from 0 to 1.
+    """
+    parts = F.split(F.col(allele), "-", -1)
+    part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
+    plain = F.regexp_replace(F.trim(part(0)), "(?i)^chr", "")
+    chrom = F.when(F.upper(plain) == "M", "MT").when(F.upper(plain).isin("X", "Y", "MT"), F.upper(plain)).otherwise(plain)
+    pos, ref, alt = F.trim(part(1)).try_cast("long"), F.upper(part(2)), F.upper(part(3))
+    kept = {c: F.when(F.lower(F.trim(c)).isin(*WITHHELD) | F.col(c).isNull(), ".").otherwise(F.trim(c)) for c in scores}
+    bad = lambda c: (kept[c] != ".") & ~F.coalesce(kept[c].try_cast("double").between(0, 1), F.lit(False))
+    base = lambda x: x.isin("A", "C", "G", "T")
+    reason = F.when(F.coalesce(F.size(parts), F.lit(0)) != 4, "variant id").when(~chrom.rlike(CONTIG), "contig").when(F.coalesce(pos, F.lit(0)) < 1, "position").when(~base(ref) | ~base(alt) | (ref == alt), "not a single base")
+    reason = reason.when(~F.coalesce(F.col(gene).rlike(r"^ENSG[0-9]{11}([.][0-9]+)?$"), F.lit(False)), "gene")
+    for c in scores:
+        reason = reason.when(bad(c), f"score {c}")
+    return rows.select(chrom.alias("chrom"), pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), F.substring_index(gene, ".", 1).alias("gene"), *[v.alias(c) for c, v in kept.items()], reason.alias("reason"))
+
+
+def prepared_gene_scores(rows: DataFrame, scores: list[str], allele: str = "variant", gene: str = "gene", partitions: int | None = None) -> DataFrame:
+    """`gene_scores` as a table in ranges of place, sorted within; a row that breaks a rule or repeats an allele and gene stops the job."""
+    key = ["chrom", "pos", "ref", "alt", "gene"]
+    read = gene_scores(rows, scores, allele, gene)
+    firm = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("a score row is invalid: "), "reason")).cast("string")).otherwise(F.col("chrom"))
+    once = read.withColumn("chrom", firm).groupBy(*key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in scores])
+    once = once.withColumn("gene", F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit("an allele and gene are repeated:"), "chrom", F.col("pos").cast("string"), "gene")).cast("string")).otherwise(F.col("gene")))
+    order = [F.when(F.col("chrom").rlike("^[0-9]+$"), F.col("chrom").cast("int")).otherwise(F.array_position(F.array(F.lit("X"), F.lit("Y"), F.lit("MT")), F.col("chrom")) + 22), "pos"]
+    ranged = once.drop("_n").withColumn("_o", order[0])
+    ranged = ranged.repartitionByRange(partitions, "_o", "pos") if partitions else ranged.repartitionByRange("_o", "pos")
+    return ranged.sortWithinPartitions("_o", "pos", "ref", "alt", "gene").drop("_o")

@@ -206,9 +206,49 @@ def ids(v):
     return p.select("mim", E.disease_id(F.concat(F.lit("mondo_"), "mim")).alias("mondo"), E.disease_id(F.concat(F.when(F.col("mim") % 2 == 0, "MIM #").otherwise("x"), F.col("mim"))).alias("omim"), parts["name"].alias("name"), parts["mapping_key"].alias("mapping_key"), parts["inheritance"].alias("inheritance"), E.curation(F.col("mapping_key").cast("string")).alias("status"))
 
 
-@on_views("p31_finding_tags", (), r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '\b(low|decreased|reduced|absent)\b') THEN 'low' END, CASE WHEN regexp_matches(t, '\b(high|increased|elevated)\b') THEN 'high' END, CASE WHEN regexp_matches(t, '\bnormal\b') THEN 'normal' END, CASE WHEN regexp_matches(t, '\b(variable|fluctuating)\b') THEN 'variable' END], lambda x: x IS NOT NULL), ',') AS tags
- FROM (SELECT doc_id, lower(concat(CASE doc_id % 4 WHEN 0 THEN 'Low T-cells. ' WHEN 1 THEN 'elevated NK cells, normal B cells ' ELSE '' END, text)) AS t FROM documents)""")
+FINDINGS = """
+fi AS (SELECT doc_id, trim(regexp_replace(replace(concat(CASE doc_id % 8 WHEN 0 THEN 'Normal count, low memory B cells ' WHEN 1 THEN 'NK cells: absent; monocytes elevated ' WHEN 2 THEN 'T cell response not assessed, low '
+  WHEN 3 THEN 'Low to normal' || chr(160) || 'neutrophils/platelets ' WHEN 4 THEN 'Hypogammaglobulinemia, poor proliferation, skin ' WHEN 5 THEN 'Expanded gamma-delta, eosinophils high ' ELSE '' END, coalesce(text, '')), chr(160), ' '), '\\s+', ' ', 'g')) AS t FROM documents)"""
+
+
+def _wording(table: dict[str, str], other: str) -> str:
+    found = ", ".join(f"CASE WHEN regexp_matches(t, '{w}', 'i') THEN '{label}' END" for label, w in table.items())
+    return f"CASE WHEN t = '' THEN [] ELSE coalesce(nullif(list_filter([{found}], lambda x: x IS NOT NULL), []), ['{other}']) END"
+
+
+@on_views("p31_finding_tags", (), f"""SELECT doc_id, array_to_string(CASE WHEN list_contains(tags, 'Not assessed') THEN ['Not assessed'] ELSE tags END, ';') AS tags, array_to_string(cells, ';') AS cells
+ FROM (SELECT doc_id, {_wording(E.FINDING_TAGS, 'Descriptive finding')} AS tags, {_wording(E.CELL_GROUPS, 'Other cell or tissue')} AS cells FROM fi)""", FINDINGS)
 def tags(v):
-    n = F.col("doc_id")
-    text = F.concat(F.when(n % 4 == 0, "Low T-cells. ").when(n % 4 == 1, "elevated NK cells, normal B cells ").otherwise(""), F.col("text"))
-    return v.table("documents").select("doc_id", F.array_join(E.finding_tags(text), ",").alias("tags"))
+    """Findings on documents; a unit test holds the tags of fixed wordings."""
+    n = F.col("doc_id") % 8
+    lead = F.when(n == 0, "Normal count, low memory B cells ").when(n == 1, "NK cells: absent; monocytes elevated ").when(n == 2, "T cell response not assessed, low ").when(n == 3, "Low to normal\u00a0neutrophils/platelets ")
+    lead = lead.when(n == 4, "Hypogammaglobulinemia, poor proliferation, skin ").when(n == 5, "Expanded gamma-delta, eosinophils high ").otherwise("")
+    text = F.concat(lead, F.coalesce("text", F.lit("")))
+    return v.table("documents").select("doc_id", F.array_join(E.finding_tags(text), ";").alias("tags"), F.array_join(E.cell_groups(text), ";").alias("cells"))
+
+
+@on_views("s18_missense_scan", ("fx_sites",), """SELECT chrom, pos, ref, one AS alt, CASE WHEN site_id % 4 = 0 THEN concat(CASE replace(chrom, 'chr', '') WHEN 'M' THEN 'MT' ELSE replace(chrom, 'chr', '') END, ':', pos, ':', ref, ':', one) ELSE 'R' || site_id END || CASE WHEN site_id % 3 = 2 THEN '' WHEN k = 0 THEN ':ALT1' ELSE ':ALT2' END AS record_id,
+ CASE site_id % 5 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely pathogenic' ELSE 'Pathogenic/Likely pathogenic' END AS classification, CASE WHEN site_id % 7 = 0 THEN '' ELSE 'Immune deficiency ' || site_id % 7 END AS disease, CASE WHEN site_id % 7 = 1 THEN '' ELSE 'G' || gene_no || '|H1' END AS genes
+ FROM (SELECT *, alt AS one, 0 AS k FROM fx_sites UNION ALL SELECT *, 'TT', 1 FROM fx_sites WHERE site_id % 3 = 1) WHERE site_id % 2 = 0 AND site_id % 5 IN (0, 1, 4)""")
+def missense(v):
+    """A clinical VCF made from the sites: compound and benign labels, other consequences and symbolic second ALTs stay out."""
+    n = F.col("site_id")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("Pathogenic", "Likely_pathogenic", "Pathogenic|risk_factor", "Benign", "Pathogenic/Likely_pathogenic")]), (n % 5 + 1).cast("int"))
+    info = F.concat_ws(";", F.concat(F.lit("CLNSIG="), label), F.when(n % 2 == 0, "MC=SO:0001583|missense_variant,SO:0001623|5_prime_UTR_variant").otherwise("MC=SO:0001627|intron_variant"), F.when(n % 7 != 0, F.concat(F.lit("CLNDN=Immune_deficiency_"), n % 7)), F.when(n % 7 != 1, F.concat(F.lit("GENEINFO=G"), "gene_no", F.lit(":12|H1:13|"))))
+    alts = F.concat("alt", F.when(n % 3 == 0, ",<DEL>").when(n % 3 == 1, ",TT").otherwise(""))
+    rows = v.sites.select("chrom", F.col("pos").cast("string").alias("pos"), F.when(n % 4 == 0, ".").otherwise(F.concat(F.lit("R"), n)).alias("id"), "ref", alts.alias("alt"), info.alias("info"))
+    return L.missense_scan(rows)
+
+
+@on_views("p09_alt_evidence", ("fx_sites",), """SELECT site_id, k AS alt_index, CASE site_id % 6 WHEN 0 THEN CASE k WHEN 0 THEN alt || '|A1|x,' || alt || '|A2|y' ELSE '' END WHEN 1 THEN CASE k WHEN 0 THEN 'A1,A2' ELSE '' END WHEN 2 THEN CASE k WHEN 0 THEN 'A1|p' ELSE 'A2|q' END
+  WHEN 4 THEN CASE k WHEN 0 THEN alt || '|A1' ELSE 'TTTTTTTTT|A2' END WHEN 5 THEN 'A9' ELSE '' END AS assertions, CASE site_id % 6 WHEN 0 THEN CASE k WHEN 0 THEN '2' ELSE '' END WHEN 1 THEN CASE k WHEN 0 THEN '2' ELSE '' END WHEN 3 THEN '' ELSE '1' END AS n_assertions,
+ CASE site_id % 6 WHEN 0 THEN CASE k WHEN 0 THEN alt || '|A1|x&' || alt || '|A2|y' ELSE '' END WHEN 4 THEN CASE k WHEN 0 THEN alt || '|A1' ELSE 'TTTTTTTTT|A2' END ELSE '' END AS records, CASE k WHEN 0 THEN 'yes,no' ELSE '' END AS matched FROM fx_sites, (SELECT 0 AS k UNION ALL SELECT 1) ks""")
+def alt_evidence(v):
+    """Record-wide lists, slots for each ALT, named and unnamed tokens, for both ALTs of a record."""
+    n, alt = F.col("site_id") % 6, F.col("alt")
+    raw = F.when(n == 0, F.concat(alt, F.lit("|A1|x,"), alt, F.lit("|A2|y"))).when(n == 1, "A1&A2,.").when(n == 2, "A1|p,A2|q").when(n == 3, ".").when(n == 4, F.concat(alt, F.lit("|A1,TTTTTTTTT|A2"))).otherwise("A9")
+    info = F.create_map(F.lit("ClinGen_ERepo"), raw, F.lit("GenIA"), raw, F.lit("ClinVar_path_aa_match"), F.lit("yes%2Cno,."), F.lit("DB"), F.lit("1"))
+    rows = v.sites.withColumn("alts", F.array(alt, F.lit("TTTTTTTTT"))).withColumn("info", info).select("site_id", "alts", "info", F.posexplode("alts").alias("alt_index", "one"))
+    own = X.prediction_info(F.col("info"), F.col("one"), F.col("alt_index"), F.col("alts"))
+    return rows.select("site_id", "alt_index", own["ClinGen_ERepo"].alias("assertions"), own["ClinGen_ERepo_count"].alias("n_assertions"), own["GenIA"].alias("records"), own["ClinVar_path_aa_match"].alias("matched"))
+

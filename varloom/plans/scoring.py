@@ -200,3 +200,20 @@ def records(v):
 @on_views("x11_route_counts", FLAGS, "SELECT coalesce(route, 'dropped') AS route, count(*) AS alts FROM rt GROUP BY 1", KEYED, ALTS)
 def routes(v):
     return W.route_counts(evaluated(v))
+
+
+@on_views("x15_gene_scores", ("fx_sites",), """SELECT site_id, CASE WHEN reason IS NULL THEN concat_ws(':', c, pos, ref, alt, gene, CASE WHEN site_id % 7 = 0 THEN '.' ELSE (site_id % 100)::VARCHAR || 'e-2' END) ELSE reason END AS row_text
+ FROM (SELECT *, CASE WHEN chrom = 'M' THEN 'MT' ELSE replace(chrom, 'chr', '') END AS c, 'ENSG' || lpad(site_id::VARCHAR, 11, '0') AS gene, CASE WHEN site_id % 31 = 0 THEN 'variant id' WHEN site_id % 37 = 0 THEN 'contig' WHEN site_id % 41 = 0 THEN 'position' WHEN length(ref) <> 1 OR length(alt) <> 1 OR ref = alt THEN 'not a single base'
+   WHEN site_id % 43 = 0 THEN 'gene' WHEN site_id % 47 = 0 THEN 'score b' END AS reason FROM fx_sites)""")
+def gene_scores(v):
+    """Score rows with ids of four parts, withheld scores and one broken rule each."""
+    n = F.col("site_id")
+    allele = F.when(n % 31 == 0, "1-5-A").otherwise(F.concat_ws("-", F.when(n % 37 == 0, "chr23").otherwise(F.col("chrom")), F.when(n % 41 == 0, "0").otherwise(F.col("pos").cast("string")), F.lower("ref"), "alt"))
+    gene = F.concat(F.lit("ENSG"), F.lpad(n.cast("string"), 11, "0"), F.when(n % 43 == 0, "x").when(n % 3 == 0, ".12").otherwise(""))
+    a = F.when(n % 7 == 0, F.element_at(F.array(F.lit("NA"), F.lit(" "), F.lit("nan")), (n % 3 + 1).cast("int"))).otherwise(F.concat(n % 100, F.lit("e-2")))
+    rows = v.sites.select("site_id", allele.alias("variant"), gene.alias("gene"), a.alias("a"), F.when(n % 47 == 0, "1.5").otherwise(".").alias("b"))
+    read = S.gene_scores(rows, ["a", "b"])
+    # the site comes along through the gene id, which the rows carry
+    back = F.substring("gene", 5, 11).cast("int")
+    text = F.when(F.col("reason").isNull(), F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt", "gene", "a")).otherwise(F.col("reason"))
+    return read.select(back.alias("site_id"), text.alias("row_text"))

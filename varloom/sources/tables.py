@@ -105,8 +105,10 @@ def read_obo(spark: SparkSession, path: str, prefix: str = "CL:") -> tuple[DataF
 def read_haplotypes(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed lines) of JSON lines: a bad line is set aside and doesn't stop the rest."""
     full = T._parse_datatype_string(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return rows.filter("_bad IS NULL").drop("_bad"), rows.filter("_bad IS NOT NULL").select(F.col("_bad").alias("value"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_row"))
+    broken = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
+    return rows.filter(~broken).select("_row.*").drop("_bad"), rows.filter(broken).select("value")
 
 
 def read_protein_catalog(spark: SparkSession, path: str) -> DataFrame:

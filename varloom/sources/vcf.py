@@ -27,6 +27,10 @@ class VcfHeader:
     lines: tuple[str, ...] = ()
 
 
+#: Lines at the front of a file that may belong to its header.
+HEAD = 20_000
+
+
 def csq_fields(line: str) -> tuple[str, ...]:
     """The field names in a CSQ header line, after Format."""
     found = re.search(r'Format:\s*([^">]+)', line)
@@ -46,8 +50,8 @@ def parse_header(lines: list[str]) -> VcfHeader:
 
 
 def read_header(spark: SparkSession, path: str) -> VcfHeader:
-    """The header of one file. A header is small, and only its lines are brought to the driver."""
-    lines = spark.read.text(path).filter(F.col("value").startswith("#")).collect()
+    """The header of one file, or of the first one of a set: of its first HEAD lines those that reach the driver begin with #."""
+    lines = spark.read.text(path).limit(HEAD).filter(F.col("value").startswith("#")).collect()
     return parse_header([r["value"] for r in lines])
 
 
