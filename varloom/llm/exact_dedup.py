@@ -6,7 +6,7 @@ bucket and isn't shuffled, so a small new batch doesn't move a large index.
 Defined cases: a null text counts as empty, and empty texts equal each other. Of equal texts in one batch the row with
 the largest doc_id stays; a null doc_id is smaller than all others. Rows repeated with the same doc_id and text are one
 group, of which exactly one row stays. A text that an earlier batch has brought keeps that batch's row. An empty batch
-appends nothing and returns no rows. Other columns of the input are not read by `ingest` and all kept by `keep_first`;
+appends nothing and returns no rows. Very long texts are hashed whole and don't move. Other columns of the input are not read by `ingest` and all kept by `keep_first`;
 columns named like those this module adds (digest) are not touched, the module's own begin with an underscore.
 """
 
@@ -34,16 +34,18 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def _judged(self, docs: DataFrame, batch: str, digest=None) -> DataFrame:
         """A row for each (doc_id, digest) of docs: copies, group_size, keep_id and stays; appends what is new."""
         digest = text_digest() if digest is None else digest
         seen = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = common.materialize(seen.groupBy("digest").agg(F.max("doc_id").alias("top"), F.sum("copies").alias("group_size")), "groups")
-        index = self.read()
-        if index.filter(F.col("batch") == batch).isEmpty():
-            fresh = groups.join(index.hint("merge").select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.lit(batch).alias("batch"))
-            fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-            self.spark.catalog.refreshTable(self.name)
+        # what this batch has appended before, as ahead of a restart, is in the index and isn't appended again
+        fresh = groups.join(self.read().hint("merge").select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.lit(batch).alias("batch"))
+        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
         known = self.read().select("digest", "keep_id", (F.col("batch") == batch).alias("mine"))
         stats = common.materialize(groups.join(known.hint("merge"), "digest").select("digest", "keep_id", "mine", "group_size"), "known")
         out = common.attach_stats(seen, stats, "digest", "group_size", common.total_of(groups, "group_size"), ["doc_id"])
