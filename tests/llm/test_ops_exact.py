@@ -178,6 +178,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert out == {1: 1, 2: 1, 3: 1}
 
 
+def test_ledger_keeps_paths_of_earlier_versions(spark):
+    path = scratch_path(spark, "t")
+    first, second = (spark.createDataFrame(rows, DOCS) for rows in ([(1, "token=abcdef1"), (2, "clean"), (3, "token=abcdef1"), (None, None)], [(1, "clean"), (2, "clean")]))
+    ledger = secrets.BlobLedger(spark, path, 4)
+    for version, docs in (("v1", first), ("v2", second), ("v1", first)):
+        ledger.record(docs, "doc_id", version)
+        ledger.scan(docs)
+    ledger.forget()
+    again = secrets.BlobLedger(spark, path, 4)
+    assert again.scanned().count() == 3 and again.paths().count() == 6
+    assert sorted((r.path, r.version, len(r.found)) for r in again.history().collect()) == [("1", "v1", 1), ("3", "v1", 1)]
+    assert "Exchange" not in again._found(secrets.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert all(not r.found for r in again.report(second, ["doc_id"]).collect())
+
+
+
 def lines_of(text):
     return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
 

@@ -14,9 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _buckets(spark: SparkSession) -> int:
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", _buckets(spark))
     out = index.ingest(table(spark, sf_dir, "documents"), batch="documents")
+    index.drop()  # the rows of `out` come from tables that were written before
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -111,9 +116,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = secrets.BlobLedger(spark, common.scratch_path(spark, "ledger"))
+    ledger = secrets.BlobLedger(spark, common.scratch_path(spark, "ledger"), _buckets(spark))
+    ledger.record(docs, "doc_id", "documents")
     ledger.scan(docs)
     out = ledger.report(docs, ["doc_id"])
+    ledger.forget()
     base = F.filter("found", lambda x: x["kind"] < len(secrets.BASE_RULES))
     counts = [F.size(F.filter(F.transform("found", lambda x: x["kind"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE_RULES)]
     return out.select("doc_id", *counts, F.sha2(secrets.span_text(base, secrets.RULES), 256).alias("base_sha256"), secrets.span_text(F.col("found"), secrets.RULES).alias("spans"))

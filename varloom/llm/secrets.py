@@ -16,11 +16,11 @@ scanned, however long.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -59,8 +59,7 @@ MORE_RULES = (
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-SCANNED = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.ArrayType(T.StringType()))])
-FINDINGS = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rule", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+TABLES = {"scanned": "blob BINARY, rules ARRAY<STRING>", "findings": "blob BINARY, rule STRING, start BIGINT, `end` BIGINT", "paths": "blob BINARY, path STRING, version STRING"}
 
 
 def blob_of(text: Column) -> Column:
@@ -77,18 +76,45 @@ def _matches(text: Column, rule: Rule) -> Column:
 
 
 class BlobLedger:
-    """Two Parquet tables under `path`: scanned (blob, rules) and findings (blob, rule, start, end)."""
+    """Tables of TABLES under `path`: scanned, findings and paths, each clustered and sorted by blob into `buckets`.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        for name, schema in (("scanned", SCANNED), ("findings", FINDINGS)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+    The same path finds the same ledger again, also in another session; `buckets` is fixed at its first use. The catalog
+    only holds names for this session; `forget` drops these and leaves the files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.names = {t: f"ledger_{t}_{hashlib.sha1(self.path.encode()).hexdigest()}" for t in TABLES}
+        for t, columns in TABLES.items():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.names[t]} ({columns}) USING parquet CLUSTERED BY (blob) SORTED BY (blob) INTO {buckets} BUCKETS LOCATION '{self.path}/{t}'")
+
+    def forget(self) -> None:
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _read(self, table: str) -> DataFrame:
+        return self.spark.table(self.names[table])
+
+    def _append(self, table: str, rows: DataFrame) -> None:
+        rows = rows.repartition(self.buckets, "blob").sortWithinPartitions("blob")
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "blob").sortBy("blob").saveAsTable(self.names[table])
+        self.spark.catalog.refreshTable(self.names[table])
 
     def scanned(self) -> DataFrame:
-        return self.spark.read.schema(SCANNED).parquet(f"{self.path}/scanned")
+        return self._read("scanned")
 
     def findings(self) -> DataFrame:
-        return self.spark.read.schema(FINDINGS).parquet(f"{self.path}/findings")
+        return self._read("findings")
+
+    def paths(self) -> DataFrame:
+        return self._read("paths")
+
+    def record(self, docs: DataFrame, path: str, version: str) -> None:
+        """Note which blob each path (a column of docs) has in a version; what is noted already isn't noted twice."""
+        now = docs.select(blob_of(F.col("text")).alias("blob"), F.col(path).cast("string").alias("path"), F.lit(version).alias("version")).distinct()
+        known = self.paths().filter(F.col("version") == version)
+        here = [now[c].eqNullSafe(known[c]) for c in ("path", "version")]
+        self._append("paths", now.join(known.hint("merge"), (now["blob"] == known["blob"]) & here[0] & here[1], "left_anti"))
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan what the ledger lacks of docs' `text`.
@@ -108,16 +134,24 @@ class BlobLedger:
         rows = seen.select("blob", F.posexplode("hits").alias("pos", "hit"))
         so_far = Window.partitionBy("blob", "hit.rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn("end", F.sum(F.col("hit.gap").cast("long") + F.col("hit.size")).over(so_far))
-        rows.filter("hit.ok").select("blob", "hit.rule", (F.col("end") - F.col("hit.size")).alias("start"), "end").write.mode("append").parquet(f"{self.path}/findings")
-        seen.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
+        self._append("findings", rows.filter("hit.ok").select("blob", "hit.rule", (F.col("end") - F.col("hit.size")).alias("start"), "end"))
+        self._append("scanned", seen.select("blob", F.col("todo").alias("rules")))
+
+    def _found(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """blob, found: the findings of these rules and versions, once each and in order."""
+        kind = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
+        return self.findings().withColumn("kind", kind).filter(F.col("kind").isNotNull()).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("found"))
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """path, version, blob, found for every recorded path whose blob has findings, in all versions: both tables are read by bucket."""
+        return self.paths().join(self._found(rules).hint("merge"), "blob").select("path", "version", "blob", "found")
 
     def report(self, docs: DataFrame, ids: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """A row for each row of docs: ids and `found`, its blob's findings array<struct<start, kind, end>> in order.
 
         kind: the rule's number in `rules`. Findings of other rules or versions are left out.
         """
-        kind = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
-        found = self.findings().withColumn("kind", kind).filter(F.col("kind").isNotNull()).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("found"))
+        found = self._found(rules)
         paths = common.materialize(docs.select(*ids, blob_of(F.col("text")).alias("_blob")), "paths")
         sizes = paths.groupBy("_blob").agg(F.count("*").alias("_n"))
         stats = common.materialize(sizes.join(found, F.col("_blob") == F.col("blob")).select("_blob", "_n", "found"), "found")
