@@ -81,14 +81,17 @@ def _mixed(docs: DataFrame, weights, share: float, max_epochs: float, seed: str)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("_budget", F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long")).withColumn("_slices", F.ceil(F.col("n_docs") / F.lit(SLICE)))
     plan = common.materialize(plan.select(_source_key().alias("_source"), "n_docs", "source_size", "target", "_whole", "_budget", "_slices"), "plan")
-    rows = sized.withColumn("_source", _source_key())
-    rows = common.attach_stats(rows, plan, "_source", "n_docs", n, ["_order", "doc_id"])
+    # rows alike in all that decides are one group with a number, so that a doc_id with a third of all rows is no hot key
+    alike = sized.groupBy("doc_id", "source", "size", "_order").agg(F.count("*").alias("_same"))
+    rows = common.attach_stats(alike.withColumn("_source", _source_key()), plan, "_source", "n_docs", n, ["_order", "doc_id"])
     slice_ = F.floor(F.conv(F.substring("_order", 1, 6), 16, 10).cast("long") * F.col("_slices") / F.lit(float(1 << 24)))
     rows = common.materialize(rows.withColumn("_slice", slice_), "sliced")
-    sums = rows.groupBy("_source", "_slice").agg(F.sum("size").alias("_sum"))
+    words_of = F.col("size") * F.col("_same")
+    sums = rows.groupBy("_source", "_slice").agg(F.sum(words_of).alias("_sum"))
     sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))).select("_source", "_slice", F.coalesce("_before", F.lit(0)).alias("_before"))
     within = Window.partitionBy("_source", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(sums, ["_source", "_slice"]).withColumn("_start", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(sums, ["_source", "_slice"]).withColumn("_start", F.col("_before") + F.coalesce(F.sum(words_of).over(within), F.lit(0)))
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1))).withColumn("_start", F.col("_start") + F.col("_nth") * F.col("size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("_start")))
     return rows.withColumn("_part", part)
 
@@ -105,11 +108,11 @@ def repeat_documents(docs: DataFrame, weights, share: float = 1.5, max_epochs: f
     """
     mixed = _mixed(docs, weights, share, max_epochs, seed)
     inside = (F.col("_start") < F.col("_budget")) & (2 * F.col("_part") >= F.col("size"))
-    borders = mixed.groupBy("_source").agg(F.count("*").alias("_n"), F.max("_whole").alias("_whole"), F.max(F.when(inside, F.struct("_order", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size"))).alias("_border"))
+    borders = mixed.groupBy(F.col("_source").alias("_vl_source")).agg(F.count("*").alias("_vl_n"), F.max("_whole").alias("_vl_whole"), F.max(F.when(inside, F.struct("_order", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "size"))).alias("_vl_border"))
     borders = common.materialize(borders, "borders")
-    keyed = docs.select("*", _source_key().alias("_source"), _order(seed).alias("_order"), n_words(F.col("text")).alias("_size"))
-    rows = common.attach_stats(keyed, borders, "_source", "_n", common.total_of(borders, "_n"), ["_order"])
-    own = F.struct(F.col("_order"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("_size").alias("size"))
-    times = F.col("_whole") + F.when(own <= F.col("_border"), 1).otherwise(0)
-    rows = rows.withColumn("_times", times.cast("int")).filter("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    keyed = docs.select("*", _source_key().alias("_vl_source"), _order(seed).alias("_vl_order"), n_words(F.col("text")).alias("_vl_size"))
+    rows = common.attach_stats(keyed, borders, "_vl_source", "_vl_n", common.total_of(borders, "_vl_n"), ["_vl_order"])
+    own = F.struct(F.col("_vl_order").alias("_order"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("_vl_size").alias("size"))
+    times = F.col("_vl_whole") + F.when(own <= F.col("_vl_border"), 1).otherwise(0)
+    rows = rows.withColumn("_vl_times", times.cast("int")).filter("_vl_times > 0")
+    return rows.withColumn("_vl_copy", F.explode(F.sequence(F.lit(1), F.col("_vl_times")))).select(*docs.columns)
