@@ -3,6 +3,11 @@
 A stage gets what its predecessor kept, as read from files, and works on all of it. All but the last return the columns
 of documents; the last returns packed pieces. No stage can be put in SQL that gives the same rows (a trained model,
 seeded samples and a tokenizer are among them), so ORACLE_SQL is None, and the stages are tested against brute force.
+
+Defined cases, each stage as its operator states them: a null text counts as empty, and empty texts are copies of each
+other; a null doc_id or source takes part like any other value; repeated rows are copies; very long texts are read whole.
+Extra columns go through all stages but the last, whatever their names (those that begin with _vl_ are the operators' own).
+An empty table, or labels without any document, ends in an empty result or in a classifier that keeps everything.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
-    return exact_dedup.keep_first(docs, index, batch="pipeline")
+    out = exact_dedup.keep_first(docs, index, batch="pipeline")
+    index.drop()  # `out` comes from docs and from tables that were written before
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
