@@ -156,7 +156,6 @@ def test_merged_intervals_are_disjoint_and_cover_the_same(spark, raw):
     out = sorted((r.chrom, r.start0, r.end0) for r in I.merged(df).collect())
     assert {(c, i) for c, s, e in rows for i in range(s, e)} == {(c, i) for c, s, e in out for i in range(s, e)}
     assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(out, out[1:]))
-    assert out == sorted((r.chrom, r.start0, r.end0) for r in I.merged_by_bins(df, 64).collect())
     sites = spark.createDataFrame([(i, "1", i * 7, i * 7 + 9) for i in range(30)], "id int, chrom string, start0 int, end0 int")
     want = {(i, s, e) for i in range(30) for c, s, e in rows if c == "1" and i * 7 < e and s < i * 7 + 9}
     assert {(r.id, r.r_start0, r.r_end0) for r in I.overlaps(sites, df.distinct(), width=16).collect()} == want
@@ -348,3 +347,23 @@ def test_evidence_of_an_alt_by_name_and_by_slot(spark):
     rows = spark.createDataFrame([(i, r, k) for i, (r, k, _, _) in enumerate(cases)], "i int, raw string, k int").withColumn("alt", F.when(F.col("k") == 0, "C").otherwise("G"))
     got = rows.select("i", X.assertions_of_alt(F.col("raw"), F.col("alt"), F.col("k"), alts).alias("a"), X.records_of_alt(F.col("raw"), F.col("alt"), F.col("k"), alts).alias("r")).orderBy("i").collect()
     assert [(g.a, g.r) for g in got] == [(a, r) for _, _, a, r in cases]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["1", "2"]), st.integers(0, 300), st.integers(-2, 90)), max_size=40), st.integers(0, 3), st.sampled_from([7, 40, 1000]))
+def test_merged_over_bins_of_any_width(spark, rows, gap, width):
+    want = []
+    for c, a, b in sorted((c, a, a + n) for c, a, n in rows if n > 0):
+        if want and want[-1][0] == c and a <= want[-1][2] + gap:
+            want[-1][2] = max(want[-1][2], b)
+        else:
+            want.append([c, a, b])
+    df = spark.createDataFrame([(c, a, a + n) for c, a, n in rows], "chrom string, start0 long, end0 long")
+    assert sorted([r.chrom, r.start0, r.end0] for r in I.merged(df, gap, width).collect()) == want
+
+
+def test_order_is_checked_over_chunks(spark):
+    rows = [(0, "1", 5, 9), (1, "1", 7, 8), (2, "2", 1, 2), (3, "1", 6, 9), (9, "1", 6, 7), (10, "2", 0, 3), (11, "1", 20, 20), (40, "1", 19, 22)]
+    df = spark.createDataFrame(rows, "n long, chrom string, start0 long, end0 long")
+    for chunk in (1, 2, 3, 100):
+        assert sorted((r.n, r.violation) for r in R.ordered_violations(df, "n", chunk).collect()) == [(3, "unsorted"), (10, "unsorted"), (11, "empty"), (40, "unsorted")]

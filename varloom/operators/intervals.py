@@ -10,26 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN, TSS_BIN = 16_384, 500_000
+BIN, TSS_BIN, MERGE_BIN = 16_384, 500_000, 1 << 20
 
 
-def merged(intervals: DataFrame, gap: int = 0) -> DataFrame:
+def merged(intervals: DataFrame, gap: int = 0, width: int = MERGE_BIN) -> DataFrame:
     """Disjoint intervals with the same cover. gap 0 joins what overlaps or touches; gap 1 joins 1-based neighbours as well, and so on.
 
-    Runs in the order of starts: a new island begins where a start lies past all earlier ends.
+    A new island begins where a start lies past all earlier ends. Each bin of starts is ordered by itself; what comes from
+    earlier bins are two numbers a bin, the furthest end and the last island's start, so that no task gets a whole chromosome
+    and the windows over a chromosome have one row a bin.
     """
-    before = Window.partitionBy("chrom").orderBy("start0", "end0").rowsBetween(Window.unboundedPreceding, -1)
-    rows = intervals.filter("end0 > start0").withColumn("_reach", F.max("end0").over(before))
-    fresh = F.coalesce(F.col("start0") > F.col("_reach") + gap, F.lit(True)).cast("int")
-    island = F.sum(fresh).over(Window.partitionBy("chrom").orderBy("start0", "end0").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_island", island).groupBy("chrom", "_island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_island")
-
-
-def merged_by_bins(intervals: DataFrame, width: int = 1 << 24) -> DataFrame:
-    """`merged` for tables too large for one task a chromosome: merged within wide bins first, and then what meets at their edges."""
-    cut = intervals.filter("end0 > start0").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor((F.col("end0") - 1) / width))))
-    parts = cut.select(F.concat_ws("\u0001", "chrom", F.col("_bin").cast("string")).alias("chrom"), F.greatest("start0", F.col("_bin") * width).alias("start0"), F.least("end0", (F.col("_bin") + 1) * width).alias("end0"))
-    return merged(merged(parts).withColumn("chrom", F.substring_index("chrom", "\u0001", 1)))
+    earlier = Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("chrom", "_bin").orderBy("start0", "end0")
+    rows = intervals.filter("end0 > start0").select("chrom", "start0", "end0", F.floor(F.col("start0") / width).alias("_bin"))
+    ends = rows.groupBy("chrom", "_bin").agg(F.max("end0").alias("_top")).select("chrom", "_bin", F.max("_top").over(earlier).alias("_carry"))
+    reach = F.greatest("_carry", F.max("end0").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(ends, ["chrom", "_bin"]).withColumn("_fresh", F.coalesce(F.col("start0") > reach + gap, F.lit(True)))
+    rows = rows.withColumn("_island", F.max(F.when(F.col("_fresh"), F.col("start0"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("chrom", "_bin", "_island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
+    heads = parts.groupBy("chrom", "_bin").agg(F.max("_island").alias("_last")).select("chrom", "_bin", F.max("_last").over(earlier).alias("_open"))
+    # what begins in no island of its own bin goes on with the last one of the bins before
+    joined = parts.join(heads, ["chrom", "_bin"]).withColumn("_island", F.coalesce("_island", "_open"))
+    return joined.groupBy("chrom", "_island").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_island")
 
 
 def covered(intervals: DataFrame) -> DataFrame:

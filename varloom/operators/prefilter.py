@@ -27,11 +27,19 @@ class PrefilterOptions:
             raise ValueError("noncoding is ccre, all or none")
 
 
-def flags(alts: DataFrame, intervals: DataFrame, name: str) -> DataFrame:
-    """alts with a boolean column: whether the reference bases overlap an interval."""
+def flags(alts: DataFrame, intervals: dict[str, DataFrame]) -> DataFrame:
+    """alts with a boolean column for each name: whether the reference bases overlap an interval of that table.
+
+    All tables are met in one overlap join by bins, and a site's hits are summed up before they go back to the alts.
+    """
+    labelled = None
+    for name, rows in intervals.items():
+        one = rows.select("chrom", "start0", "end0", F.lit(name).alias("name"))
+        labelled = one if labelled is None else labelled.unionByName(one)
     spans = I.as_interval(alts).select("site_id", "chrom", "start0", "end0").distinct()
-    hit = I.overlaps(spans, I.merged(intervals), keep="semi").select("site_id").distinct().withColumn(name, F.lit(True))
-    return alts.join(hit, "site_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    hits = I.overlaps(spans, labelled).groupBy("site_id").agg(*[F.max(F.col("name") == n).alias(n) for n in intervals])
+    out = alts.join(hits, "site_id", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(False)) for n in intervals})
 
 
 def evaluate(alts: DataFrame, options: PrefilterOptions = PrefilterOptions()) -> DataFrame:

@@ -33,7 +33,7 @@ def merged_gap(v):
 
 @on_views("a01_merged_by_bins", CC, "SELECT * FROM merged", islands("fx_ccre"))
 def merged_bins(v):
-    return I.merged_by_bins(v.ccre, 1 << 14)
+    return I.merged(v.ccre, 0, 1 << 14)
 
 
 @on_views("a02_covered_bases", CC, "SELECT chrom, sum(end0 - start0)::BIGINT AS bases FROM merged GROUP BY chrom", islands("fx_ccre"))

@@ -181,9 +181,7 @@ def evaluated(v):
     notes = v.annotations.groupBy("site_id").agg(F.max("popmax").alias("popmax"), F.collect_set("consequence").alias("consequences"))
     splice = v.scores.filter("copy_no = 0").groupBy("site_id").agg((F.max("score") / 100).alias("splice"))
     alts = alts.join(notes, "site_id").join(splice, "site_id", "left")
-    alts = W.flags(alts, I.coding_and_splice(v.exons, pad=20), "in_exome")
-    alts = W.flags(alts, v.ccre.select("chrom", "start0", "end0"), "in_ccre")
-    alts = W.flags(alts, I.around(I.gene_tss(v.exons), "tss", 500), "in_promoter")
+    alts = W.flags(alts, {"in_exome": I.coding_and_splice(v.exons, pad=20), "in_ccre": v.ccre, "in_promoter": I.around(I.gene_tss(v.exons), "tss", 500)})
     return W.evaluate(alts, W.PrefilterOptions(max_popmax=0.03, min_splice=0.8))
 
 
