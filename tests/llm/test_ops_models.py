@@ -222,6 +222,17 @@ def test_quality_learns_from_labels_that_are_not_held_out(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_quality_on_given_labels_that_are_held_out(spark):
+    """At least nine of ten of the given labels that training never saw are met, and good pages rank above bad ones."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    labels = read("labels").filter("quality IS NOT NULL").select("doc_id", "quality")
+    rows = quality.score(read("documents").select("doc_id", "text"), read("labels")).filter("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) >= 20 and len(bad) >= 5
+    assert np.mean([r.predicted == r.quality for r in rows]) >= 0.9
+    assert np.mean([g > b for g in good for b in bad]) >= 0.9
+
+
 def test_quality_scores_do_not_depend_on_company():
     rng = random.Random(12)
     texts = corpus(rng, 40, False) + ["", "a", "é" * 30]
