@@ -1,6 +1,7 @@
 """Near-dedup, quality, packing, WARC and Ogg on small cases, against brute force and round trips."""
 
 import collections
+import hashlib
 import io
 import random
 import re
@@ -379,3 +380,28 @@ def test_media_columns(spark):
     assert out[1].asDict() | {"doc_id": 0} == out[2].asDict() | {"doc_id": 0}
     assert (out[3].n_bytes, out[3].payload_bytes) == (0, 192) and (out[4].n_bytes, out[4].payload_bytes % 192) == (200_000, 0)
     assert out[None].tail_crc32 == zlib.crc32(b"x" * 16)
+
+
+def test_media_features_by_a_plain_walk(spark):
+    """Features, size and digest of the stored files, from a walk over their pages that shares no code with the reader."""
+    rng = random.Random(19)
+    rows = [(i, "".join(rng.choice("ab \n~é\x01Ø") for _ in range(n))) for i, n in enumerate([0, 1, 191, 192, 193, 4032, 4033, 70_000, 300_000])]
+    path = scratch_path(spark, "t")
+    ogg_media.store(spark.createDataFrame(rows, DOCS).withColumn("media", F.lit("clashes")), path)
+    out = {r.doc_id: r for r in ogg_media.read_features(spark.read.parquet(path)).collect()}
+    for r in spark.read.parquet(path).collect():
+        data, got, raw = bytes(r.media), out[r.doc_id], rows[r.doc_id][1].encode()
+        payload = raw + b" " * (max(192, (len(raw) + 191) // 192 * 192) - len(raw))
+        assert (got.n_bytes, got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (got.media_bytes, got.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        times, p = set(), 0
+        while p < len(data):
+            laces = data[p + 27 : p + 27 + data[p + 26]]
+            granule, serial, number = (int.from_bytes(data[p + a : p + b], "little", signed=a == 6) for a, b in ((6, 14), (14, 18), (18, 22)))
+            if serial == 0x504D and number >= 2 and granule >= 0:
+                times.add(granule)
+            p += 27 + len(laces) + sum(laces)
+        x = [v - 128 for v in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+        assert got.feature == f"n={len(x)};mean={sum(x) * 1000 // len(x)};energy={sum(v * v for v in x) // len(x)};crossings={crossings};pages={len(times)};ms={max(times) * 1000 // 8000}"
+        assert max(times) == len(payload)

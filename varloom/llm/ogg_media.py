@@ -13,7 +13,9 @@ Ogg's checksum is CRC-32 of the same polynomial as zlib's, but unreflected, with
 inversion. Reversing the bits of each byte turns one into the other, so that zlib does the work (`page_crc`).
 
 Defined cases: a null text counts as empty; the payload is padded with spaces to a positive multiple of 192. Repeated
-rows give repeated results. An empty table gives an empty result. A damaged file raises an error.
+rows give repeated results, a null doc_id is kept, and other columns aren't read. A text of any length is one file with as
+many pages as it needs; a worker holds the files of a batch at once. An empty table gives an empty result. A damaged file
+raises an error.
 """
 
 from __future__ import annotations
