@@ -1,6 +1,7 @@
 """Near-dedup, quality, packing, WARC and Ogg on small cases, against brute force and round trips."""
 
 import collections
+import gzip
 import hashlib
 import io
 import random
@@ -307,8 +308,8 @@ def test_warc_round_trip(spark):
     html = lambda k, n: "<p>" + k * n + "é"
     rows = [(1, "http://a/", html("x", 2000)), (9, "http://b/", html("x", 2000)), (5, None, html("x", 2000)), (2, "u", html("y", 10)), (3, "u", html("y", 10)), (4, "w\r\nX: y", None), (None, "n", html("z", 1500)), (6, "big", html("b", 300_000))]
     path = scratch_path(spark, "t")
-    zip_warc.write_packages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, per_package=2, max_bytes=4000)
-    packages = spark.read.parquet(path)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("package", F.lit("extra"))
+    packages = zip_warc.write_packages(pages.repartition(3), path, per_package=2, max_bytes=4000)
     out = {r.page_id: r for r in zip_warc.read_packages(packages).collect()}
     assert len(out) == len(rows)
     for page, _, text in rows:
@@ -316,28 +317,51 @@ def test_warc_round_trip(spark):
         assert r.payload_bytes == len(raw)
         assert (r.record_type, r.refers_to) == (("revisit", 9) if page in (1, 5) else ("response", None))
         assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == raw
+    assert out[4].url == "w%0D%0AX:%20y" and out[5].url == "" and out[6].url == "big"
     for p in packages.collect():
-        z = zipfile.ZipFile(io.BytesIO(bytes(p.content)))
+        z = zipfile.ZipFile(p.package.removeprefix("file://"))
         assert z.testzip() is None and set(z.namelist()) == {zip_warc.DATA, zip_warc.INDEX}
-    empty = scratch_path(spark, "t")
-    zip_warc.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), empty)
-    assert zip_warc.read_packages(spark.read.schema("name string, records long, content binary").parquet(empty)).count() == 0
+        heads = [line.split(b" ") for line in z.read(zip_warc.INDEX).splitlines()]
+        assert len(heads) == p.records and b"".join(gzip.decompress(z.read(zip_warc.DATA)[int(a) : int(a) + int(n)]) for _, a, n in heads) == gzip.decompress(z.read(zip_warc.DATA))
+    some = zip_warc.read_ranges(zip_warc.read_index(packages).filter("page_id IN (6, 1)"))
+    assert {(r.page_id, r.record_type) for r in some.collect()} == {(6, "response"), (1, "revisit")}
+    empty = zip_warc.write_packages(spark.createDataFrame([], "page_id long, url string, html string"), scratch_path(spark, "t"))
+    assert zip_warc.read_packages(empty).count() == 0
+
+
+def test_warc_reads_ranges_only():
+    data = bytearray(next(zip_warc.pack([(k, "u", bytes(20) * k, "", 1) for k in range(400)], 500, 1 << 20))[1])
+    asked = []
+
+    def read(at, n):
+        asked.append((at, n))
+        return bytes(data[at : at + n])
+
+    ranges = list(zip_warc.package_ranges(read, len(data)))
+    assert [p for p, _, _ in ranges] == list(range(400))
+    start, total = zip_warc.zip_directory(read, len(data))[zip_warc.DATA]
+    assert all(at >= start + total or at + n <= start or (at, n) == asked[0] for at, n in asked)  # but for the end, nothing of the records
+    at = data.index(b" 0 ", start + total)
+    data[at : at + 3] = b" 9x"
+    with pytest.raises(ValueError):
+        list(zip_warc.package_ranges(read, len(data)))
 
 
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directories(wide):
     members = [("a/é.txt", b"hello"), ("empty", b""), ("c", b"z" * 70_000)]
     data = zip_warc.zip_stored(members, wide)
-    found = zip_warc.zip_directory(memoryview(data))
+    walk = lambda x: zip_warc.zip_directory(lambda at, n: x[at : at + n], len(x))
+    found = walk(data)
     assert {n: data[s : s + k] for n, (s, k) in found.items()} == dict(members)
     assert zipfile.ZipFile(io.BytesIO(data)).read("c") == b"z" * 70_000
     with pytest.raises(ValueError):
-        zip_warc.zip_directory(memoryview(data[:-30]))
+        walk(data[:-30])
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x", "y" * 1000)
     with pytest.raises(ValueError):
-        zip_warc.zip_directory(memoryview(packed.getvalue()))
+        walk(packed.getvalue())
 
 
 def slow_crc(data):

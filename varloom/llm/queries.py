@@ -147,8 +147,8 @@ FROM docs LEFT JOIN summed USING (row_no)"""
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "packages")
-    zip_warc.write_packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return zip_warc.read_packages(spark.read.parquet(path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    packages = zip_warc.write_packages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return zip_warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8 = """
