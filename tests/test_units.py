@@ -189,24 +189,38 @@ def test_de_novo_branches(spark):
     assert {r.site_id: r.origin for r in rows.collect()}[2] == "maternal"
 
 
-def test_stop_rule_agrees_with_a_walk(spark):
-    coding = "ATG" + "GCA" * 20 + "TGACC" + "GCT" * 30 + "TAA"
-    edits = [("T.1", 5, "A", "AG"), ("T", 5, "A", "AGG"), ("T", 6, "GC", "G"), ("T", 4, "T", "TT"), ("Z", 3, "G", "GA"), ("S", 5, "A", "AG"), ("E", 5, "A", "AG")]
-    models = [("T", coding, 120, False), ("S", coding, 120, True), ("E", coding, None, False)]
-    out = T.stop_rule(spark.createDataFrame(edits, "tx_id string, cds_pos int, ref string, alt string"), spark.createDataFrame(models, "tx_id string, coding string, last_junction int, selenocysteine boolean")).collect()
+def test_stop_rule_refuses_and_reads_on(spark):
+    exons = ["CC" + "ATG" + "GCA" * 20, "CTGACC" * 8 + "TAA" + "GG"]  # the start codon at place 3 of the first exon
+    gene = exons[0] + "T" * 30 + exons[1]
+    other = A_reverse(gene)
+    total, first, second = len(gene), (3, len(exons[0])), (len(exons[0]) + 31, len(gene) - 2)
+    spans = [("exon", 1, first[1]), ("exon", second[0], total), ("CDS", *first), ("CDS", second[0], second[1] - 3), ("stop_codon", second[1] - 2, second[1])]
+    features = [("P", 1, "protein_coding", "1", "+", *x) for x in spans] + [("R", None, "protein_coding", "2", "-", k, total + 1 - b, total + 1 - a) for k, a, b in spans] + [("L", 1, "protein_coding", "9", "+", *x) for x in spans] + [("E", 1, "protein_coding", "1", "+", "exon", 1, 9)]
+    chunks = [(c, i // 16, s[i : i + 16]) for c, s in (("1", gene), ("2", other)) for i in range(0, total, 16)]
+    models = T.coding_models(spark.createDataFrame(features, "tx_id string, version int, biotype string, chrom string, strand string, feature string, start1 long, end1 long"), spark.createDataFrame(chunks, "chrom string, chunk long, sequence string"), 16)
+    found = {r.tx_id: r for r in models.collect()}
+    assert {k: r.problems for k, r in found.items()} == {"P": [], "R": [], "L": ["sequence_fetch_failed"], "E": ["no_cds"]}
+    assert found["P"].coding == found["R"].coding == (exons[0] + exons[1])[2:] and found["P"].last_junction == found["R"].last_coding_junction == 63
+    edge = first[1]
+    edits = [("P", 6, "G", "GAA"), ("P.2", 6, "G", "GAA"), ("P.1", 6, "G", None), ("P", edge - 1, gene[edge - 2 : edge + 31], "C"), ("P", edge + 5, "T", "TA"), ("P", 2, "CA", "C"), ("R", total - 6, other[total - 7], other[total - 7] + "TT"), ("L", 6, "G", "GAA"), ("E", 6, "G", "GAA"), (None, 6, "G", "GAA")]
+    out = T.stop_rule(spark.createDataFrame(edits, "tx_id string, pos long, ref string, alt string").withColumn("consequence", F.lit(None).cast("string")), models).collect()
+    status = {(r.tx_id, r.pos): r.status for r in out if r.alt is not None}
+    assert status == {
+        ("P", 6): "ok", ("P.2", 6): "transcript_version_mismatch", ("P", edge - 1): "spans_exon_boundary", ("P", edge + 5): "outside_cds", ("P", 2): "ok", ("R", total - 6): "ok",
+        ("L", 6): "bad_transcript_model:sequence_fetch_failed", ("E", 6): "bad_transcript_model:no_cds", (None, 6): "no_transcript_model",
+    }
+    assert [r.status for r in out if r.alt is None] == ["unsupported_allele"]
+    edited = {("P", 6): "ATGGAA" + "CA" + "GCA" * 19 + exons[1], ("P", 2): "TG" + "GCA" * 20 + exons[1]}
     for r in out:
-        model = {m[0]: m for m in models}.get(r.tx_id.split(".")[0])
-        if model is None:
-            assert r.status == "no_model"
-        elif model[1][r.cds_pos : r.cds_pos + len(r.ref)] != r.ref:
-            assert r.status == "bad_reference"
-        elif model[3]:
-            assert r.status == "selenocysteine"
-        else:
-            s = model[1][: r.cds_pos] + r.alt + model[1][r.cds_pos + len(r.ref) :]
-            stop = next((i for i in range(0, len(s) - 2, 3) if s[i : i + 3] in T.STOPS), None)
-            gap = None if model[2] is None or stop is None else model[2] + len(r.alt) - len(r.ref) - stop - 3
-            assert (r.status, r.ptc_distance) == ("no_stop" if stop is None else "PASS" if gap is not None and gap > 50 else "FAIL", gap)
+        if (s := edited.get((r.tx_id, r.pos))) is not None and r.alt:
+            stop = next(i for i in range(0, len(s) - 2, 3) if s[i : i + 3] in T.STOPS)
+            gap = 63 + len(s) - len(found["P"].coding) - stop
+            assert (r.ptc, r.ptc_distance, r.rule) == (stop, gap, "PASS" if gap > 50 else "FAIL")
+    assert T.coding_models(models.sparkSession.createDataFrame([], "tx_id string, version int, biotype string, chrom string, strand string, feature string, start1 long, end1 long"), spark.createDataFrame(chunks, "chrom string, chunk long, sequence string"), 16).count() == 0
+
+
+def A_reverse(bases):
+    return bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
 
 def test_frame_restoration_classes(spark):

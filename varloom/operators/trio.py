@@ -187,11 +187,37 @@ def by_status(rows: DataFrame, *order: str) -> DataFrame:
     return rows.orderBy(rank, *order)
 
 
-def in_view(rows: DataFrame, view: str, pairs: DataFrame | None = None) -> DataFrame:
+def compound_members(rows: DataFrame, annotations: DataFrame) -> DataFrame:
+    """family_id, site_id of the sites with some partner that is not in cis, as `compound_pairs` would tell, without making the pairs.
+
+    A site's partners in cis are counted from groups of its gene: those on its haplotype of its phase set, and those
+    inherited from the same parent that share no phase set with it. rows: one a family, proband and site.
+    """
+    genes = representative(annotations).select("site_id", "gene")
+    het = rows.filter(G.is_heterozygous(F.col("child.gt"))).join(genes, "site_id")
+    group = ["family_id", "proband", "gene", "chrom"]
+    for c in group:
+        het = het.filter(F.col(c).isNotNull())
+    c = F.col("child")
+    placed = _true(c["phased"] & ~c["phase_set"].isin("", ".") & c["haplotype"].isNotNull())
+    single = _true((F.col("proband_sex") == "male") & (F.col("chrom") == "X") & A.single_copy(F.col("chrom"), F.col("pos")))
+    one = het.select(*group, "site_id", single.alias("single"), F.when(placed, c["phase_set"]).alias("set"), F.when(placed, c["haplotype"]).alias("side"), F.when(F.col("origin").isin("maternal", "paternal"), F.col("origin")).alias("parent"))
+    over = lambda *more: Window.partitionBy(*group, *more)
+    counts = {
+        "sites": F.count("*").over(over()), "singles": F.count_if("single").over(over()), "same_side": F.count("*").over(over("set", "side")),
+        "same_parent": F.count("*").over(over("parent")), "same_both": F.count("*").over(over("parent", "set")),
+    }
+    # each count holds the site itself; without a set, it's a partner in cis to all of its parent
+    by_set = F.when(F.col("set").isNotNull(), F.col("same_side") - 1).otherwise(0)
+    by_parent = F.when(F.col("parent").isNotNull(), F.when(F.col("set").isNotNull(), F.col("same_parent") - F.col("same_both")).otherwise(F.col("same_parent") - 1)).otherwise(0)
+    apart = F.when(F.col("singles") > 0, F.col("sites") > 1).otherwise(F.col("sites") - 1 > by_set + by_parent)
+    return one.withColumns(counts).filter(apart).select("family_id", "site_id").distinct()
+
+
+def in_view(rows: DataFrame, view: str, annotations: DataFrame | None = None) -> DataFrame:
     """Rows of a view: de_novo candidates, homozygous, or those that take part in some compound pair."""
     if view == "de_novo":
         return rows.filter(F.col("status").isin("high_confidence", "possible", "possible_parental_mosaicism"))
     if view == "homozygous":
         return rows.filter(G.review_class(F.col("child.gt")).isin("homozygous_alt", "hemizygous"))
-    ends = pairs.filter(F.col("phase") != "cis").select("family_id", F.explode(F.array("first.site_id", "second.site_id")).alias("site_id")).distinct()
-    return rows.join(ends, ["family_id", "site_id"], "left_semi")
+    return rows.join(compound_members(rows, annotations), ["family_id", "site_id"], "left_semi")

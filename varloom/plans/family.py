@@ -91,10 +91,10 @@ def representative(v):
     return Y.representative(v.annotations).select("site_id", "gene", "k")
 
 
-@on_views("f06_compound_view", V, """SELECT family_id, site_id, status FROM dn WHERE (family_id, site_id) IN (SELECT (family_id, first_site) FROM pr WHERE phase <> 'cis' UNION SELECT (family_id, second_site) FROM pr WHERE phase <> 'cis')""", KEYED, ROWS, DENOVO, ORIGIN, PAIRS)
+@on_views("f06_compound_view", V, """SELECT family_id, site_id, status FROM dn SEMI JOIN (SELECT family_id, first_site AS site_id FROM pr WHERE phase <> 'cis' UNION SELECT family_id, second_site FROM pr WHERE phase <> 'cis') USING (family_id, site_id)""", KEYED, ROWS, DENOVO, ORIGIN, PAIRS)
 def compound_view(v):
     rows = Y.origin(Y.de_novo(rows_(v)))
-    return Y.in_view(rows, "compound", Y.compound_pairs(rows, v.annotations)).select("family_id", "site_id", "status")
+    return Y.in_view(rows, "compound", v.annotations).select("family_id", "site_id", "status")
 
 
 @on_views("f06_o03_de_novo_view", V, "SELECT family_id, site_id, status FROM dn WHERE status IN ('high_confidence', 'possible', 'possible_parental_mosaicism')", KEYED, ROWS, DENOVO)

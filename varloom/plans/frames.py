@@ -55,13 +55,54 @@ def evidence(v):
 
 
 
+CHUNK = 64  # bases in a chunk of the sequence table here, so that models need several
 
-@on_views("x08_stop_rule", ("fx_sites",))
+
+def features(v):
+    """GTF features of fx_coding: places in the transcript, mapped to its contig and turned on the reverse strand."""
+    exon = v.coding.select("*", F.explode(F.expr("sequence(0, exons - 1)")).alias("e")).selectExpr("*", "e * x AS lo", "least((e + 1) * x, length(cdna)) AS hi", "20 * e AS moved")
+    coding = exon.selectExpr("*", "greatest(lo, 12) AS clo", "least(hi, 12 + length(cds)) AS chi")
+    of = lambda rows, kind, lo, hi: rows.selectExpr("n", "strand", "length(contig) AS total", f"{kind} AS feature", f"{lo} + moved AS p", f"{hi} + moved AS q")
+    rows = of(exon, "'exon'", "lo", "hi").union(of(coding.filter("chi > clo"), "CASE WHEN e % 2 = 0 THEN 'CDS' ELSE 'stop_codon' END", "clo", "chi")).union(of(exon.filter("e = 0 AND n % 37 = 9"), "'Selenocysteine'", "30", "33"))
+    ends = ["CASE WHEN strand = '+' THEN p + 1 ELSE total - q + 1 END AS start1", "CASE WHEN strand = '+' THEN q ELSE total - p END AS end1"]
+    return rows.selectExpr("concat('M', n) AS tx_id", "3 AS version", "CASE n % 17 WHEN 3 THEN 'protein_coding_LoF' ELSE 'protein_coding' END AS biotype", "concat('T', n) AS chrom", "strand", "feature", *ends)
+
+
+def models(v):
+    chunks = v.coding.select(F.expr("concat('T', n)").alias("chrom"), "contig", F.explode(F.expr(f"sequence(0, CAST((length(contig) - 1) / {CHUNK} AS INT))")).alias("chunk"))
+    return T.coding_models(features(v), chunks.select("chrom", "chunk", F.expr(f"substr(contig, chunk * {CHUNK} + 1, {CHUNK})").alias("sequence")), CHUNK)
+
+
+SOUND = """
+md AS (SELECT *, concat_ws('+', CASE WHEN n % 13 = 7 THEN 'cds_no_terminal_stop' END, CASE WHEN n % 41 = 10 AND n % 37 <> 9 THEN 'cds_internal_stop' END) AS problems, (exons - 1) * x - 12 AS junction,
+  CASE WHEN (11 + length(cds)) // x > 0 THEN (11 + length(cds)) // x * x - 12 END AS coding_junction, substr(cdna, 13) AS coding FROM fx_coding)"""
+RULED = """
+ed AS (SELECT m.*, e.* EXCLUDE (n), CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE -1 END AS delta,
+  CASE WHEN kind = 2 THEN CASE WHEN strand = '+' THEN left(coding, a + 1) || substr(coding, a + 3) ELSE left(coding, a) || substr(coding, a + 2) END
+   WHEN strand = '+' THEN left(coding, a + 1) || CASE kind WHEN 0 THEN 'G' ELSE 'GT' END || substr(coding, a + 2) ELSE left(coding, a) || CASE kind WHEN 0 THEN 'C' ELSE 'AC' END || substr(coding, a + 1) END AS edited FROM md m JOIN fx_edits e USING (n)),
+st AS (SELECT *, list_min([k * 3 FOR k IN range(0, length(edited) // 3) IF substr(edited, k * 3 + 1, 3) IN ('TAA', 'TAG', 'TGA')]) AS stop FROM ed),
+rs AS (SELECT *, CASE WHEN n % 31 = 0 THEN 'no_transcript_model' WHEN n % 17 = 3 THEN 'unsupported_transcript_biotype:protein_coding_LoF' WHEN problems <> '' THEN 'bad_transcript_model:' || problems WHEN n % 37 = 9 THEN 'selenocysteine'
+  WHEN n % 19 = 4 THEN 'start_lost_unsupported' WHEN n % 23 = 5 THEN 'transcript_version_mismatch' WHEN n % 29 = 6 THEN 'unsupported_allele' WHEN kind = 2 AND strand = '+' AND (13 + a) % x = 0 THEN 'outside_cds'
+  WHEN n % 11 = 8 AND kind < 2 THEN 'ref_mismatch' WHEN stop IS NULL THEN 'no_stop_found' WHEN exons = 1 THEN 'not_applicable_single_exon_transcript' WHEN junction >= length(cds) THEN 'ok_utr_only_terminal_exon' ELSE 'ok' END AS status FROM st),
+ds AS (SELECT n, tx_id, status, CASE WHEN status LIKE 'ok%' OR status LIKE 'not_app%' THEN stop END AS ptc, CASE WHEN status LIKE 'ok%' THEN junction + CASE WHEN a < junction THEN delta ELSE 0 END - stop END AS ptc_distance,
+  CASE WHEN status LIKE 'ok%' THEN coding_junction + CASE WHEN a < coding_junction THEN delta ELSE 0 END - stop END AS coding_distance FROM rs),
+ru AS (SELECT n, tx_id, status, ptc, ptc_distance, CASE WHEN ptc_distance > 50 THEN 'PASS' WHEN ptc_distance IS NOT NULL THEN 'FAIL' END AS rule, coding_distance, CASE WHEN coding_distance > 50 THEN 'PASS' WHEN coding_distance IS NOT NULL THEN 'FAIL' END AS coding_rule FROM ds)"""
+
+
+@on_views("j19_coding_models", ("fx_coding",), "SELECT concat('M', n) AS tx_id, coding, length(cds) AS cds_length, exons, junction AS last_junction, coding_junction AS last_coding_junction, problems FROM md", SOUND)
+def coding_models(v):
+    return models(v).select("tx_id", "coding", "cds_length", "exons", "last_junction", "last_coding_junction", F.array_join("problems", "+").alias("problems"))
+
+
+@on_views("x08_stop_rule", ("fx_coding", "fx_edits"), "SELECT * FROM ru", SOUND, RULED)
 def stop_rule(v):
-    """Edits on coding sequences made from part keys; tests compare the rule with a walk over codons."""
-    n = F.col("p_partkey")
-    part = v.table("part")
-    models = part.select(F.concat(F.lit("M"), n).alias("tx_id"), F.concat(F.lit("ATG"), F.translate(F.sha2(n.cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")).alias("coding"), (F.lit(60) + n % 60).alias("last_junction"), (n % 11 == 0).alias("selenocysteine"))
-    edits = part.select(n.alias("site_id"), F.concat(F.when(n % 41 == 0, "N").otherwise("M"), n, F.lit(".2")).alias("tx_id"), (n % 50 + 3).cast("int").alias("cds_pos")).join(models.select(F.col("tx_id").alias("_t"), F.col("coding").alias("_c")), F.substring_index("tx_id", ".", 1) == F.col("_t"), "left")
-    edits = edits.select("site_id", "tx_id", "cds_pos", F.coalesce(F.substring("_c", F.col("cds_pos") + 1, F.lit(1)), F.lit("A")).alias("ref")).withColumn("alt", F.concat("ref", F.when(F.col("site_id") % 2 == 0, "G").otherwise("GT")))
-    return T.stop_rule(edits, models)
+    return T.stop_rule(v.edits.select("n", "tx_id", "pos", "ref", "alt", "consequence"), models(v)).drop("pos", "ref", "alt", "consequence")
+
+
+@on_views("x09_applied_rule", ("fx_coding", "fx_edits"), """SELECT n AS site_id, CASE WHEN rule IS NULL THEN info WHEN n % 4 = 1 THEN 'X:1&50_BP_RULE:' || rule WHEN n % 4 = 2 THEN '50_BP_RULE:' || rule || ',X:1' ELSE info END AS lof_info,
+ CASE n % 4 WHEN 2 THEN 'PASS' END AS rule_original, rule, CASE n % 4 WHEN 2 THEN 'PASS' END <> rule AS rule_changed FROM (SELECT *, CASE n % 4 WHEN 1 THEN 'X:1' WHEN 2 THEN '50_BP_RULE:PASS,X:1' WHEN 3 THEN '' END AS info FROM ru)""", SOUND, RULED)
+def applied(v):
+    n = F.col("n") % 4
+    ruled = T.stop_rule(v.edits.select(F.col("n").alias("site_id"), "tx_id", "pos", "ref", "alt", "consequence"), models(v))
+    rows = v.edits.select(F.col("n").alias("site_id"), F.col("tx_id").alias("transcript"), F.when(n == 1, "X:1").when(n == 2, "50_BP_RULE:PASS,X:1").when(n == 3, "").alias("lof_info"))
+    return T.apply_rule(rows, ruled).drop("transcript")

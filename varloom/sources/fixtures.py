@@ -101,6 +101,27 @@ SELECT p_partkey AS tx_id, CASE p_partkey % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WH
  CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, e AS exon_no,
  (p_partkey * 7919) % 400000 + e * 500 + 1 AS start1, (p_partkey * 7919) % 400000 + e * 500 + 120 + p_partkey % 30 AS end1
 FROM part CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) es WHERE e <= p_partkey % 4
+""",
+    # A transcript for each part on a contig of its own: 1-4 exons of x bases, introns of 20, 12 bases before the start codon; some with a stop within or none at the end.
+    "fx_coding": """
+SELECT n, strand, exons, x, cds, cdna, CASE WHEN strand = '+' THEN plus ELSE reverse(translate(plus, 'ACGT', 'TGCA')) END AS contig FROM (
+ SELECT *, concat(substr(cdna, 1, x), CASE WHEN exons > 1 THEN concat(gap, substr(cdna, x + 1, x)) ELSE '' END,
+   CASE WHEN exons > 2 THEN concat(gap, substr(cdna, 2 * x + 1, x)) ELSE '' END, CASE WHEN exons > 3 THEN concat(gap, substr(cdna, 3 * x + 1, x)) ELSE '' END) AS plus FROM (
+  SELECT *, 'TTTTTTTTTTGGGGGGGGGG' AS gap, CAST(FLOOR((length(cdna) + exons - 1) / CAST(exons AS DOUBLE)) AS INT) AS x FROM (
+   SELECT *, concat('CCATCCATCCGG', cds, substr(repeat('GATTCATAACCTGA', 6), 1, CAST(30 + n % 40 AS INT))) AS cdna FROM (
+    SELECT p_partkey AS n, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(1 + p_partkey % 4 AS INT) AS exons,
+     concat('ATG', substr(repeat('GCACTGACCGATCCTGGCAAATTCCAT', 9), CAST(1 + 3 * (p_partkey % 9) AS INT), 15), CASE WHEN p_partkey % 37 = 9 OR p_partkey % 41 = 10 THEN 'TGA' ELSE '' END,
+      substr(repeat('GCACTGACCGATCCTGGCAAATTCCAT', 9), CAST(1 + 3 * (p_partkey % 7) AS INT), CAST(3 * (30 + p_partkey % 20) AS INT)), CASE p_partkey % 13 WHEN 7 THEN 'GCA' ELSE 'TAA' END) AS cds FROM part) a) b) c) d
+""",
+    # One edit of each transcript at place a of its coding sequence, as the genome has it: insertions of one or two bases, deletions of one; some that must be refused.
+    "fx_edits": """
+SELECT n, a, kind, concat(CASE WHEN n % 31 = 0 THEN 'N' ELSE 'M' END, CAST(n AS BIGINT), CASE n % 23 WHEN 5 THEN '.7' WHEN 6 THEN '' ELSE '.3' END) AS tx_id, pos,
+ CASE WHEN n % 11 = 8 AND kind < 2 THEN 'N' ELSE substr(contig, pos, CASE kind WHEN 2 THEN 2 ELSE 1 END) END AS ref,
+ CASE WHEN n % 29 = 6 THEN '<DEL>' ELSE concat(substr(contig, pos, 1), CASE kind WHEN 0 THEN 'G' WHEN 1 THEN 'GT' ELSE '' END) END AS alt,
+ CASE WHEN n % 19 = 4 THEN 'frameshift_variant&start_lost' ELSE 'frameshift_variant' END AS consequence FROM (
+ SELECT *, CAST(CASE WHEN strand = '+' THEN g + 1 ELSE length(contig) - g - CASE kind WHEN 2 THEN 1 ELSE 0 END END AS INT) AS pos FROM (
+  SELECT *, 12 + a + 20 * CAST(FLOOR((12 + a) / CAST(x AS DOUBLE)) AS INT) AS g FROM (
+   SELECT *, CAST(1 + (n * 5) % (length(cds) - 5) AS INT) AS a, CAST(FLOOR(n / 4.0) AS INT) % 3 AS kind FROM fx_coding) p) q) r
 """,
     # Approved symbols plus previous symbols, some ambiguous.
     "fx_aliases": """
