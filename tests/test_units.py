@@ -237,6 +237,33 @@ def test_lookup_counts_by_query_row(spark):
     assert sorted((r.site_id, r.status, r.match, r.score) for r in out) == [(1, "exact", "allele_tx", 5), (1, "exact", "allele_tx", 5), (2, "ambiguous", "query_target_unavailable", None), (3, "ambiguous", "multiple_exact_records", None), (4, "partial", "allele_only", None)]
 
 
+def test_score_manifests_are_checked():
+    import copy
+
+    from varloom.plans.scoring import MANIFEST
+
+    spec, names = S.spec_of(MANIFEST)
+    assert spec.dimensions == ("transcript",) and spec.normal == (("transcript", "strip_version"),) and names["feature"] == "transcript"
+    faults = [("table", "columns", ["chr", "chr"]), ("match", "required", ["transcript"]), ("match", "required", ["allele", "gene"]), ("applicability", "consequences", [])]
+    for part, key, value in faults:
+        bad = copy.deepcopy(MANIFEST)
+        bad[part][key] = value
+        with pytest.raises(ValueError):
+            S.spec_of(bad)
+    for change in ({"minimum": 2}, {"type": "string"}, {"column": "feature"}, {"column": "none"}):
+        bad = copy.deepcopy(MANIFEST)
+        bad["outputs"][0] |= change
+        with pytest.raises(ValueError):
+            S.spec_of(bad)
+
+
+def test_protein_changes_compare_in_one_letter(spark):
+    queries = spark.createDataFrame([(1, "ENSP1.1:p.Gly12Asp"), (2, "G12D"), (3, None)], "site_id int, change string")
+    scores = spark.createDataFrame([(1, "G12D", 0.5), (2, "p.Gly12Asp", 0.25), (3, "G12D", 0.75)], "site_id int, change string, score double")
+    out = S.lookup(queries, scores, S.ScoreSpec(dimensions=("change",), normal=(("change", "one_letter_protein_change"),))).collect()
+    assert {r.site_id: (r.status, r.score) for r in out} == {1: ("exact", 0.5), 2: ("exact", 0.25), 3: ("ambiguous", None)}
+
+
 def test_registry_is_checked():
     with pytest.raises(ValueError):
         S.checked_registry([S.Predictor("a", "x"), S.Predictor("a", "y")])

@@ -24,6 +24,65 @@ class ScoreSpec:
     dimensions: tuple[str, ...] = ()
     outputs: tuple[str, ...] = ("score",)
     consequences: tuple[str, ...] = ()
+    normal: tuple[tuple[str, str], ...] = ()  # dimension, one of NORMAL
+    ranges: tuple[tuple[str, float | None, float | None], ...] = ()  # output, least, most
+
+
+def _one_letter(text: Column) -> Column:
+    p = X.protein_change(text)
+    return F.when(p.isNotNull(), F.concat(p["ref"], p["position"].cast("string"), p["alt"])).otherwise(F.regexp_replace(text, r"^.*p\.", ""))
+
+
+#: Ways to compare a dimension, by their names in a manifest.
+NORMAL = {"exact": lambda c: c, "strip_version": lambda c: F.substring_index(c, ".", 1), "one_letter_protein_change": _one_letter}
+NUMBERS = ("number", "integer")
+
+
+def spec_of(manifest: dict) -> tuple[ScoreSpec, dict[str, str]]:
+    """(spec, names: table column -> name in the spec) of a score table's manifest; a faulty manifest raises, before any table is read.
+
+    Keys: table.columns; match.required (allele first) and match.dimensions (columns and normalisations; allele has chrom, position, reference
+    and alternate); outputs (id, column, type, minimum, maximum); applicability.consequences.
+    """
+
+    def need(ok, what: str) -> None:
+        if not ok:
+            raise ValueError(f"score manifest: {what}")
+
+    columns = manifest.get("table", {}).get("columns") or []
+    need(columns and len(set(columns)) == len(columns), "table.columns must be different names")
+    required, places = manifest.get("match", {}).get("required") or [], manifest.get("match", {}).get("dimensions") or {}
+    need(required[:1] == ["allele"] and len(set(required)) == len(required), "match.required must begin with allele and repeat nothing")
+    need(set(required) <= set(places), "each required dimension must have a place")
+    names = {places["allele"].get(k): k for k in ("chrom", "position", "reference", "alternate")} | {places[d].get("column"): d for d in required[1:]}
+    need(len(names) == 3 + len(required) and set(names) <= set(columns), "dimensions must have different columns of the table")
+    normal = tuple((d, places[d].get("normalization") or "exact") for d in required[1:])
+    need(all(n in NORMAL for _, n in normal), "a normalisation isn't known")
+    outputs, ranges = manifest.get("outputs") or [], []
+    need(outputs and len({o.get("id") for o in outputs}) == len(outputs), "outputs must have different ids")
+    for o in outputs:
+        low, high = o.get("minimum"), o.get("maximum")
+        need(o.get("column") in columns and o.get("column") not in names, f"output {o.get('id')} must have a column of its own")
+        need((low is None and high is None) or o.get("type") in NUMBERS, f"the range of {o.get('id')} needs a number")
+        need(low is None or high is None or low <= high, f"the range of {o.get('id')} is empty")
+        names[o["column"]] = o["id"]
+        if low is not None or high is not None:
+            ranges.append((o["id"], low, high))
+    applies = manifest.get("applicability")
+    terms = tuple((applies or {}).get("consequences") or ())
+    need(applies is None or (terms and len(set(terms)) == len(terms)), "applicability.consequences must be different terms")
+    return ScoreSpec(("chrom", "position", "reference", "alternate"), tuple(required[1:]), tuple(o["id"] for o in outputs), terms, normal, tuple(ranges)), names
+
+
+def named(table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A score table with the columns of its manifest only, under the names of its spec."""
+    return table.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
+def out_of_range(scores: DataFrame, spec: ScoreSpec) -> DataFrame:
+    """scores that break a stated range, with `outputs`, the names of those that do; a table should have none."""
+    beyond = F.array_compact(F.array(*[F.when((F.col(o) < low if low is not None else F.lit(False)) | (F.col(o) > high if high is not None else F.lit(False)), F.lit(o)) for o, low, high in spec.ranges]))
+    return scores.withColumn("outputs", beyond).filter(F.size("outputs") > 0) if spec.ranges else scores.withColumn("outputs", F.array().cast("array<string>")).limit(0)
 
 
 def lookup(queries: DataFrame, scores: DataFrame, spec: ScoreSpec) -> DataFrame:
@@ -33,7 +92,8 @@ def lookup(queries: DataFrame, scores: DataFrame, spec: ScoreSpec) -> DataFrame:
     prefix of dimensions in which some record agrees. Counting goes by query row: each has a number of its own, so that
     equal rows don't add up; the number lives within one plan and is never computed twice.
     """
-    asked = queries.filter(F.col("consequence").isin(*spec.consequences)) if spec.consequences else queries
+    asked = queries.filter(F.arrays_overlap(F.split("consequence", "&"), F.array(*[F.lit(x) for x in spec.consequences]))) if spec.consequences else queries
+    normal = {d: NORMAL[n] for d, n in spec.normal}
     q = asked.select(F.monotonically_increasing_id().alias("_q"), *[F.col(c) for c in asked.columns])
     names = {c: f"_s_{c}" for c in (*spec.allele, *spec.dimensions, *spec.outputs)}
     s = scores.select(*[F.col(c).alias(n) for c, n in names.items()])
@@ -43,7 +103,8 @@ def lookup(queries: DataFrame, scores: DataFrame, spec: ScoreSpec) -> DataFrame:
     prefix = F.lit(0)
     agrees = F.lit(True)
     for c in spec.dimensions:
-        agrees &= F.coalesce(F.col(c) == F.col(names[c]), F.lit(False))
+        same = normal.get(c, NORMAL["exact"])
+        agrees &= F.coalesce(same(F.col(c)) == same(F.col(names[c])), F.lit(False))
         prefix = prefix + agrees.cast("int")
     missing = F.lit(False)
     for c in spec.dimensions:

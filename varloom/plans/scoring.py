@@ -40,6 +40,41 @@ def missense(v):
     return S.lookup(asked(v), v.scores, spec).select("site_id", "k", "status", "score")
 
 
+MANIFEST = {
+    "table": {"columns": ["chr", "at", "r", "a", "feature", "copy", "value"]},
+    "match": {"required": ["allele", "transcript"], "dimensions": {"allele": {"chrom": "chr", "position": "at", "reference": "r", "alternate": "a"}, "transcript": {"column": "feature", "normalization": "strip_version"}}},
+    "outputs": [{"id": "made_score", "column": "value", "type": "number", "minimum": 0, "maximum": 0.9}], "applicability": {"consequences": ["missense_variant", "synonymous_variant"]},
+}
+
+
+def by_manifest(v):
+    """(spec, the table under its names): scores of alleles by place, with transcript versions that the calls don't have."""
+    spec, names = S.spec_of(MANIFEST)
+    sites = v.sites.select("site_id", F.col("chrom").alias("chr"), F.col("pos").alias("at"), F.col("ref").alias("r"), F.col("alt").alias("a"))
+    table = v.scores.join(sites, "site_id").select("chr", "at", "r", "a", F.concat("transcript_base", F.lit(".44")).alias("feature"), F.col("copy_no").alias("copy"), F.col("score").alias("value"))
+    return spec, S.named(table, names)
+
+
+PLACED = """
+q AS (SELECT site_id, k, split_part(transcript, '.', 1) AS b, chrom, pos, ref, alt FROM fx_annotations JOIN fx_sites USING (site_id) WHERE consequence IN ('missense_variant', 'synonymous_variant')),
+t AS (SELECT chrom, pos, ref, alt, transcript_base AS b, score FROM fx_scores JOIN fx_sites USING (site_id)),
+m AS (SELECT q.site_id, q.k, count(*) FILTER (WHERE t.b = q.b) AS n, max(t.score) FILTER (WHERE t.b = q.b) AS score FROM q JOIN t USING (chrom, pos, ref, alt) GROUP BY ALL)"""
+
+
+@on_views("e02_manifest_lookup", ("fx_annotations", "fx_scores", "fx_sites"), "SELECT site_id, k, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'exact' WHEN n = 0 THEN 'partial' END AS status, CASE WHEN n = 1 THEN score END AS made_score FROM q LEFT JOIN m USING (site_id, k)", PLACED)
+def manifest_lookup(v):
+    spec, scores = by_manifest(v)
+    places = v.sites.select("site_id", "chrom", F.col("pos").alias("position"), F.col("ref").alias("reference"), F.col("alt").alias("alternate"))
+    rows = v.annotations.select("site_id", "k", "transcript", F.concat("consequence", F.lit("&NMD_transcript_variant")).alias("consequence")).join(places, "site_id")
+    return S.lookup(rows, scores, spec).select("site_id", "k", "status", "made_score")
+
+
+@on_views("e02_scores_out_of_range", ("fx_scores", "fx_sites"), "SELECT transcript_base || '.44' AS transcript, score AS made_score, 'made_score' AS outputs FROM fx_scores JOIN fx_sites USING (site_id) WHERE score > 0.9 OR score < 0")
+def range_check(v):
+    spec, scores = by_manifest(v)
+    return S.out_of_range(scores, spec).select("transcript", "made_score", F.array_join("outputs", ",").alias("outputs"))
+
+
 def versioned(v):
     return v.scores.select("site_id", "score", F.when(F.col("site_id") % 4 == 0, F.concat("transcript_base", F.lit(".1"))).otherwise(F.concat("transcript_base", F.lit(".9"))).alias("transcript"))
 
