@@ -299,6 +299,12 @@ def test_intake_replays_without_change(spark):
     assert sorted((r.sample_id, r.gt) for r in table.read().collect()) == [("S1", "1/1"), ("S3", "0/1")]
     intake.merge_batch(table, table.read().withColumn("gt", F.lit("0/0")), 1)
     assert table.state() == (1, 1)
+    more = "S4\t1\t0/1\t9\t20\t4\tPASS"
+    good, _ = intake.split_lines(spark.createDataFrame([(more, "f")], "value string, file string"))
+    intake.merge_batch(table, good, 2)
+    assert sorted((r.sample_id, r.gt) for r in table.read().collect()) == [("S1", "1/1"), ("S3", "0/1"), ("S4", "0/1")]
+    written = spark.read.parquet(f"{target}/data/v=2").collect()
+    assert {r.sample_id for r in written} >= {"S4"} and len({r.part for r in written}) == 1  # only the batch's own part
     assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["field count", "site"]
 
 

@@ -130,6 +130,7 @@ def publish(tables: dict[str, DataFrame], path: str, by: str = "chrom") -> None:
     """Parquet tables under a path, those with column `by` partitioned by it and sorted by place; only partitions that occur are replaced."""
     for name, df in tables.items():
         parted = by in df.columns
-        rows = df.repartition(by).sortWithinPartitions(*[c for c in (by, "pos", "variant_key") if c in df.columns]) if parted else df
+        place = [c for c in (by, "pos", "variant_key") if c in df.columns]
+        rows = df.repartitionByRange(*place).sortWithinPartitions(*place) if parted else df  # by place, as one chromosome may be too large for a task
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(by) if parted else writer).parquet(f"{path}/{name}")

@@ -1,13 +1,14 @@
 """Intake of many called files by Structured Streaming, into versions of a table that replaying doesn't change.
 
-The file source remembers which files it has read; a batch is merged into the table by writing a new version of it, and
-the pointer to the current version moves last. A batch that is run again finds its number in the pointer and does nothing.
+The file source remembers which files it has read; a batch is merged into the table by writing new versions of the parts that its
+samples lie in, and the pointer to the current version moves last. A batch that is run again finds its number in the pointer
+and does nothing. A file holds few samples, so that a batch costs what its own parts hold, not what the table does.
 Lines that can't be used go to a quarantine table and stop nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.operators import clinical as L
@@ -15,6 +16,8 @@ from varloom.operators import library as B
 
 CALLS = "sample_id string, site_id long, gt string, dp int, gq long, ad_alt int, filter string, file_id string"
 KEY = ["sample_id", "site_id"]
+#: Parts of the table, by sample: what the driver lists at most.
+PARTS = 256
 RULES = {c: "latest" for c in ("gt", "dp", "gq", "ad_alt", "filter", "file_id")}
 
 
@@ -27,8 +30,12 @@ def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason IS NULL").select(*named, F.col("file").alias("file_id")), marked.filter("reason IS NOT NULL").select("value", "file", "reason")
 
 
+def part_of(sample: str = "sample_id") -> Column:
+    return F.pmod(F.xxhash64(sample), F.lit(PARTS)).cast("int")
+
+
 class VersionedTable:
-    """A Parquet table in versions under path; `current` is a one-row table with the version and the batch that wrote it."""
+    """A Parquet table in parts under path. Each version writes the parts that change, and a list of where every part is; the last row of `pointer` tells the version and its batch."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -42,23 +49,35 @@ class VersionedTable:
         row = self._pointers().agg(F.max(F.struct("version", "batch")).alias("p")).first()["p"]
         return (row["version"], row["batch"]) if row else (-1, -1)
 
-    def read(self) -> DataFrame:
-        version, _ = self.state()
-        return self.spark.createDataFrame([], self.schema) if version < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+    def _places(self, version: int) -> dict[int, int]:
+        """Part -> version that holds it."""
+        if version < 0:
+            return {}
+        return {r["part"]: r["version"] for r in self.spark.read.schema("part int, version long").parquet(f"{self.path}/places/v={version}").collect()}
+
+    def read(self, parts: set[int] | None = None) -> DataFrame:
+        """The rows of the current version, or of some of its parts."""
+        places = self._places(self.state()[0])
+        paths = [f"{self.path}/data/v={v}/part={p}" for p, v in sorted(places.items()) if parts is None or p in parts]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def replace(self, rows: DataFrame, batch: int) -> None:
-        """Write rows as the next version, then point to it. A batch that is already in does nothing."""
+    def replace(self, rows: DataFrame, parts: set[int], batch: int) -> None:
+        """Write rows as the new state of these parts, then point to the new version. A batch that is already in does nothing."""
         version, last = self.state()
         if batch <= last:
             return
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version + 1}")
-        self.spark.createDataFrame([(version + 1, batch)], "version long, batch long").write.mode("append").parquet(f"{self.path}/pointer")
+        new = version + 1
+        rows.withColumn("part", part_of()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/v={new}")
+        places = self._places(version) | dict.fromkeys(parts, new)
+        self.spark.createDataFrame(sorted(places.items()), "part int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/places/v={new}")
+        self.spark.createDataFrame([(new, batch)], "version long, batch long").write.mode("append").parquet(f"{self.path}/pointer")
 
 
 def merge_batch(table: VersionedTable, calls: DataFrame, batch: int) -> None:
     """Calls of one batch into the table: the later call of a sample and site wins; nothing happens twice."""
     newest = L.last_by_key(calls, KEY, "file_id")
-    table.replace(B.upsert(table.read(), newest, KEY, RULES).select(*[c.split()[0] for c in CALLS.split(", ")]), batch)
+    parts = {r["part"] for r in calls.select(part_of().alias("part")).distinct().collect()}
+    table.replace(B.upsert(table.read(parts), newest, KEY, RULES).select(*[c.split()[0] for c in CALLS.split(", ")]), parts, batch)
 
 
 def start(spark: SparkSession, source: str, target: str, quarantine: str, checkpoint: str, files_per_batch: int = 50):
