@@ -26,7 +26,6 @@ def with_window(rows: DataFrame, chunks: DataFrame, pos: str = "pos", size: int
     return out.withColumns({"window": window, "window_start": F.when(F.col("_here").isNotNull(), start)}).drop("_chunk", "_before", "_here", "_behind")
 
 
-@pandas_udf("pos long, ref string, alt string, status string")
 def _aligned(pos: pd.Series, ref: pd.Series, alt: pd.Series, window: pd.Series, start: pd.Series) -> pd.DataFrame:
     out = []
     for p, r, a, w, s in zip(pos, ref, alt, window, start):
@@ -59,10 +58,11 @@ def left_aligned(rows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataF
     Unmapped: no sequence there, or the place moves out of the window of one chunk to the left. Only indels are
     sent through the UDF; a substitution of one base is where it is.
     """
+    aligned = pandas_udf(_aligned, "pos long, ref string, alt string, status string")  # made here, as it needs a session
     w = with_window(rows, chunks, size=size)
     single = (F.length("ref") == 1) & (F.length("alt") == 1)
     kept = w.filter(single).drop("window", "window_start").withColumn("status", F.lit("aligned"))
-    moved = w.filter(~single).withColumn("_a", _aligned("pos", "ref", "alt", "window", "window_start"))
+    moved = w.filter(~single).withColumn("_a", aligned("pos", "ref", "alt", "window", "window_start"))
     others = [c for c in rows.columns if c not in ("pos", "ref", "alt")]
     return moved.select(*others, "_a.pos", "_a.ref", "_a.alt", "_a.status").unionByName(kept.select(*others, F.col("pos").cast("long").alias("pos"), "ref", "alt", "status"))
 
