@@ -304,6 +304,25 @@ def test_ids_are_those_of_the_public_tokenizer():
         assert list(packing.token_ids(s, special_as_text=True)) == [*t.encode(s, add_special_tokens=False).ids, 1]
 
 
+def test_ids_of_long_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 1_000_000
+    runs = [" " * n, "\n" * n, "\t" * n, " \n" * (n // 2), "\u00a0" * n, "\u3000 " * (n // 2), "\n" * n + " "]
+    texts = [f"a{x}b" for x in runs] + [runs[0], "a" + runs[3], runs[1] + "<|endoftext|>" + runs[0] + "!", "x" + " " * 9_999 + "y" + " " * 10_000 + "z" + " " * 10_001 + "\n"]
+    for s in texts:
+        assert list(packing.token_ids(s)) == [*t.encode(s, add_special_tokens=False).ids, 1]
+
+
+def test_packing_takes_long_runs_of_white_space(spark):
+    out = packing.pack(spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "c")], DOCS)).collect()
+    for doc in (1, 2):
+        own = [r for r in out if r.doc_id == doc]
+        assert own and sum(r.length for r in own) == own[0].doc_tokens
+
+
 def test_warc_round_trip(spark):
     html = lambda k, n: "<p>" + k * n + "é"
     rows = [(1, "http://a/", html("x", 2000)), (9, "http://b/", html("x", 2000)), (5, None, html("x", 2000)), (2, "u", html("y", 10)), (3, "u", html("y", 10)), (4, "w\r\nX: y", None), (None, "n", html("z", 1500)), (6, "big", html("b", 300_000))]

@@ -100,7 +100,11 @@ def attach_stats(rows: DataFrame, stats: DataFrame, key: str, size: str, total:
     A key may hold a third of all rows, and one task must not get them all. Keys with at least HEAVY_SHARE of
     `total` rows are at most 1/HEAVY_SHARE in number, whatever the input: these few rows are broadcast. All others
     meet in a shuffle join, from which rows of heavy keys stay away by a salt drawn from the columns `spread`.
-    Null keys find no partner.
+    Null keys find no partner. Columns of stats should be narrow, as up to 1/HEAVY_SHARE rows of them are broadcast.
+
+    The salt is part of the join's key, so that rows are dealt by (key, salt): the heavy ones fall into all partitions.
+    On the other side it is 0 for every key, but written as a remainder by 1 of the key's hash; as a literal the
+    optimizer would turn it into a filter and deal rows by the key alone.
     """
     at_least = max(2, int(total * HEAVY_SHARE))
     heavy = stats.filter(F.col(size) >= at_least)
@@ -109,7 +113,7 @@ def attach_stats(rows: DataFrame, stats: DataFrame, key: str, size: str, total:
     out = rows.join(F.broadcast(heavy.select(F.col(key).alias("_vl_k"), *[F.col(c).alias(f"_vl_h_{c}") for c in names])), F.col(key) == F.col("_vl_k"), "left")
     loose = F.col("_vl_k").isNotNull() | F.col(key).isNull()
     out = out.withColumn("_vl_salt", F.when(loose, F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(4096))).otherwise(F.lit(0)))
-    light = light.select(F.col(key).alias("_vl_lk"), F.lit(0).cast("long").alias("_vl_ls"), *[F.col(c).alias(f"_vl_l_{c}") for c in names])
+    light = light.select(F.col(key).alias("_vl_lk"), F.pmod(F.xxhash64(key), F.lit(1)).cast("long").alias("_vl_ls"), *[F.col(c).alias(f"_vl_l_{c}") for c in names])
     out = out.join(light, (F.col(key) == F.col("_vl_lk")) & (F.col("_vl_salt") == F.col("_vl_ls")), "left")
     return out.select(*rows.columns, *[F.coalesce(f"_vl_h_{c}", f"_vl_l_{c}").alias(c) for c in names])
 

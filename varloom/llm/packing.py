@@ -18,13 +18,14 @@ fill is a power of two. Pieces of equal length go in the order of their numbers;
 its number alone, so that groups have no ties.
 
 Defined cases: a null or empty text is its end token alone. Repeated rows, also with the same doc_id, are packed as
-documents of their own. A null doc_id is kept. Texts of any length are cut as often as need be. An empty table gives
+documents of their own. A null doc_id is kept. Texts of any length are cut as often as need be, runs of white space of any length included. An empty table gives
 an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The special tokens of the vocabulary.
-SPECIAL = {"<|endoftext|>": 50256}
+#: The special token of the vocabulary, and the characters that count as white space.
+SPECIAL = ("<|endoftext|>", 50256)
+SPACES = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+LONG_RUN = re.compile(f"[{SPACES}]{{10000,}}")
 CAPACITY, END_ID, GROUP_TOKENS = 2048, 1, 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _encoders: dict = {}
@@ -51,13 +54,30 @@ def encoder(path: str | None = None):
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+def plain_ids(text: str, bpe) -> list[int]:
+    """Ids of text by the encoder bpe, special tokens' strings being ordinary text.
+
+    The encoder's pattern gives up on runs of white space of some 900,000 characters. In front of another character such a run
+    is one word but for its last character, which may belong to the next word; at the end it is one word. So long runs
+    are encoded as the words that they are, and what lies between goes through the pattern.
+    """
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        ids += bpe.encode_ordinary(text[at : run.start()])
+        at = run.end() - (run.end() < len(text))
+        ids += bpe._encode_single_piece(text[run.start() : at])
+    return ids + bpe.encode_ordinary(text[at:])
+
+
 def token_ids(text: str, path: str | None = None, special_as_text: bool = False) -> np.ndarray:
     """The document's ids as unsigned 32-bit integers, with the end token."""
-    ids = encoder(path).encode_ordinary(text) if special_as_text else encoder(path).encode(text, allowed_special="all")
+    bpe, ids = encoder(path), []
+    for k, part in enumerate([text] if special_as_text else text.split(SPECIAL[0])):
+        ids += [SPECIAL[1]] * (k > 0) + plain_ids(part, bpe)
     return np.array([*ids, END_ID], dtype="<u4")
 
 
