@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, zip_warc
+from . import common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,5 +164,18 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.read_features(spark.read.parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing)}
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10}
+def op11_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {_USABLE}),
+scored AS (SELECT q.rid, q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM kept q, kept x WHERE q.vec_id % 100 = 0 AND q.rid <> x.rid)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 10"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing, op11_knn_join)}
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10, "op11_knn_join": OP11}
