@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, zip_warc
+from . import common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, vector_codes, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,5 +177,29 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 10"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing, op11_knn_join)}
-ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10, "op11_knn_join": OP11}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, codebooks, _ = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(codebooks[-1])).alias("codebooks_sha256"))
+
+
+def _op12_assigned(t: int) -> str:
+    """Assignment to codebooks number t, then the codebooks that follow. All numbers are whole and below 2^53, so that doubles hold them."""
+    return f"""a{t} AS MATERIALIZED (SELECT rid, p, any_value(x) AS x, min(d * 16 + j) AS best FROM (
+  SELECT rid, k.p, k.x, c.j, list_inner_product(k.x, k.x) - 2 * list_inner_product(k.x, c.x) + list_inner_product(c.x, c.x) AS d FROM parts k JOIN c{t} c USING (p)) GROUP BY rid, p),
+c{t + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(u.x, c.x) AS x FROM c{t} c LEFT JOIN (
+  SELECT p, j, list(floor(total / n) ORDER BY i) AS x FROM (SELECT p, j, i, sum(y) AS total, count(*) AS n FROM (
+    SELECT p, (best % 16)::BIGINT AS j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{t}) GROUP BY p, j, i) GROUP BY p, j) u ON c.p = u.p AND c.j = u.j)"""
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v FROM embeddings WHERE {_USABLE}),
+parts AS MATERIALIZED (SELECT rid, p, v[p * w + 1 : p * w + w] AS x FROM kept, (SELECT max(len(v)) // 8 AS w FROM kept), range(8) r(p)),
+c0 AS MATERIALIZED (SELECT p, rid - 1 AS j, x FROM parts WHERE rid <= 16),
+{", ".join(_op12_assigned(t) for t in range(7))},
+codes AS (SELECT rid, string_agg(printf('%02x', (best % 16)::BIGINT), '' ORDER BY p) AS code, sum(floor(best / 16))::BIGINT AS error FROM a6 GROUP BY rid),
+book AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, j, i)) AS h FROM (SELECT p, j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM c6))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (rid), book"""
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing, op11_knn_join, op12_vector_codes)}
+ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10, "op11_knn_join": OP11, "op12_vector_codes": OP12}
