@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, vector_codes, zip_warc
+from . import alignment, common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, vector_codes, zip_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,5 +201,9 @@ book AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, j, i)) AS
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (rid), book"""
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing, op11_knn_join, op12_vector_codes)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_url_filters, op5_packing, op6_line_dedup, op7_secret_scans, op8_warc, op9_media_columns, op10_mixing, op11_knn_join, op12_vector_codes, op13_token_alignment)}
 ORACLE_SQL = {"op1_exact_dedup": OP1, "op4_url_filters": OP4, "op7_secret_scans": OP7, "op8_warc": OP8, "op10_mixing": OP10, "op11_knn_join": OP11, "op12_vector_codes": OP12}
