@@ -104,7 +104,11 @@ def search(sites: DataFrame, annotations: DataFrame, calls: DataFrame, files: Da
     Conditions on sites and annotations are applied first; what is left of them limits the calls by the join. In gene
     mode the best annotation is chosen by site and gene, otherwise by site.
     """
-    matched = matched_sites(keyed_sites(sites), q)
+    return search_matched(matched_sites(keyed_sites(sites), q), annotations, calls, files, q, individuals)
+
+
+def search_matched(matched: DataFrame, annotations: DataFrame, calls: DataFrame, files: DataFrame, q: CohortQuery, individuals: DataFrame | None = None) -> DataFrame:
+    """`search` from keyed sites that meet the query's conditions on variants."""
     best = T.ranked(qualifying(annotations, q).join(matched.select("site_id"), "site_id", "left_semi"), per_gene=q.mode == "gene").filter("annotation_rank = 1")
     rows = C.carriers(C.passing(calls)).join(matched, "site_id").join(best.select("site_id", "gene", "transcript", "consequence", "impact", "popmax", "mane", "picked"), "site_id").join(files, "sample_id")
     if individuals is not None:

@@ -1,8 +1,10 @@
 """Intervals: 0-based, half-open (chrom, start0, end0). Merging, and overlap joins by bins.
 
-An overlap on chrom alone is quadratic within a chromosome, so both sides are also keyed by bins of fixed width: an interval
-has a row in each bin that it touches, a position one bin. A pair of intervals may share several bins; it is kept in
-the bin where the later of both starts only, so that no distinct is needed. AQE splits bins that are crowded.
+An overlap on chrom alone is quadratic within a chromosome, so both sides are also keyed by bins, which have LEVELS widths. An
+interval stands in the one or two bins that it touches at its own level, the narrowest whose bins are as long as itself, and asks at other
+levels. Of two intervals that share a base, the one of the lower level asks in the bins of the other's, so that a row of either side makes
+at most a dozen keys, also one of a whole chromosome. A pair may share two bins; it is kept in the bin where the later of both starts
+only, so that no distinct is needed. AQE splits bins that are crowded.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN, TSS_BIN, MERGE_BIN = 16_384, 500_000, 1 << 20
+BIN, TSS_BIN, MERGE_BIN = 1 << 14, 500_000, 1 << 20
+#: Bins of a level are 2^STEP times as wide as those of the level below.
+LEVELS, STEP = 5, 4
 
 
 def merged(intervals: DataFrame, gap: int = 0, width: int = MERGE_BIN) -> DataFrame:
@@ -43,26 +47,50 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width))
 
 
+def _keys(start: Column, end: Column, width: int, up: tuple[int, ...], down: tuple[int, ...]) -> Column:
+    """array<bigint>: keys of an interval's bins, each a level, a direction and the bin's number.
+
+    up, down: the first and last level, counted from the interval's own, at which it stands or asks in that direction.
+    """
+    last = F.greatest(end, start + 1) - 1
+    own = sum(((last - start >= width << STEP * k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
+    none, out = F.array().cast("array<bigint>"), []
+    for k in range(LEVELS):
+        first, final = (F.floor(x / (width << STEP * k)) for x in (start, last))
+        for way, (low, high) in enumerate((up, down)):
+            bins = F.sequence(*[x + ((2 * k + way) << 40) for x in (first, final)])
+            out.append(F.when((own + low <= k) & (own + high >= k), bins).otherwise(none))
+    return F.flatten(F.array(*out))
+
+
+def _width_of(key: Column, width: int) -> Column:
+    return F.lit(width).cast("long") * F.pow(F.lit(2), F.shiftright(key, 41) * STEP).cast("long")
+
+
+#: Levels at which each side stands or asks, from its own: what lies higher is met by asking up, what lies lower asks itself.
+ASKS, STANDS, ABOVE = (0, LEVELS), (0, 0), (1, LEVELS)
+
+
 def overlaps(left: DataFrame, right: DataFrame, width: int = BIN, keep: str = "inner") -> DataFrame:
     """Pairs of left (chrom, start0, end0, ...) and right (r_start0, r_end0, and its other columns) that share a base.
 
     keep: inner, or semi for the rows of left with any overlap; left must then have distinct rows.
     """
     other = right.withColumnsRenamed({"start0": "r_start0", "end0": "r_end0", "chrom": "_chrom"})
-    other = other.withColumn("_rbin", F.explode(_bins(F.col("r_start0"), F.col("r_end0"), width)))
-    own = left.withColumn("_bin", F.explode(_bins(F.col("start0"), F.col("end0"), width)))
+    other = other.withColumn("_rbin", F.explode(_keys(F.col("r_start0"), F.col("r_end0"), width, STANDS, ABOVE)))
+    own = left.withColumn("_bin", F.explode(_keys(F.col("start0"), F.col("end0"), width, ASKS, STANDS)))
     touch = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin")) & (F.col("start0") < F.col("r_end0")) & (F.col("r_start0") < F.col("end0"))
-    first = F.floor(F.greatest("start0", "r_start0") / width) == F.col("_bin")
+    first = F.floor(F.greatest("start0", "r_start0") / _width_of(F.col("_bin"), width)) == F.col("_bin").bitwiseAND((1 << 40) - 1)
     if keep == "semi":
         return own.join(other, touch, "left_semi").drop("_bin").distinct()
     return own.join(other, touch & first).drop("_bin", "_rbin", "_chrom")
 
 
 def points_within(points: DataFrame, intervals: DataFrame, pos: str = "pos", width: int = BIN) -> DataFrame:
-    """Rows of points (chrom, a 1-based position) that lie in some interval. A point has one bin, so no row can double."""
-    other = merged(intervals).withColumn("_rbin", F.explode(_bins(F.col("start0"), F.col("end0"), width))).withColumnRenamed("chrom", "_chrom")
+    """Rows of points (chrom, a 1-based position) that lie in some interval. Merged intervals are disjoint, and a point has one bin a level, so no row can double."""
+    other = merged(intervals).withColumn("_rbin", F.explode(_keys(F.col("start0"), F.col("end0"), width, STANDS, (1, 0)))).withColumnRenamed("chrom", "_chrom")
     at = F.col(pos) - 1
-    own = points.withColumn("_bin", F.floor(at / width))
+    own = points.withColumn("_bin", F.explode(_keys(at, at + 1, width, ASKS, (1, 0))))
     return own.join(other, (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_rbin")) & (at >= F.col("start0")) & (at < F.col("end0")), "left_semi").drop("_bin")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from varloom.functions import alleles as A
 from varloom.functions import fields as X
 from varloom.functions import genotypes as G
+from varloom.functions.scratch import scratch_path
 from varloom.operators import calls as C
 from varloom.operators import cohort as H
+from varloom.operators import cohort_store as HS
 from varloom.operators import transcripts as T
 from varloom.plans.base import CARRIERS, IMPACT, KEYED, on_views
 
@@ -224,6 +226,26 @@ def variant(v):
     return _search(v, H.CohortQuery("variant", keys=("2:8919:G:T", "7:16838:g:ggt", "X:3024757:TACG:T"))).select(*OUT.split(", "))
 
 
+def stored(v):
+    """The cohort's tables published with an rsID for each site."""
+    spark = v.sites.sparkSession
+    store = HS.CohortStore(spark, scratch_path(spark, "cohort"), width=1 << 16)
+    store.publish(v.sites.withColumn("rsid", F.concat(F.lit("rs"), (F.col("site_id") * 7).cast("string"))), v.annotations, v.calls)
+    return store
+
+
+@on_views("x01_stored_region", V4, f"SELECT {OUT} FROM found", *_search_sql("impact IN ('HIGH', 'MODERATE', 'LOW')", "(chrom = '2' AND pos BETWEEN 1000 AND 300000)"))
+def stored_region(v):
+    return stored(v).search(v.files, H.CohortQuery("region", chrom="2", start=1000, end=300000, impacts=("HIGH", "MODERATE", "LOW"))).select(*OUT.split(", "))
+
+
+@on_views("x01_u02_stored_variants", V4, f"SELECT {OUT} FROM found", *_search_sql("TRUE", "(variant_key IN ('2:8919:G:T', '7:16838:G:GGT', 'X:3024757:TACG:T') OR site_id IN (1, 5, 9, 44))", preferred_only=False))
+def stored_variants(v):
+    """Keys and rsIDs of either case, one of which names a site that a key names too."""
+    keys = ("2:8919:G:T", "7:16838:g:ggt", "X:3024757:TACG:T", "rs7", "RS35", "rs63", "rs308", "rs0", "rs1")
+    return stored(v).search(v.files, H.CohortQuery("variant", keys=keys)).select(*OUT.split(", "))
+
+
 @on_views("f14_zygosity_search", (*V4, "fx_individuals"), f"SELECT {OUT} FROM found", *_search_sql("impact IN ('HIGH', 'MODERATE')", genotype_where="""zygosity = 'homozygous' AND (chrom = 'X' AND pos > 2781479 AND pos < 155701383)
   AND NOT EXISTS (SELECT 1 FROM fx_individuals i WHERE i.sample_id = c.sample_id AND sex_at_birth = 'female')"""))
 def zygosity(v):

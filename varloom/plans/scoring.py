@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.functions import alleles as A
+from varloom.functions.scratch import scratch_path
 from varloom.operators import cohort as H
 from varloom.operators import intervals as I  # noqa: E741
 from varloom.operators import prefilter as W
+from varloom.operators import score_store as ST
 from varloom.operators import scores as S
 from varloom.plans.base import KEYED, on_views
 
@@ -69,6 +71,21 @@ def manifest_lookup(v):
     return S.lookup(rows, scores, spec).select("site_id", "k", "status", "made_score")
 
 
+@on_views("j08_stored_lookup", ("fx_annotations", "fx_scores", "fx_sites"), """SELECT site_id, k, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'exact' WHEN n = 0 THEN 'partial' END AS status,
+ CASE WHEN n > 1 THEN 'multiple_exact_records' ELSE ['allele_only', 'allele_transcript_base', 'allele_transcript_base_copy_no'][best + 1] END AS match, CASE WHEN n = 1 THEN score END AS score FROM q LEFT JOIN m USING (site_id, k)""",
+ """q AS (SELECT site_id, k, split_part(transcript, '.', 1) AS b, k % 2 AS c, chrom, pos, ref, alt FROM fx_annotations JOIN fx_sites USING (site_id)),
+t AS (SELECT chrom, pos, ref, alt, transcript_base AS b, copy_no AS c, score FROM fx_scores JOIN fx_sites USING (site_id)),
+m AS (SELECT q.site_id, q.k, count(*) FILTER (WHERE t.b = q.b AND t.c = q.c) AS n, max(CASE WHEN t.b = q.b THEN CASE WHEN t.c = q.c THEN 2 ELSE 1 END ELSE 0 END) AS best,
+  max(t.score) FILTER (WHERE t.b = q.b AND t.c = q.c) AS score FROM q JOIN t USING (chrom, pos, ref, alt) GROUP BY ALL)""")
+def stored_lookup(v):
+    """The score table is published by place, then looked up by all annotations."""
+    store = ST.ScoreStore(v.sites.sparkSession, scratch_path(v.sites.sparkSession, "scores"), width=1 << 16)
+    alleles = v.sites.select("site_id", "chrom", "pos", "ref", "alt")
+    store.publish(v.scores.join(alleles, "site_id").drop("site_id"))
+    spec = S.ScoreSpec(("chrom", "pos", "ref", "alt"), ("transcript_base", "copy_no"))
+    return store.lookup(asked(v).join(alleles, "site_id"), spec).select("site_id", "k", "status", "match", "score")
+
+
 @on_views("e02_scores_out_of_range", ("fx_scores", "fx_sites"), "SELECT transcript_base || '.44' AS transcript, score AS made_score, 'made_score' AS outputs FROM fx_scores JOIN fx_sites USING (site_id) WHERE score > 0.9 OR score < 0")
 def range_check(v):
     spec, scores = by_manifest(v)
