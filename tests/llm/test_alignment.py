@@ -80,18 +80,23 @@ def test_alignment_against_brute_force(spark, tokenizers_, block_links, fan_in):
     assert got == want
 
 
-def test_words_give_the_ids_of_whole_texts(tokenizers_):
+def test_words_give_the_ids_of_whole_texts(tokenizers_, monkeypatch):
     a, b = tokenizers_
     both = alignment.Aligner()
     assert both.by_words
-    for t in texts_of(11, 600):
-        words = both.words(t) if t else None
-        if words is None:
-            continue
-        whole = "".join("|".join(g.split("|")) + ";" for w in words for g in w.text.split(";"))
-        ids = [[int(i) for g in whole.split(";") if g for i in g.split("|")[k].split(",")] for k in range(2)]
-        assert ids[0] == a.encode(" " + t, add_special_tokens=False).ids
-        assert ids[1] == b.encode(t)
+    texts = [t for t in texts_of(11, 600) if t]
+    for size in (700, 5, 1):
+        monkeypatch.setattr(alignment, "WORDS", 40 * size)
+        for at in range(0, len(texts), size):
+            part = texts[at : at + size]
+            found, doc, pairs = both.align(part)
+            for k, (t, f) in enumerate(zip(part, found)):
+                if f is None:
+                    assert "\u2581" in t and not (doc == k).any()
+                    continue
+                ids = [[int(i) for g in f[3].split(";") for i in g.split("|")[side].split(",")] for side in range(2)]
+                assert ids == [a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)]
+                assert f[:2] == (len(ids[0]), len(ids[1])) and (doc == k).sum() == f[0] + f[1] - f[2]
 
 
 def test_a_long_text_and_an_empty_table(spark, tokenizers_):

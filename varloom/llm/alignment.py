@@ -15,8 +15,8 @@ bytes into ranges that belong to one token of A and one of B each, so that range
    added up by block and joined with the documents' rows.
 
 A token of A never reaches over a space that follows a character other than white space, and neither does one of B (checked for the vocabulary when it is
-loaded), so that words between such spaces are encoded and aligned by themselves, once a task: a bounded memory of words gives the same ids as
-encoding whole texts.
+loaded), so that words between such spaces have the same ids in every text. A worker aligns the new words of many texts at once, and keeps a bounded
+number of words.
 
 Defined cases: texts that are null or empty, or whose joined tokens differ from the space and the text in bytes (as with U+2581), have no tokens: zeros and an
 empty digest. Strings of special tokens are ordinary text. Texts of any length are aligned whole, white space of any length included. Repeated rows and repeated
@@ -42,8 +42,8 @@ from . import common, packing
 #: B's ids fit these bits; a pair is a * 2^15 + b.
 B_BITS = 15
 RADIX = 64
-#: Words up to this length are remembered, and so many of them.
-WORD, WORDS = 64, 200_000
+#: A worker forgets its words beyond this number, or this number of characters; texts are aligned so many characters at a time.
+WORDS, CHARS, CHUNK = 300_000, 8_000_000, 1_000_000
 #: A space that follows something other than white space.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
@@ -61,28 +61,11 @@ def spread(data: bytes, kind: str = "<i4") -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind).cumsum(dtype=np.int64)
 
 
-class Word:
-    """A word's alignment: tokens of each side, groups, links as pairs, and the groups as text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "text")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray):
-        ends = np.union1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        both = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(both)
-        self.pairs = (np.array(a, np.int64)[at_a] << B_BITS) + np.array(b, np.int64)[at_b]
-        cut_a, cut_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        a, b = list(map(str, a)), list(map(str, b))
-        groups, i, j = [], 0, 0
-        for m, n in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            groups.append(",".join(a[i:m]) + "|" + ",".join(b[j:n]))
-            i, j = m, n
-        self.text = ";".join(groups)
-
-
 class Aligner:
-    """Both tokenizers, once a Python worker, and the words it has met. a_path, b_path: their files; the public vocabularies if None."""
+    """Both tokenizers, once a Python worker, and the words it has met, with their tokens, groups, links and the groups' text.
+
+    a_path, b_path: the tokenizers' files; the public vocabularies if None. A word is what follows a space, up to the next boundary.
+    """
 
     def __init__(self, a_path: str | None = None, b_path: str | None = None):
         import public_tokenizers
@@ -97,45 +80,90 @@ class Aligner:
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.by_words = not any(re.search(r"[^▁]▁", p) for p, byte in pieces if not byte)
-        self.blank = self.b.encode("a b", out_type=str)[0] == "▁a" and self.b.piece_to_id("▁")
-        self.known: dict[str, Word | None] = {}
-
-    def encode_b(self, part: str) -> list[int]:
-        """B's ids of part, which begins with a space: B puts that space before what follows it by itself, but before nothing."""
-        return self.b.encode(part[1:], num_threads=1) if len(part) > 1 else [self.blank]
-
-    def _aligned(self, part: str) -> Word | None:
-        a, b, data = packing.plain_ids(part, self.a), self.encode_b(part), part.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+        self.blank = self.b.piece_to_id("▁")
+        n, m = len(self.a_bytes), len(pieces)
+        self.names = np.array([f"{i}{end}" for size, ends in ((n, ",|"), (m, ",;")) for end in ends for i in range(size)], dtype=object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars, self.texts = 0, []
+        self.pairs, self.cuts, self.numbers = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 3), np.int64)
+
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text; None for one that B can't give back."""
+        if "▁" in text:
             return None
-        return Word(a, b, self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum())
-
-    def word(self, part: str) -> Word | None:
-        if part in self.known:
-            return self.known[part]
-        out = self._aligned(part)
-        if len(part) <= WORD:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            self.known[part] = out
-        return out
-
-    def words(self, text: str) -> list[Word] | None:
-        """The alignments of the parts of a space and text; None where bytes differ."""
         full = " " + text
-        if not self.by_words or "▁" in text:
-            parts = [full]
-        elif ODD.search(full):
-            parts = BOUNDARY.split(full)
-        else:
-            parts = [" " + w for w in full.split(" ")[1:]]
-        known, out = self.known.get, []
-        for p in parts:
-            w = known(p) or self.word(p)
-            if w is None:
-                return None
-            out.append(w)
-        return out
+        if not self.by_words:
+            return [text]
+        return [p[1:] for p in BOUNDARY.split(full)] if ODD.search(full) else full.split(" ")[1:]
+
+    def learn(self, words: list[str]) -> None:
+        """Align words that aren't known. Those that end in white space can't be joined with others."""
+        joined = [w for w in words if w and not w[-1].isspace()] if self.by_words else []
+        if joined:
+            self._add(joined)
+        for w in words if len(joined) < len(words) else ():
+            if w not in self.known:
+                self._add([w])
+
+    def _add(self, words: list[str]) -> None:
+        text = " " + " ".join(words)
+        ids_a, ids_b, data = packing.plain_ids(text, self.a), self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.blank], text.encode()
+        good = b"".join(map(self.a_bytes.__getitem__, ids_a)) == data == b"".join(map(self.b_bytes.__getitem__, ids_b))
+        if not good and len(words) > 1:
+            self._add(words[: len(words) // 2])
+            self._add(words[len(words) // 2 :])
+            return
+        if not good:
+            self.known[words[0]] = -1
+            return
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = self.a_sizes[a].cumsum(), self.b_sizes[b].cumsum()
+        ends = np.union1d(ends_a, ends_b)  # of links: ranges of bytes that belong to one token of each side
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        both = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]  # of groups
+        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        links, n_a, n_b, groups = (np.searchsorted(x, word_ends, "right") for x in (ends, ends_a, ends_b, both))
+        pairs = (a[at_a] << B_BITS) + b[at_b]
+        # text: A's and then B's ids of each group, with what separates them
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        of_a, of_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        before_a, before_b = of_a.cumsum() - of_a, of_b.cumsum() - of_b
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + before_b[group_a]] = a + len(self.a_bytes) * (ends_a == both[group_a])
+        codes[np.arange(len(b)) + (before_a + of_a)[group_b]] = 2 * len(self.a_bytes) + b + len(self.b_bytes) * (ends_b == both[group_b])
+        names, at = self.names[codes].tolist(), 0
+        for w, end in zip(words, (n_a + n_b).tolist(), strict=True):
+            self.known[w] = len(self.texts)
+            self.texts.append("".join(names[at:end])[:-1])
+            at = end
+        self.chars += len(text)
+        self.numbers = np.concatenate([self.numbers, np.diff(np.stack([n_a, n_b, groups], 1), axis=0, prepend=0)])
+        self.cuts, self.pairs = np.concatenate([self.cuts, len(self.pairs) + links]), np.concatenate([self.pairs, pairs])
+
+    def align(self, texts: list[str]) -> tuple[list[tuple[int, int, int, str] | None], np.ndarray, np.ndarray]:
+        """(tokens of A, of B, groups, the groups' text) of each text or None, and all links: the text's number and the pair."""
+        words = [self.split(t) if t else None for t in texts]
+        distinct = set().union(*[w for w in words if w])
+        if len(self.known) > WORDS or self.chars > CHARS:
+            self.forget()
+        self.learn([w for w in distinct if w not in self.known])
+        out, every, counts = [], [], []
+        for ws in words:
+            at = list(map(self.known.__getitem__, ws)) if ws else [-1]
+            if min(at) < 0:
+                out.append(None)
+                counts.append(0)
+                continue
+            every += at
+            counts.append(len(at))
+            out.append((*self.numbers[at].sum(0).tolist(), ";".join(map(self.texts.__getitem__, at))))
+        at = np.array(every, np.int64)
+        first, size = self.cuts[at], self.cuts[at + 1] - self.cuts[at]
+        places = np.repeat(first - (size.cumsum() - size), size) + np.arange(size.sum())
+        return out, np.repeat(np.repeat(np.arange(len(texts)), counts), size), self.pairs[places]
 
 
 _aligners: dict = {}
@@ -147,9 +175,9 @@ def aligner(a_path: str | None = None, b_path: str | None = None) -> Aligner:
     return _aligners[a_path, b_path]
 
 
-def runs_of(records: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """By radix, the columns of a run: records are (pair << 24) + document, sorted."""
-    pair, doc = records >> 24, records & 0xFFFFFF
+def runs_of(keys: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, dict]]:
+    """By radix, the columns of a run: keys are (pair << 24) + document, sorted."""
+    pair, doc = keys >> 24, keys & 0xFFFFFF
     radix = (pair >> B_BITS) % RADIX
     order = np.argsort(radix, kind="stable")
     cuts = np.searchsorted(radix[order], np.arange(RADIX + 1))
@@ -163,41 +191,48 @@ def runs_of(records: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, dict]
 
 def _aligned(docs: DataFrame, block_links: int, a_path: str | None, b_path: str | None) -> DataFrame:
     """TABLE: a row a document (radix is null) and a row a run."""
-    names = [c.split()[0] for c in TABLE.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     fields = {c.split()[0]: types[c.split()[1]] for c in TABLE.split(", ")}
 
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in fields.items()], list(fields))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+        ids, texts, chars = [], [], 0
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(doc_id)
+                texts.append(text.as_py())
+                chars += len(texts[-1])
+                if chars >= CHUNK or len(ids) == 1 << 14:
+                    yield ids, texts
+                    ids, texts, chars = [], [], 0
+        yield ids, texts
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
-        block, rows, records, times, links = TaskContext.get().partitionId() << 32, [], [], [], 0
+        block, rows, keys, links = TaskContext.get().partitionId() << 32, [], [], 0
 
-        def batches_of_block() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], fields[n]) for n in names], names)
+        def finished() -> Iterator[pa.RecordBatch]:
+            yield batch(rows)
             if links:
-                key, n = np.concatenate(records), np.concatenate(times)
-                order = np.argsort(key, kind="stable")
-                for radix, run in runs_of(key[order], n[order]):
-                    row = {"block": block, "radix": radix} | run
-                    yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], fields[n]) for n in names], names)
-
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py()
-                words = both.words(text) if text else None
-                row = {"block": block, "pos": len(rows), "doc_id": doc_id, "groups_sha256": "", **dict.fromkeys(NUMBERS, 0)}
-                if words:
-                    pairs, n = np.unique(np.concatenate([w.pairs for w in words]), return_counts=True)
-                    n_a, n_b, groups = sum(w.n_a for w in words), sum(w.n_b for w in words), sum(w.n_groups for w in words)
-                    row |= {"n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": int(n.sum()), "groups_sha256": hashlib.sha256(";".join([w.text for w in words]).encode()).hexdigest()}
-                    records.append((pairs << 24) + len(rows))
-                    times.append(n)
-                    links += len(n)
-                rows.append(row)
-                if links >= block_links or len(rows) == 1 << 16:
-                    yield from batches_of_block()
-                    block, rows, records, times, links = block + 1, [], [], [], 0
+                for radix, run in runs_of(*np.unique(np.concatenate(keys), return_counts=True)):
+                    yield batch([{"block": block, "radix": radix} | run])
+
+        for ids, texts in chunks(batches):
+            found, doc, pair = both.align(texts)
+            keys.append((pair << 24) + doc + len(rows))
+            n_links = np.bincount(doc, minlength=len(texts)).tolist()
+            for doc_id, f, n in zip(ids, found, n_links, strict=True):
+                n_a, n_b, groups, text = f or (0, 0, 0, "")
+                digest = hashlib.sha256(text.encode()).hexdigest() if f else ""
+                rows.append({"block": block, "pos": len(rows), "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": n, "groups_sha256": digest})
+            links += len(pair)
+            if links >= block_links or len(rows) >= 1 << 16:
+                yield from finished()
+                block, rows, keys, links = block + 1, [], [], 0
         if rows:
-            yield from batches_of_block()
+            yield from finished()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.plain_text().alias("text")).mapInArrow(tasks, TABLE)
 
@@ -293,7 +328,7 @@ def _summed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(one, schema)
 
 
-def align(docs: DataFrame, block_links: int = 2_000_000, fan_in: int = 64, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+def align(docs: DataFrame, block_links: int = 4_000_000, fan_in: int = 64, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of docs (doc_id, text).
 
     n_best: links whose pair is in as many documents as any pair of its id of A; count_sum: the sum over links of their pair's number of documents. Paths:
