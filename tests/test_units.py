@@ -134,8 +134,6 @@ def test_text_tables(spark, tmp_path):
     assert short.count() == 1
     good, bad = Y.trios(Y.members(ped))
     assert [tuple(r) for r in good.collect()] == [("F1", "C", "M", "D", "male")] and bad.count() == 0
-    phen = tables.read_phenotypes(spark, put("ph.csv", "Report of today\nPatient ID,Sex,HPO,x\nP1, f ,a;b,\n\nP2,,,1\n")).collect()
-    assert [(r.individual_id, r.sex, r.features) for r in phen] == [("P1", "f", "a;b"), ("P2", None, None)]
     terms, edges = tables.read_obo(spark, put("c.obo", "format: 1\n\n[Term]\nid: CL:1\nname: root\n\n[Term]\nid: CL:2\nname: leaf\nis_a: CL:1 ! root\nis_a: X:9\n\n[Term]\nid: CL:3\nname: gone\nis_obsolete: true\n"))
     assert sorted(r.term for r in terms.collect()) == ["CL:1", "CL:2"] and [tuple(r) for r in edges.collect()] == [("CL:2", "CL:1")]
     rows, broken = tables.read_haplotypes(spark, put("h.json", '{"transcript_id":"T1"}\n{oops\n'), "transcript_id string")
@@ -286,28 +284,6 @@ def test_fingerprints_ignore_order(spark):
     assert one_ != sorted(map(tuple, B.fingerprint(other, "f").collect()))
 
 
-def test_intake_replays_without_change(spark):
-    source, target, bad, checkpoint = (scratch_path(spark, f"t-{k}") for k in "stbc")
-    lines = ["S1\t1\t0/1\t9\t20\t4\tPASS", "S1\tx\t0/1\t9\t20\t4\tPASS", "S2\t1\t0/1"]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(source)
-    for _ in range(2):
-        intake.start(spark, source, target, bad, checkpoint).awaitTermination()
-        table = intake.VersionedTable(spark, target, intake.CALLS)
-        assert [(r.sample_id, r.site_id, r.gt) for r in table.read().collect()] == [("S1", 1, "0/1")] and table.state() == (0, 0)
-    spark.createDataFrame([("S1\t1\t1/1\t9\t20\t4\tPASS",), ("S3\t2\t0/1\t9\t20\t4\tPASS",)], "value string").coalesce(1).write.mode("append").text(source)
-    intake.start(spark, source, target, bad, checkpoint).awaitTermination()
-    assert sorted((r.sample_id, r.gt) for r in table.read().collect()) == [("S1", "1/1"), ("S3", "0/1")]
-    intake.merge_batch(table, table.read().withColumn("gt", F.lit("0/0")), 1)
-    assert table.state() == (1, 1)
-    more = "S4\t1\t0/1\t9\t20\t4\tPASS"
-    good, _ = intake.split_lines(spark.createDataFrame([(more, "f")], "value string, file string"))
-    intake.merge_batch(table, good, 2)
-    assert sorted((r.sample_id, r.gt) for r in table.read().collect()) == [("S1", "1/1"), ("S3", "0/1"), ("S4", "0/1")]
-    written = spark.read.parquet(f"{target}/data/v=2").collect()
-    assert {r.sample_id for r in written} >= {"S4"} and len({r.part for r in written}) == 1  # only the batch's own part
-    assert sorted(r.reason for r in spark.read.parquet(bad).collect()) == ["field count", "site"]
-
-
 def chunked(spark, sequence, size):
     return spark.createDataFrame([("1", i // size, sequence[i : i + size]) for i in range(0, len(sequence), size)], "chrom string, chunk long, sequence string")
 

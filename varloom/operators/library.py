@@ -42,12 +42,14 @@ def remove_samples(calls: DataFrame, sites: DataFrame, samples: DataFrame) -> tu
 
 
 def fingerprint(calls: DataFrame, by: str) -> DataFrame:
-    """by, records, fingerprint: a digest of a callset's sites and genotypes in any order and partitioning.
+    """by, records, fingerprint: a digest of a callset's sites and genotypes in any order and partitioning; copies of a row count.
 
-    Sums and exclusive-or of two row hashes: equal callsets agree, and others differ in all likelihood.
+    A multiset hash: the eight 32-bit pieces of each row's SHA-256 are added up, and the sums are digested. A null counts as a dot.
     """
-    row = F.xxhash64("variant_key", "sample_id", "gt")
-    return calls.groupBy(by).agg(F.count("*").alias("records"), F.bit_xor(row).alias("_x"), F.sum(F.pmod(F.xxhash64(row, F.lit(1)), F.lit(1 << 40))).alias("_s")).select(by, "records", F.concat_ws("-", F.hex("_x"), F.hex("_s")).alias("fingerprint"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("variant_key", "sample_id", "gt")])
+    row = calls.select(by, F.sha2(text, 256).alias("_h"))
+    pieces = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"_{i}") for i in range(8)]
+    return row.groupBy(by).agg(F.count("*").alias("records"), *pieces).select(by, "records", F.sha2(F.concat_ws("-", *[F.col(f"_{i}").cast("string") for i in range(8)]), 256).alias("fingerprint"))
 
 
 def identity(incoming: DataFrame, library: DataFrame) -> DataFrame:

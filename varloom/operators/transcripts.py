@@ -94,3 +94,8 @@ def text_search(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 def disrupted_last(rows: DataFrame, flag: str, *order: str) -> DataFrame:
     """Sorted with rows whose reference is disrupted behind all others."""
     return rows.orderBy(F.coalesce(F.col(flag), F.lit(False)), *order)
+
+
+def with_place(rows: DataFrame, by: str, flag: str, *order: str) -> DataFrame:
+    """rows with `place`, from 1 within `by`: in the given order, but rows whose reference is disrupted behind all others."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.coalesce(F.col(flag), F.lit(False)), *order)))

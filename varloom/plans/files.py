@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from varloom.functions.scratch import scratch_path
 from varloom.operators import cohort as H
 from varloom.plans.base import KEYED, Views, on_views, oracle, query
+from varloom.sources import headers as HD
+from varloom.sources import phenotypes as PH
 from varloom.sources import vcf as V
 from varloom.streaming import intake as T
 
@@ -88,8 +90,101 @@ def streamed(spark, sf_dir):
     source, target, bad, checkpoint = (scratch_path(spark, f"intake-{k}") for k in ("source", "target", "bad", "checkpoint"))
     gt = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt"))
     calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(4, "sample_id").write.text(source)
+    T.start(spark, source, target, bad, checkpoint, files_per_batch=1, fold_every=3).awaitTermination()
+    return T.DeltaTable(spark, target).read().select("sample_id", "site_id", "gt", "dp", "gq", "filter")
+
+
+@query("t03_intake_counters", oracle(("fx_calls",), "SELECT count(*) AS records, count(*) FILTER (WHERE filter IN ('PASS', '.') AND site_id % 97 <> 0) AS passing, count(*) FILTER (WHERE site_id % 97 = 0) AS quarantined FROM fx_calls"))
+def intake_counters(spark, sf_dir):
+    """The counters that a stream stores with its batches, added up."""
+    calls = Views(spark, sf_dir).calls
+    source, target, bad, checkpoint = (scratch_path(spark, f"counted-{k}") for k in ("source", "target", "bad", "checkpoint"))
+    gt = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt"))
+    calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(3, "sample_id").write.text(source)
     T.start(spark, source, target, bad, checkpoint, files_per_batch=2).awaitTermination()
-    return T.VersionedTable(spark, target, T.CALLS).read().select("sample_id", "site_id", "gt", "dp", "gq", "filter")
+    return T.counters(spark, target).agg(*[F.sum(c).alias(c) for c in ("records", "passing", "quarantined")])
+
+
+@query("t03_scan_counters", oracle(("fx_calls",), "SELECT count(*) AS records, count(*) FILTER (WHERE filter IN ('PASS', '.') AND gq >= 20) AS passing, count(*) FILTER (WHERE gq < 20) AS quarantined FROM fx_calls"))
+def scan_counters(spark, sf_dir):
+    """The counters of one scan of all calls, of which those of low quality count as set aside."""
+    got = T.scan_counters(Views(spark, sf_dir).calls, F.col("gq") >= 20)
+    return spark.createDataFrame([tuple(got[c] for c in ("records", "passing", "quarantined"))], "records long, passing long, quarantined long")
+
+
+def header_files(spark: SparkSession, sf_dir: str) -> HD.Headers:
+    """A file for each import file, with its samples in order: two orders of consequence fields, a Number and a contig length that differ, and one header of 30,000 lines more."""
+    v, path = Views(spark, sf_dir), scratch_path(spark, "headers")
+    names = v.files.groupBy("file_id").agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
+    f = F.col("file_id")
+    csq = F.when(f % 2 == 0, "Allele|Consequence|SYMBOL").otherwise("SYMBOL|Allele|Consequence|Extra")
+    first = [
+        F.lit("##fileformat=VCFv4.2"), F.concat(F.lit("##INFO=<ID=AC,Number="), F.when(f == 4, "1").otherwise("A"), F.lit(',Type=Integer,Description="x">')),
+        F.concat(F.lit("##contig=<ID=chr1,length="), (248956422 + (f == 5).cast("int")).cast("string"), F.lit(">")),
+        F.concat(F.lit('##INFO=<ID=CSQ,Number=.,Type=String,Description="Consequences. Format: '), csq, F.lit('">')),
+    ]
+    more = F.when(f == 1, F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.concat(F.lit("##contig=<ID=part"), i.cast("string"), F.lit(">")))).otherwise(F.array().cast("array<string>"))
+    last = F.concat(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"), F.array_join("samples", "\t"))
+    lines = F.concat(F.array(*first), more, F.array(last), F.array(F.lit("1\t5\t.\tA\tC\t.\tPASS\tDB\tGT"), F.lit("#no header")))
+    rows = names.select(F.col("file_id").alias("file"), F.posexplode(lines).alias("n", "value"))
+    rows.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+    return HD.read_headers(spark, path)
+
+
+FILE_NO = F.regexp_extract("file", r"file=(\d+)", 1).cast("int")
+
+
+@query("s02_header_samples", oracle(("fx_files",), "SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY sample_id) - 1)::INTEGER AS ordinal, sample_id AS sample FROM fx_files"))
+def header_samples(spark, sf_dir):
+    return header_files(spark, sf_dir).samples().select(FILE_NO.alias("file_id"), "ordinal", "sample")
+
+
+@query("s02_header_conflicts", oracle(("fx_files",), """SELECT kind, name, variants FROM (VALUES ('info_number', 'AC', '1,A', 4), ('contig_length', 'chr1', '248956422,248956423', 5)) t(kind, name, variants, f) WHERE f IN (SELECT file_id FROM fx_files)"""))
+def header_conflicts(spark, sf_dir):
+    return header_files(spark, sf_dir).conflicts()
+
+
+@query("s03_csq_by_file", oracle(("fx_files",), "SELECT DISTINCT file_id, CASE WHEN file_id % 2 = 0 THEN 'Allele,Consequence,SYMBOL' ELSE 'SYMBOL,Allele,Consequence,Extra' END AS csq, CASE WHEN file_id % 2 = 0 THEN 'G1' ELSE 'G2 x' END AS symbol FROM fx_files"))
+def csq_by_file(spark, sf_dir):
+    """The same kind of entry in each file, read by the file's own order of fields."""
+    heads = header_files(spark, sf_dir)
+    rows = heads.csq().select("file", F.when(F.size("csq") == 3, "A|missense|G1").otherwise("G2%20x|A").alias("csq"))
+    symbols = HD.entries_by_file(rows, heads).select("file", F.col("entries")[0]["SYMBOL"].alias("symbol"))
+    return heads.csq().join(symbols, "file").select(FILE_NO.alias("file_id"), F.array_join("csq", ",").alias("csq"), "symbol")
+
+
+def phenotype_files(spark: SparkSession, sf_dir: str) -> PH.PhenotypeTable:
+    """Tables of a thousand individuals each: a title, a header with a repeated and an empty name, quoted cells with separators, quotes and line ends, blank rows, short rows."""
+    path, n = scratch_path(spark, "phenotypes"), F.col("c_custkey")
+    v = Views(spark, sf_dir)
+    rows = v.individuals.withColumn("c_custkey", F.substring("individual_id", 2, 12).cast("long"))
+    quoted = F.concat(F.lit('"fever, "'), F.lit('"high""'), F.when(n % 5 == 0, F.lit("\nand more")).otherwise(""), F.lit('"'))
+    cells = F.concat_ws(",", F.concat(F.lit(" P"), F.floor(n / 2).cast("string")), "sample_id", "sex_at_birth", quoted, F.when(n % 3 != 0, F.concat(F.lit("note"), n.cast("string"))).otherwise(""), F.lit("second"), F.lit("left over"))
+    line = F.concat(F.when(n % 7 == 3, "P_short,S_short").otherwise(cells), F.when(n % 4 == 1, "\n,,,,,,").otherwise(""))
+    text = rows.select(F.floor(n / 1000).alias("file"), n.alias("n"), line.alias("value"))
+    head = text.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), F.lit("Report,,\n\ufeffSubject ID,VCF Sample,Sex,Present Features,Comments,Comments,,Extra A,Extra B").alias("value"))
+    head.unionByName(text).repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+    return PH.read_phenotypes(spark, path)
+
+
+PHENOTYPES = """
+ph AS (SELECT FLOOR(n / 1000)::INTEGER AS file_no, row_number() OVER (PARTITION BY FLOOR(n / 1000) ORDER BY n)::INTEGER AS row_no, CASE WHEN n % 7 = 3 THEN 'P_short' ELSE 'P' || FLOOR(n / 2)::BIGINT END AS individual_id,
+  CASE WHEN n % 7 = 3 THEN 'S_short' ELSE sample_id END AS sample_ids, CASE WHEN n % 7 <> 3 THEN nullif(sex_at_birth, '') END AS sex_at_birth,
+  CASE WHEN n % 7 <> 3 THEN 'fever, "high"' || CASE WHEN n % 5 = 0 THEN chr(10) || 'and more' ELSE '' END END AS present_features,
+  CASE WHEN n % 7 <> 3 AND n % 3 <> 0 THEN 'note' || n END AS notes, CASE WHEN n % 7 = 3 THEN '' ELSE 'Column 7=left over;Comments (2)=second' END AS custom
+  FROM (SELECT *, substr(individual_id, 2)::BIGINT AS n FROM fx_individuals))"""
+
+
+@query("s12_phenotype_rows", oracle(("fx_individuals",), "SELECT * FROM ph", PHENOTYPES))
+def phenotype_rows(spark, sf_dir):
+    rows = phenotype_files(spark, sf_dir).rows
+    custom = F.array_join(F.array_sort(F.transform(F.map_entries("custom"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return rows.select(FILE_NO.alias("file_no"), "row_no", "individual_id", "sample_ids", "sex_at_birth", "present_features", "notes", custom.alias("custom"))
+
+
+@query("s12_phenotype_duplicates", oracle(("fx_individuals",), "SELECT file_no, individual_id, string_agg(row_no::VARCHAR, ',' ORDER BY row_no) AS row_nos FROM ph GROUP BY ALL HAVING count(*) > 1", PHENOTYPES))
+def phenotype_duplicates(spark, sf_dir):
+    return phenotype_files(spark, sf_dir).duplicates().select(FILE_NO.alias("file_no"), "individual_id", F.array_join(F.col("row_nos").cast("array<string>"), ",").alias("row_nos"))
 
 
 @on_views("s22_s25_published_tables", ("fx_sites", "fx_calls"), "SELECT chrom, count(*) AS sites FROM keyed GROUP BY chrom", KEYED)

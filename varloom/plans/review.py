@@ -239,7 +239,7 @@ def stored_region(v):
     return stored(v).search(v.files, H.CohortQuery("region", chrom="2", start=1000, end=300000, impacts=("HIGH", "MODERATE", "LOW"))).select(*OUT.split(", "))
 
 
-@on_views("x01_u02_stored_variants", V4, f"SELECT {OUT} FROM found", *_search_sql("TRUE", "(variant_key IN ('2:8919:G:T', '7:16838:G:GGT', 'X:3024757:TACG:T') OR site_id IN (1, 5, 9, 44))", preferred_only=False))
+@on_views("x01_u02_stored_variants", V4, f"SELECT {OUT} FROM found", *_search_sql("TRUE", "(variant_key IN ('2:8919:G:T', '7:16838:G:GGT', 'X:3024757:TACG:T') OR site_id IN (0, 1, 5, 9, 44))", preferred_only=False))
 def stored_variants(v):
     """Keys and rsIDs of either case, one of which names a site that a key names too."""
     keys = ("2:8919:G:T", "7:16838:g:ggt", "X:3024757:TACG:T", "rs7", "RS35", "rs63", "rs308", "rs0", "rs1")
@@ -344,3 +344,10 @@ def classes(v):
 @on_views("p15_review_classes", K, """SELECT gt, CASE WHEN gt IN ('./1', '0/0') THEN 'other' WHEN gt = '1/1' THEN 'homozygous_alt' ELSE 'heterozygous' END AS class, count(*) AS n FROM fx_calls GROUP BY ALL""")
 def review_classes(v):
     return v.calls.groupBy("gt", G.review_class(F.col("gt")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@on_views("o02_disrupted_last", N, "SELECT site_id, k, row_number() OVER (PARTITION BY site_id ORDER BY consequence = 'frameshift_variant', mane DESC, k)::INTEGER AS place FROM fx_annotations")
+def disrupted_last(v):
+    """A site's transcripts, those with a shifted frame behind the others."""
+    rows = v.annotations.withColumn("disrupted", F.when(F.col("consequence") == "frameshift_variant", True)).withColumn("other", 1 - F.col("mane"))
+    return T.with_place(rows, "site_id", "disrupted", "other", "k").select("site_id", "k", "place")

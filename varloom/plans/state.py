@@ -191,9 +191,9 @@ def remove(v):
     return B.remove_samples(C.carriers(v.calls), v.sites, gone)[1].select("site_id")
 
 
-@on_views("a40_fingerprints", ("fx_files", "fx_calls"))
+@on_views("a40_fingerprints", ("fx_files", "fx_calls", "fx_sites"), "SELECT file_id, records, sha256(concat_ws('-', " + ", ".join(f"p{i}::VARCHAR" for i in range(8)) + ")) AS fingerprint FROM (SELECT file_id, count(*) AS records, " + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS p{i}" for i in range(8))
+ + " FROM (SELECT file_id, sha256(variant_key || '|' || sample_id || '|' || gt) AS h FROM fx_calls JOIN fx_files USING (sample_id) JOIN keyed USING (site_id)) GROUP BY file_id)", KEYED)
 def fingerprints(v):
-    """Compared with itself in tests: the digest has no counterpart in SQL."""
     keys = H.keyed_sites(v.sites).select("site_id", "variant_key")
     return B.fingerprint(v.calls.join(v.files.select("sample_id", "file_id"), "sample_id").join(keys, "site_id"), "file_id")
 

@@ -1,4 +1,4 @@
-"""Readers of interval, gene, pedigree, phenotype and ontology text, and writers of tables.
+"""Readers of interval, gene, pedigree and ontology text, and writers of tables.
 
 Files are read on the executors with a given schema; what comes to the driver is a header line or a column mapping.
 """
@@ -9,13 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names under which a phenotype table may call its columns.
-PHENOTYPE_NAMES = {
-    "individual_id": ("individual_id", "individual", "patient", "patient_id", "id"), "sample": ("sample", "sample_id", "vcf_sample"), "sex": ("sex", "sex_at_birth", "gender"),
-    "age": ("age", "age_at_onset", "onset"), "features": ("features", "phenotype", "phenotypes", "hpo"), "diagnosis": ("diagnosis", "disease"),
-}
-
-
 def read_bed(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """chrom, start0, end0 and extra columns; comments, track and browser lines are skipped, bad rows dropped."""
     parts = F.split("value", "\t")
@@ -63,31 +56,6 @@ def read_ped(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines.filter(F.size(p) >= 6).select(*[p[i].alias(n) for i, n in enumerate(names)], "line"), lines.filter(F.size(p) < 6)
 
 
-def suggest_header(rows: list[list[str]]) -> int:
-    """Which of the first rows is the header: the one with most known names, the earlier of equal ones."""
-    known = {n for names in PHENOTYPE_NAMES.values() for n in names}
-    scores = [sum(c.strip().lower().replace(" ", "_") in known for c in r) for r in rows]
-    return scores.index(max(scores))
-
-
-def suggest_mapping(names: list[str]) -> dict[str, str]:
-    """Known field -> column of a table, the first that fits."""
-    plain = {n.strip().lower().replace(" ", "_"): n for n in reversed(names)}
-    return {f: plain[a] for f, aliases in PHENOTYPE_NAMES.items() for a in aliases[::-1] if a in plain} | {f: plain[a] for f, aliases in PHENOTYPE_NAMES.items() for a in aliases[:1] if a in plain}
-
-
-def read_phenotypes(spark: SparkSession, path: str, sep: str = ",", look_at: int = 20) -> DataFrame:
-    """Known fields of a phenotype table and row_no. Its header is looked for in the first lines; rows stay distributed."""
-    head = [r["value"].split(sep) for r in spark.read.text(path).limit(look_at).collect()]
-    names = [c.strip() for c in head[at]] if head and (at := suggest_header(head)) >= 0 else []
-    if len(set(names)) < len(names):
-        raise ValueError("repeated column names")
-    mapping = suggest_mapping(names)
-    p = F.split("value", sep, -1)
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_no")).filter((F.col("row_no") > at) & (F.trim("value") != ""))
-    return rows.select("row_no", *[F.nullif(F.trim(F.get(p, F.lit(names.index(c)))), F.lit("")).alias(f) for f, c in mapping.items()])
-
-
 def read_constraint(spark: SparkSession, path: str) -> DataFrame:
     """gene, pli, loeuf, mis_z from a constraint table; other text than numbers is null."""
     t = read_table(spark, path, ("gene", "pli", "loeuf", "mis_z"))

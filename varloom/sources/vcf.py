@@ -1,6 +1,6 @@
 """VCF text as tables: headers, records, ALTs, genotypes and consequences, and the way back to text.
 
-Lines are split on the executors; only the header comes to the driver. A gzip file is one split, so that its rows are
+Lines are split on the executors; only headers come to the driver. A gzip file is one split, so that its rows are
 dealt out again after reading; plain text is split by size.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from varloom.functions import alleles as A
 from varloom.functions import fields as X
 from varloom.functions import genotypes as G
+from varloom.sources import headers
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
 
@@ -27,10 +28,6 @@ class VcfHeader:
     lines: tuple[str, ...] = ()
 
 
-#: Lines at the front of a file that may belong to its header.
-HEAD = 20_000
-
-
 def csq_fields(line: str) -> tuple[str, ...]:
     """The field names in a CSQ header line, after Format."""
     found = re.search(r'Format:\s*([^">]+)', line)
@@ -50,9 +47,9 @@ def parse_header(lines: list[str]) -> VcfHeader:
 
 
 def read_header(spark: SparkSession, path: str) -> VcfHeader:
-    """The header of one file, or of the first one of a set: of its first HEAD lines those that reach the driver begin with #."""
-    lines = spark.read.text(path).limit(HEAD).filter(F.col("value").startswith("#")).collect()
-    return parse_header([r["value"] for r in lines])
+    """The header of one file, or of the first one by name of a set, up to its #CHROM line; `headers.read_headers` reads those of all."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    return parse_header(headers.head_of(spark, first) if first else [])
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
