@@ -11,6 +11,7 @@ from varloom.operators import intervals as I  # noqa: E741
 from varloom.operators import prefilter as W
 from varloom.operators import score_store as ST
 from varloom.operators import scores as S
+from varloom.operators import source_rules as SR
 from varloom.plans.base import KEYED, on_views
 
 N, SC = ("fx_annotations",), ("fx_annotations", "fx_scores")
@@ -267,3 +268,47 @@ def gene_scores(v):
     back = F.substring("gene", 5, 11).cast("int")
     text = F.when(F.col("reason").isNull(), F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt", "gene", "a")).otherwise(F.col("reason"))
     return read.select(back.alias("site_id"), text.alias("row_text"))
+
+
+def sourced(v):
+    """Annotations with columns of three sources, in all states of a match."""
+    n, cut = F.col("site_id") + F.col("k"), F.substring_index("transcript", ".", 1)
+    pick = lambda m, *texts: F.element_at(F.array(*[F.lit(t) if t is None or isinstance(t, str) else t for t in texts]), (n % m + 1).cast("int"))
+    return v.annotations.withColumns({
+        "hgvsp": F.concat(F.lit("p.Ala"), (1 + n % 50).cast("string"), F.lit("Gly")),
+        "FuncVEP_CTI": pick(4, "0.25", "1.5", "", "."), "FuncVEP_SP": pick(3, "0.5", None, "x"), "FuncVEP_allele_available": pick(5, "yes", "0", "?", None, "TRUE"),
+        "FuncVEP_match_status": pick(6, None, "Exact", "ambiguous", "other", None, "unmatched"), "FuncVEP_match": pick(7, None, "allele_gene", None, None, "x", None, None), "FuncVEP_source_gene": pick(8, "ENSG1", "ENSG2.3", "G", "", "ENSG5", "ENSG6", "ENSG7", "ENSG8"),
+        "LoGoFunc_gof": pick(3, "0.75", None, "0.5"), "LoGoFunc_prediction": pick(4, "GOF", "LOF", "gof", None), "LoGoFunc_match": pick(3, "allele_transcript_protein", "exact_version", "ALLELE_TRANSCRIPT_PROTEIN"), "LoGoFunc_source_transcript": pick(5, F.col("transcript"), cut, F.lit("ENST9.1"), F.lit("NM_1"), F.lit("")),
+        "LoGoFunc_source_HGVSp": F.when(n % 11 == 0, "p.Ala7Gly").otherwise(F.concat(F.lit("p.Ala"), (1 + n % 50).cast("string"), F.lit("Gly"))),
+        "promoterAI": pick(3, "-0.5", "0.25", "2"), "PromoterAI_match": pick(4, "exact_version", "stable_id", "tss", None), "PromoterAI_source_transcript": pick(4, F.col("transcript"), cut, F.concat(cut, F.lit(".77")), F.lit("ENST1.1")), "PromoterAI_tss": pick(6, "100", "200", "300", "400", "500", "-"), "PromoterAI_strand": pick(5, "+", "-", "1", "?", "-1"),
+    })
+
+
+#: The three rules as cases over the same columns, source by source.
+SOURCED = """
+sn AS (SELECT site_id, k, transcript, (site_id + k) AS n, split_part(transcript, '.', 1) AS base FROM fx_annotations),
+fv AS (SELECT *, CASE n % 4 WHEN 0 THEN 0.25 END AS cti, n % 4 = 1 AS bad_cti, CASE n % 3 WHEN 0 THEN 0.5 END AS sp, n % 3 = 2 AS bad_sp, CASE n % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 4 THEN TRUE END AS avail, n % 5 = 2 AS bad_avail,
+  CASE n % 6 WHEN 1 THEN 'exact' WHEN 2 THEN 'ambiguous' WHEN 5 THEN 'unmatched' END AS stated, n % 6 IN (1, 2, 3, 5) AS has_stated, n % 7 IN (1, 4) AS has_match, n % 7 = 1 AS matches, n % 8 = 2 AS bad_gene, n % 8 = 3 AS no_gene FROM sn),
+fs AS (SELECT *, coalesce(stated, CASE WHEN matches OR cti IS NOT NULL OR sp IS NOT NULL THEN 'exact' WHEN avail THEN 'partial' ELSE 'unmatched' END) AS s FROM fv WHERE cti IS NOT NULL OR sp IS NOT NULL OR avail IS NOT NULL OR has_stated OR has_match),
+fo AS (SELECT site_id, k, 'funcvep' AS predictor, CASE WHEN bad_gene OR (s = 'exact' AND no_gene) THEN 'partial' ELSE s END AS status, FALSE AS bind, bad_gene OR (s = 'exact' AND no_gene) AS lost,
+  [CASE WHEN cti IS NOT NULL THEN 'cti=0.25' END, CASE WHEN sp IS NOT NULL THEN 'sp=0.5' END] AS scores, CASE WHEN avail IS NOT NULL THEN 'allele_available=' || avail::VARCHAR END AS flag, s,
+  concat_ws(',', CASE WHEN bad_avail THEN 'allele_available' END, CASE WHEN bad_cti THEN 'cti' END, CASE WHEN bad_sp THEN 'sp' END) AS invalid_metrics, CASE WHEN bad_gene THEN 'ensembl_gene' ELSE '' END AS invalid_dimensions, CASE WHEN s = 'exact' AND (no_gene OR bad_gene) THEN 'ensembl_gene' ELSE '' END AS missing_dimensions FROM fs),
+f AS (SELECT site_id, k, predictor, status, bind, CASE WHEN lost THEN '' ELSE concat_ws(',', CASE WHEN s = 'exact' THEN scores[1] END, CASE WHEN s = 'exact' THEN scores[2] END, flag) END AS vals,
+  concat_ws(',', CASE WHEN lost AND flag IS NOT NULL THEN 'allele_available' END, CASE WHEN (lost OR s <> 'exact') AND scores[1] IS NOT NULL THEN 'cti' END, CASE WHEN (lost OR s <> 'exact') AND scores[2] IS NOT NULL THEN 'sp' END) AS withheld, invalid_metrics, invalid_dimensions, missing_dimensions FROM fo),
+lv AS (SELECT *, CASE n % 3 WHEN 0 THEN 'gof=0.75' WHEN 2 THEN 'gof=0.5' END AS gof, CASE n % 4 WHEN 0 THEN 'prediction=GOF' WHEN 1 THEN 'prediction=LOF' END AS pred, n % 3 <> 1 AS s, n % 5 = 3 AS bad_tx, n % 5 = 4 AS no_tx, n % 5 IN (0, 1) AS own_tx, NOT (n % 11 = 0 AND 1 + n % 50 <> 7) AS same_p FROM sn),
+l AS (SELECT site_id, k, 'logofunc' AS predictor, CASE WHEN s AND NOT bad_tx AND NOT no_tx THEN 'exact' ELSE 'partial' END AS status, s AND own_tx AND same_p AS bind, CASE WHEN s AND NOT bad_tx AND NOT no_tx THEN concat_ws(',', gof, pred) ELSE '' END AS vals,
+  CASE WHEN s AND NOT bad_tx AND NOT no_tx THEN '' ELSE concat_ws(',', CASE WHEN gof IS NOT NULL THEN 'gof' END, CASE WHEN pred IS NOT NULL THEN 'prediction' END) END AS withheld, CASE WHEN n % 4 = 2 THEN 'prediction' ELSE '' END AS invalid_metrics,
+  CASE WHEN bad_tx THEN 'ensembl_transcript' ELSE '' END AS invalid_dimensions, CASE WHEN s AND (no_tx OR bad_tx) THEN 'ensembl_transcript' ELSE '' END AS missing_dimensions FROM lv),
+pv AS (SELECT *, CASE n % 3 WHEN 0 THEN 'score=-0.5' WHEN 1 THEN 'score=0.25' END AS score, n % 3 = 2 AS bad_score, n % 4 IN (0, 1) AS known, n % 4 <> 3 AS has_match, n % 6 = 5 AS no_tss, n % 5 = 3 AS bad_strand FROM sn),
+pc AS (SELECT *, known AND score IS NOT NULL AS s FROM pv WHERE score IS NOT NULL OR has_match),
+p AS (SELECT site_id, k, 'promoterai' AS predictor, CASE WHEN s AND NOT no_tss AND NOT bad_strand THEN 'exact' ELSE 'partial' END AS status, s AND NOT no_tss AND NOT bad_strand AS bind, CASE WHEN s AND NOT no_tss AND NOT bad_strand THEN score ELSE '' END AS vals,
+  CASE WHEN (NOT s OR no_tss OR bad_strand) AND score IS NOT NULL THEN 'score' ELSE '' END AS withheld, CASE WHEN bad_score THEN 'score' ELSE '' END AS invalid_metrics, CASE WHEN bad_strand THEN 'strand' ELSE '' END AS invalid_dimensions,
+  CASE WHEN s THEN concat_ws(',', CASE WHEN bad_strand THEN 'strand' END, CASE WHEN no_tss THEN 'tss_position' END) ELSE '' END AS missing_dimensions FROM pc)"""
+
+
+@on_views("p23_source_rules", N, "SELECT * FROM f UNION ALL SELECT * FROM l UNION ALL SELECT * FROM p", SOURCED)
+def source_rules(v):
+    rows = SR.source_observations(sourced(v), SR.RULES)
+    vals = F.transform("values", lambda x: F.concat_ws("=", x["metric"], F.coalesce(x["number"].cast("string"), x["text"], x["flag"].cast("string"))))
+    lists = [F.array_join(c, ",").alias(c) for c in ("withheld", "invalid_metrics", "invalid_dimensions", "missing_dimensions")]
+    return rows.select("site_id", "k", "predictor", "status", "bind", F.array_join(vals, ",").alias("vals"), *lists)
