@@ -6,10 +6,10 @@ in and the one before by a join on both numbers, never by a broadcast.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from varloom.functions.scratch import scratch_path
 
 CHUNK = 1024
 
@@ -26,45 +26,94 @@ def with_window(rows: DataFrame, chunks: DataFrame, pos: str = "pos", size: int
     return out.withColumns({"window": window, "window_start": F.when(F.col("_here").isNotNull(), start)}).drop("_chunk", "_before", "_here", "_behind")
 
 
-def _aligned(pos: pd.Series, ref: pd.Series, alt: pd.Series, window: pd.Series, start: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, r, a, w, s in zip(pos, ref, alt, window, start):
-        if w is None or pd.isna(s):
-            out.append((p, r, a, "unmapped"))
-            continue
-        p, r, a, s = int(p), r.upper(), a.upper(), int(s)
-        if w[p - s : p - s + len(r)].upper() != r:
-            out.append((p, r, a, "reference_mismatch"))
-            continue
-        ok = True
-        while r != a and r and a and r[-1] == a[-1]:
-            r, a = r[:-1], a[:-1]
-            if not r or not a:
-                p -= 1
-                if p < s:
-                    ok = False
-                    break
-                base = w[p - s].upper()
-                r, a = base + r, base + a
-        while ok and len(r) > 1 and len(a) > 1 and r[0] == a[0]:
-            r, a, p = r[1:], a[1:], p + 1
-        out.append((p, r, a, "aligned") if ok else (p + 1, r, a, "unmapped"))
-    return pd.DataFrame(out, columns=["pos", "ref", "alt", "status"])
+def _common(a: Column, b: Column, limit: Column, bits: int) -> Column:
+    """How many characters a and b begin with alike, up to limit (below 2^bits): by halves, each a comparison of two substrings."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= limit) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """rows with what an allele changes: unit (the bases that an indel puts in or takes out and that may move, else null), at (the first base behind the place where
+    they stand), longer (whether REF is the longer one), and for all others their minimal form."""
+    ref, alt = F.upper("ref"), F.upper("alt")
+    n, m = F.length(ref), F.length(alt)
+    least = F.least(n, m)
+    back = _common(F.reverse(ref), F.reverse(alt), least, 24)
+    out = rows.withColumns({"_pos": F.col("pos").cast("long"), "_ref": ref, "_alt": alt, "_s": back})
+    n, m = F.length("_ref"), F.length("_alt")
+    # where the shorter one is a suffix of the longer, what is in front of it moves
+    out = out.withColumns({"longer": n > m, "unit": F.when((F.col("_s") == F.least(n, m)) & (n != m), F.substring(F.when(n > m, F.col("_ref")).otherwise(F.col("_alt")), F.lit(1), F.abs(n - m)))})
+    cut = lambda c: F.substring(c, F.lit(1), F.greatest(F.length(c) - F.least(F.col("_s"), F.least(n, m) - 1), F.lit(1)))
+    out = out.withColumns({"_r": cut("_ref"), "_a": cut("_alt")})
+    front = _common(F.col("_r"), F.col("_a"), F.least(F.length("_r"), F.length("_a")) - 1, 24)
+    out = out.withColumn("_p", F.when(F.col("_ref") == F.col("_alt"), 0).otherwise(front))
+    rest = lambda c: F.substring(c, F.col("_p") + 1, F.length(c))
+    return out.withColumns({"m_pos": F.col("_pos") + F.col("_p"), "m_ref": rest("_r"), "m_alt": rest("_a"), "at": F.col("_pos")}).drop("_s", "_r", "_a", "_p")
+
+
+def _moved(rows: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """One round: rows (unit, at) as far to the left as their window shows; status is null for those that reach its edge.
+
+    A unit moves by a base while the base in front of it is its last one, and is then turned by one. So it moves as far as the
+    reference in front of it, read backwards, goes on like the unit, read backwards and repeated.
+    """
+    w = with_window(rows.withColumn("_near", F.greatest(F.col("at") - 1, F.lit(1))), chunks, pos="_near", size=size).drop("_near")
+    first = F.greatest(F.col("window_start"), F.lit(2))  # the first base of a contig stays in front as the anchor
+    shown = F.greatest(F.col("at") - first, F.lit(0)).cast("int")
+    w = w.withColumns({"_shown": shown, "_left": F.reverse(F.upper(F.substring("window", (first - F.col("window_start") + 1).cast("int"), shown)))})
+    times = F.ceil(F.col("_shown") / F.length("unit")).cast("int")
+    w = w.withColumn("_m", _common(F.col("_left"), F.repeat(F.reverse("unit"), times), F.col("_shown"), 1 + (2 * size).bit_length()))
+    turn = F.col("_m") % F.length("unit")
+    unit = F.concat(F.substring("unit", F.length("unit") - turn + 1, turn), F.substring("unit", F.lit(1), F.length("unit") - turn))
+    edge = (F.col("_m") == F.col("_shown")) & (F.col("window_start") > 1)
+    out = w.withColumns({"unit": unit, "at": F.col("at") - F.col("_m")})
+    anchor = F.upper(F.substring("window", (F.col("at") - F.col("window_start")).cast("int"), F.lit(1)))
+    status = F.when(F.col("window").isNull(), "unmapped").when(~edge, "aligned")
+    return out.withColumns({"status": status, "anchor": anchor}).drop("window", "window_start", "_shown", "_left", "_m")
 
 
 def left_aligned(rows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
     """rows (chrom, pos, ref, alt) at their leftmost equal place, with status: aligned, reference_mismatch, or unmapped.
 
-    Unmapped: no sequence there, or the place moves out of the window of one chunk to the left. Only indels are
-    sent through the UDF; a substitution of one base is where it is.
+    Unmapped: there's no sequence where the allele lies or where it moves to; it's returned as it came in, as are those that the reference
+    contradicts, and equal alleles. What reaches the edge of its window goes on in the window of the chunk before, for as many rounds as the
+    longest repeat has chunks; others are done after the first. A change of one base for another is where it is. Of a REF
+    longer than the window the part in it is compared.
     """
-    aligned = pandas_udf(_aligned, "pos long, ref string, alt string, status string")  # made here, as it needs a session
-    w = with_window(rows, chunks, size=size)
-    single = (F.length("ref") == 1) & (F.length("alt") == 1)
-    kept = w.filter(single).drop("window", "window_start").withColumn("status", F.lit("aligned"))
-    moved = w.filter(~single).withColumn("_a", aligned("pos", "ref", "alt", "window", "window_start"))
     others = [c for c in rows.columns if c not in ("pos", "ref", "alt")]
-    return moved.select(*others, "_a.pos", "_a.ref", "_a.alt", "_a.status").unionByName(kept.select(*others, F.col("pos").cast("long").alias("pos"), "ref", "alt", "status"))
+    single = (F.length("ref") == 1) & (F.length("alt") == 1)
+    kept = rows.filter(single).select(*others, F.col("pos").cast("long").alias("pos"), F.upper("ref").alias("ref"), F.upper("alt").alias("alt"), F.lit("aligned").alias("status"))
+    w = with_window(_parts(rows.filter(~single)), chunks, pos="_pos", size=size)
+    here = F.upper(F.substring("window", (F.col("_pos") - F.col("window_start") + 1).cast("int"), F.length("_ref")))
+    same = (F.length(here) > 0) & (here == F.substring("_ref", F.lit(1), F.length(here)))
+    status = F.when(F.col("window").isNull(), "unmapped").when(~same, "reference_mismatch").when(F.col("unit").isNull(), "minimal").when(F.col("at") == 1, "start")
+    state = w.withColumns({"status": status, "anchor": F.lit(None).cast("string")}).drop("window", "window_start")
+    done = []
+    while True:
+        state = _written(state)
+        done.append(state.filter("status IS NOT NULL"))
+        moving = state.filter("status IS NULL")
+        if moving.isEmpty():
+            break
+        state = _moved(moving.drop("status", "anchor"), chunks, size)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    s = F.col("status")
+    long, short = F.concat("anchor", "unit"), F.col("anchor")
+    as_is = s.isin("unmapped", "reference_mismatch") | (F.col("_ref") == F.col("_alt"))
+    pick = lambda name, moved, start: F.when(as_is, F.col(f"_{name}")).when(s == "minimal", F.col(f"m_{name}")).when(s == "start", start).otherwise(moved)
+    # at a contig's first base there's nothing in front, and the base behind is kept
+    ref = pick("ref", F.when(F.col("longer"), long).otherwise(short), F.substring("_ref", F.lit(1), F.greatest(F.length("_ref") - F.length("_alt"), F.lit(0)) + 1))
+    alt = pick("alt", F.when(F.col("longer"), short).otherwise(long), F.substring("_alt", F.lit(1), F.greatest(F.length("_alt") - F.length("_ref"), F.lit(0)) + 1))
+    named = F.when(s.isin("unmapped", "reference_mismatch"), s).otherwise("aligned")
+    return out.select(*others, pick("pos", F.col("at") - 1, F.lit(1)).cast("long").alias("pos"), ref.alias("ref"), alt.alias("alt"), named.alias("status")).unionByName(kept)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "aligned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hgvs_alleles(rows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -194,6 +194,8 @@ def source_observations(annotations: DataFrame, rules: tuple[Rule, ...], keep: t
     """A row for each annotation row and source with some value: keep, predictor, resource, scope, status, bind, target, values (number, text, flag), provenance, withheld,
     invalid_metrics, invalid_dimensions, missing_dimensions and matched_dimensions. Columns that a table lacks count as empty; sources without any column give nothing."""
     used = [r for r in checked(rules) if any(c in annotations.columns for m in r.metrics for c in m.columns)]
+    if not used:
+        annotations, used = annotations.limit(0), list(rules[:1])
     wanted = {c.split(":")[0] for r in used for c in [*(c for m in r.metrics for c in m.columns), *(c for _, c in r.target), *(c for pair in r.same for c in pair)]} | {"transcript"}
     rows = annotations.withColumns({c: F.lit(None).cast("string") for c in sorted(wanted - set(annotations.columns))})
     return _prepared(rows, used).select(*keep, F.inline(F.array_compact(F.array(*[_observation(r) for r in used]))))

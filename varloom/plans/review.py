@@ -11,6 +11,7 @@ from varloom.functions.scratch import scratch_path
 from varloom.operators import calls as C
 from varloom.operators import cohort as H
 from varloom.operators import cohort_store as HS
+from varloom.operators import reference as P
 from varloom.operators import transcripts as T
 from varloom.plans.base import CARRIERS, IMPACT, KEYED, on_views
 
@@ -351,3 +352,19 @@ def disrupted_last(v):
     """A site's transcripts, those with a shifted frame behind the others."""
     rows = v.annotations.withColumn("disrupted", F.when(F.col("consequence") == "frameshift_variant", True)).withColumn("other", 1 - F.col("mane"))
     return T.with_place(rows, "site_id", "disrupted", "other", "k").select("site_id", "k", "place")
+
+
+@on_views("p04_left_aligned", S, "SELECT site_id, 1::BIGINT AS pos, CASE WHEN site_id % 2 = 0 THEN 'T' || u ELSE 'T' END AS ref, CASE WHEN site_id % 2 = 0 THEN 'T' ELSE 'T' || u END AS alt, 'aligned' AS status FROM (SELECT site_id, ['A', 'CA', 'GTC'][site_id % 3 + 1] AS u FROM fx_sites)")
+def left_aligned(v):
+    """A repeat on a contig for each site, some of 3,000 bases, with a turned unit taken out or put in somewhere within."""
+    n = F.col("site_id")
+    unit = F.element_at(F.array(F.lit("A"), F.lit("CA"), F.lit("GTC")), (n % 3 + 1).cast("int"))
+    rows = v.sites.select("site_id", F.concat(F.lit("k"), n.cast("string")).alias("chrom"), unit.alias("u"), ((5 + n % 50) * F.when(n % 25 == 0, 40).otherwise(1)).cast("int").alias("times"))
+    rows = rows.withColumns({"sequence": F.concat(F.lit("T"), F.repeat("u", F.col("times")), F.lit("NNNN")), "size": F.length("u")})
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / P.CHUNK).cast("int")), lambda i: F.struct(i.cast("long").alias("chunk"), F.substring("sequence", i * P.CHUNK + 1, F.lit(P.CHUNK)).alias("bases")))
+    chunks = rows.select("chrom", F.inline(pieces)).withColumnRenamed("bases", "sequence")
+    at = (1 + n % (F.col("size") * (F.col("times") - 1))).cast("int")  # the base in front of the indel
+    base, turned = F.substring("sequence", at, F.lit(1)), F.substring("sequence", at + 1, F.col("size"))
+    long, short = F.concat(base, turned), base
+    alleles = rows.select("site_id", "chrom", at.alias("pos"), F.when(n % 2 == 0, long).otherwise(short).alias("ref"), F.when(n % 2 == 0, short).otherwise(long).alias("alt"))
+    return P.left_aligned(alleles, chunks).select("site_id", "pos", "ref", "alt", "status")
