@@ -1,5 +1,6 @@
 """Exact dedup, mixing, URL filters, secrets and line dedup on small cases."""
 
+import collections
 import hashlib
 import random
 import re
@@ -198,6 +199,51 @@ def lines_of(text):
     return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
 
 
+def deleted_by_brute_force(docs, least=50):
+    """doc -> numbers of deleted lines, blank ones aside, and all windows with their lines' numbers: every window against every earlier one."""
+    windows, firsts = [], {}
+    texts = {d: [(i, x.strip()) for i, x in lines_of(t)] for d, t in docs.items()}
+    for d in sorted(texts):
+        rows = texts[d]
+        for i in range(len(rows)):
+            n, j = 0, i
+            while j < len(rows) and n < least:
+                n, j = n + len(rows[j][1].split()), j + 1
+            if n >= least:
+                key = tuple(x for _, x in rows[i:j])
+                windows.append((d, i, j, key))
+                firsts.setdefault(key, (d, i, j))
+    gone, kept = set(), set()
+    for d, i, j, key in windows:
+        o, oi, oj = firsts[key]
+        if (o, oi) == (d, i):
+            continue
+        # as far as both go on alike, while the lines behind the first one stay below the least number of words
+        while j < len(texts[d]) and oj < len(texts[o]) and texts[d][j][1] == texts[o][oj][1] and sum(len(x.split()) for _, x in texts[d][i + 1 : j + 1]) < least:
+            j, oj = j + 1, oj + 1
+        gone |= {(d, k) for k in range(i, j)}
+        kept |= {(o, k) for k in range(oi, oj)}
+    out = {d: {texts[d][k][0] for e, k in gone - kept if e == d} for d in texts}
+    return out, windows, texts
+
+
+def check_line_dedup(spark, docs, extra=()):
+    rows = spark.createDataFrame([*[(d, t, 1) for d, t in docs.items()], *extra], DOCS + ", removed int")
+    out = {r.doc_id: r for r in line_dedup.clean(rows).collect()}
+    want, windows, texts = deleted_by_brute_force(docs)
+    for d, t in docs.items():
+        lines = t.split("\n")
+        gone = {i for r in out[d].removed for i in range(r["first"], r["last"] + 1)}
+        assert {i for i in gone if lines[i].strip()} == want[d], d
+        assert out[d].text == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    # each repeated window stays whole where it comes first
+    times, seen = collections.Counter(w[3] for w in windows), set()
+    for d, i, j, key in windows:
+        assert times[key] == 1 or key in seen or not want[d] & {texts[d][k][0] for k in range(i, j)}
+        seen.add(key)
+    return out
+
+
 def test_line_dedup_finds_every_repeated_window(spark):
     rng = random.Random(7)
     line = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(n))
@@ -211,28 +257,31 @@ def test_line_dedup_finds_every_repeated_window(spark):
     docs[50] = docs[3]
     docs[51] = "\n".join([line(60)] * 3)
     docs[52], docs[53] = "", "   \n\n"
-    rows = spark.createDataFrame([(d, t, 1) for d, t in docs.items()] + [(99, None, 1)], DOCS + ", removed int")
-    out = {r.doc_id: r for r in line_dedup.clean(rows).collect()}
-    assert len(out) == len(docs) + 1 and out[99].text is None
-    seen = set()
-    for d, t in docs.items():
-        gone = {i for r in out[d].removed for i in range(r["first"], r["last"] + 1)}
-        rows_ = lines_of(t)
-        for i in range(len(rows_)):
-            n, j = 0, i
-            while j < len(rows_) and n < 50:
-                n, j = n + len(rows_[j][1].split()), j + 1
-            if n >= 50:
-                key = tuple(x.strip() for _, x in rows_[i:j])
-                if key in seen:
-                    assert {x for x, _ in rows_[i:j]} <= gone, d
-                seen.add(key)
-        for i in gone:  # each deleted line is somewhere earlier
-            x = t.split("\n")[i]
-            assert not x.strip() or any(x in o.split("\n") for e, o in docs.items() if e < d) or x in t.split("\n")[:i]
-    assert not any(out[0].removed) and out[50].text.strip() == ""
+    out = check_line_dedup(spark, docs, [(99, None, 1)])
+    assert out[99].text is None and not any(out[0].removed) and out[50].text.strip() == ""
     assert out[51].text == docs[51].split("\n")[0]
-    assert line_dedup.clean(rows.limit(0)).count() == 0
+    assert line_dedup.clean(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_line_dedup_keeps_the_first_of_runs_that_overlap_or_chain(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    ten = [line(10) for _ in range(6)]
+    same = line(10)
+    docs = {1: "\n".join([same] * 60), 2: "\n".join(ten[:5]), 3: "\n".join(ten), 4: "\n".join(ten[1:])}
+    out = check_line_dedup(spark, docs)
+    assert out[1].text == "\n".join([same] * 5) and out[2].text == docs[2] and out[3].text == docs[4] and out[4].text == ""
+    few = [rng.choice([line(n), line(n)]) for n in (1, 2, 3, 5, 8, 13, 21, 34, 55)]
+    mixed = {10 + d: "\n".join(rng.choice([*few, "", " \t"]) for _ in range(rng.randint(1, 60))) for d in range(40)}
+    check_line_dedup(spark, mixed)
+    letters = {d: "\n".join(rng.choice(["a b c d e", "f g h i j", "k l m n o p q r s t"]) for _ in range(rng.randint(8, 30))) for d in range(25)}
+    check_line_dedup(spark, letters)
+
+
+def test_line_dedup_takes_very_long_texts(spark):
+    long = "\n".join(f"line {i} of many" for i in range(20_000))
+    out = {r.doc_id: r for r in line_dedup.clean(spark.createDataFrame([(1, long), (2, "x\n" + long + "\ny")], DOCS)).collect()}
+    assert out[1].text == long and out[2].text == "x\ny" and [tuple(r) for r in out[2].removed] == [(1, 20_000)]
 
 
 def test_line_dedup_finds_passages_with_frequent_lines(spark):
