@@ -118,5 +118,23 @@ def attach_stats(rows: DataFrame, stats: DataFrame, key: str, size: str, total:
     return out.select(*rows.columns, *[F.coalesce(f"_vl_h_{c}", f"_vl_l_{c}").alias(c) for c in names])
 
 
+#: Into how many tasks the rows of a heavy key are dealt by attach_wide.
+WAYS = 32
+
+
+def attach_wide(rows: DataFrame, stats: DataFrame, key: str, size: str, total: int, spread: list[str]) -> DataFrame:
+    """As attach_stats, for stats of any width: of heavy keys only the keys are broadcast, and their rows of stats are dealt WAYS times by a salt."""
+    at_least = max(2, int(total * HEAVY_SHARE))
+    heavy = stats.filter(F.col(size) >= at_least).select(F.col(key).alias("_vl_k"))
+    out = rows.join(F.broadcast(heavy), F.col(key) == F.col("_vl_k"), "left")
+    deal = F.pmod(F.xxhash64(*spread), F.lit(WAYS))
+    out = out.withColumn("_vl_salt", F.when(F.col("_vl_k").isNotNull() | F.col(key).isNull(), deal).otherwise(F.lit(0)))
+    names = [c for c in stats.columns if c != key]
+    salts = F.when(F.col(size) >= at_least, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    each = stats.select(F.col(key).alias("_vl_lk"), F.explode(salts).cast("long").alias("_vl_ls"), *[F.col(c).alias(f"_vl_w_{c}") for c in names])
+    out = out.join(each, (F.col(key) == F.col("_vl_lk")) & (F.col("_vl_salt") == F.col("_vl_ls")), "left")
+    return out.select(*rows.columns, *[F.col(f"_vl_w_{c}").alias(c) for c in names])
+
+
 def total_of(stats: DataFrame, size: str) -> int:
     return int(stats.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])

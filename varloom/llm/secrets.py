@@ -155,7 +155,8 @@ class BlobLedger:
         paths = common.materialize(docs.select(*ids, blob_of(F.col("text")).alias("_blob")), "paths")
         sizes = paths.groupBy("_blob").agg(F.count("*").alias("_n"))
         stats = common.materialize(sizes.join(found, F.col("_blob") == F.col("blob")).select("_blob", "_n", "found"), "found")
-        out = common.attach_stats(paths, stats, "_blob", "_n", paths.count(), ids)
+        # a blob may have any number of findings: they are dealt, never broadcast
+        out = common.attach_wide(paths, stats, "_blob", "_n", paths.count(), ids)
         return out.select(*ids, F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")).alias("found"))
 
 

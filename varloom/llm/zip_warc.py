@@ -198,7 +198,8 @@ def package_ranges(read: Callable[[int, int], bytes], size: int) -> Iterator[tup
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for responses).
 
-    What repeats is found on ids and digests alone; payloads meet only the digests that repeat.
+    What repeats is found on ids and digests alone. While the digests that repeat are few, they are broadcast and payloads stay where they are; when they are many,
+    payloads are dealt once by their digests, those of hot pages over all tasks.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
