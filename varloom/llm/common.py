@@ -131,7 +131,7 @@ def attach_wide(rows: DataFrame, stats: DataFrame, key: str, size: str, total: i
     out = out.withColumn("_vl_salt", F.when(F.col("_vl_k").isNotNull() | F.col(key).isNull(), deal).otherwise(F.lit(0)))
     names = [c for c in stats.columns if c != key]
     salts = F.when(F.col(size) >= at_least, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
-    each = stats.select(F.col(key).alias("_vl_lk"), F.explode(salts).cast("long").alias("_vl_ls"), *[F.col(c).alias(f"_vl_w_{c}") for c in names])
+    each = stats.select(F.col(key).alias("_vl_lk"), F.explode(salts.cast("array<bigint>")).alias("_vl_ls"), *[F.col(c).alias(f"_vl_w_{c}") for c in names])
     out = out.join(each, (F.col(key) == F.col("_vl_lk")) & (F.col("_vl_salt") == F.col("_vl_ls")), "left")
     return out.select(*rows.columns, *[F.col(f"_vl_w_{c}").alias(c) for c in names])
 
