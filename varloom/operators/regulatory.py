@@ -1,6 +1,6 @@
 """Regulatory context: class codes of elements in biosamples, their summaries, and an ontology of contexts.
 
-Codes lie in a long table (row_index, sample_index, code); a dense row of codes is an array made by grouping, never by position in a file.
+Codes come as a long table (row_index, sample_index, code), as its checks need it; `matrix` packs it to a row an element and reads that.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.scratch import shared_root
+from varloom.functions.scratch import scratch_path
 
 #: Classes by code, and the family of each.
 CLASSES = ("inactive", "PLS", "pELS", "dELS", "CA-H3K4me3", "CA-CTCF", "CA-TF", "CA", "TF")
@@ -36,22 +36,6 @@ def state(detected: Column, specific: Column, capability: Column | None = None)
     return (out if capability is None else out.when(capability == 0, "accessible_classification_unavailable")).otherwise("accessible_only")
 
 
-def _specific() -> Column:
-    return F.collect_set(F.when((F.col("code") > 0) & (family_of(F.col("code")) != "accessibility"), family_of(F.col("code"))))
-
-
-def element_states(codes: DataFrame, by: list[str]) -> DataFrame:
-    """by, samples, detected, state from codes."""
-    rows = codes.groupBy(*by).agg(F.count("*").alias("samples"), F.count_if(F.col("code") > 0).alias("detected"), _specific().alias("_s"))
-    return rows.select(*by, "samples", "detected", state(F.col("detected"), F.col("_s")).alias("state"))
-
-
-def tissue_evidence(codes: DataFrame) -> DataFrame:
-    """row_index, sample_index, class, state of each tissue by itself."""
-    one = F.array_compact(F.array(F.when((F.col("code") > 0) & (family_of(F.col("code")) != "accessibility"), family_of(F.col("code")))))
-    return codes.select("row_index", "sample_index", class_of(F.col("code")).alias("class"), state((F.col("code") > 0).cast("int"), one).alias("state"))
-
-
 def representatives(profiles: DataFrame, tier: str = "evidence_tier") -> DataFrame:
     """One profile for each ontology term and donor: the fuller tier, then the lower index; the others as `duplicates`."""
     rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col(tier))
@@ -64,23 +48,8 @@ def capable(tier: Column) -> Column:
     return tier != "accessibility_only"
 
 
-def context_evidence(codes: DataFrame, members: DataFrame) -> DataFrame:
-    """row_index, ontology_id, donors, detected, capability, state, classes (map of class to profiles) of each context.
-
-    members: ontology_id, donor, sample_index, evidence_tier. A context has few members, so that members are the small side.
-    """
-    rows = codes.join(members, "sample_index")
-    counts = rows.groupBy("row_index", "ontology_id", class_of(F.col("code")).alias("class")).agg(F.count("*").alias("n")).groupBy("row_index", "ontology_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("classes"))
-    out = rows.groupBy("row_index", "ontology_id").agg(F.countDistinct("donor").alias("donors"), F.countDistinct(F.when(F.col("code") > 0, F.col("donor"))).alias("detected"), F.count_if(capable(F.col("evidence_tier"))).alias("capability"), _specific().alias("_s"))
-    out = out.withColumn("state", state(F.col("detected"), F.col("_s"), F.col("capability"))).drop("_s")
-    return out.join(counts, ["row_index", "ontology_id"])
-
-
-def curated_summary(codes: DataFrame, members: DataFrame) -> DataFrame:
-    """row_index, ontology_id, status, discordant, evidence: whether detection and class are replicated among donors."""
-    g = F.when(capable(F.col("evidence_tier")) & (F.col("code") > 0), family_of(F.col("code")))
-    rows = codes.join(members, "sample_index").withColumn("_g", g)
-    per = rows.groupBy("row_index", "ontology_id").agg(F.count_if(F.col("code") > 0).alias("positive"), F.count("_g").alias("classified"), F.collect_set(F.when(F.col("_g") != "accessibility", F.col("_g"))).alias("specific"), F.count_if(F.col("_g") != "accessibility").alias("in_group"), F.count_if(capable(F.col("evidence_tier"))).alias("capability"))
+def curated_status(per: DataFrame) -> DataFrame:
+    """row_index, ontology_id, status, discordant and evidence from counts: positive, classified, specific (families), in_group, capability."""
     many = lambda n: F.when(n >= 2, "replicated_").otherwise("single_")
     name = F.element_at("specific", 1)
     status = (
@@ -146,12 +115,6 @@ def donor_dependence(members: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(shared, ["ancestor", "term"], "left").select(F.col("ancestor").alias("parent"), F.col("term").alias("child"), F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
 
 
-def element_summary(codes: DataFrame, members: DataFrame) -> DataFrame:
-    """row_index, contexts detected, distinct donors detected, over all contexts."""
-    rows = codes.filter("code > 0").join(members, "sample_index")
-    return rows.groupBy("row_index").agg(F.countDistinct("ontology_id").alias("contexts"), F.countDistinct("donor").alias("donors"))
-
-
 def histograms(codes: DataFrame) -> DataFrame:
     """sample_index, code, elements, and copies: repeated (row, sample) pairs, which should be 0."""
     pairs = codes.groupBy("sample_index", "row_index").agg(F.min("code").alias("code"), (F.count("*") - 1).alias("extra"))
@@ -165,40 +128,37 @@ def histogram_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["sample_index", "code"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def encoded_rows(codes: DataFrame, samples: int) -> DataFrame:
-    """row_index, codes: an array with one code a sample, null where none was read, and sha2 of it."""
-    rows = codes.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("sample_index", "code"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.element_at("m", i.cast("bigint")))
-    out = rows.select("row_index", dense.alias("codes"))
-    return out.withColumn("digest", F.sha2(F.array_join("codes", ",", "."), 256))
-
-
 def misaligned(actual: DataFrame, pinned: DataFrame) -> DataFrame:
     """Pinned rows (row_index, digest) that are missing or differ."""
     return pinned.join(actual.select("row_index", F.col("digest").alias("_d")), "row_index", "left").filter(~F.col("digest").eqNullSafe(F.col("_d"))).select("row_index", F.col("_d").isNull().alias("missing"))
 
 
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """term, ancestor, for all pairs of an ontology (term, parent). Each round doubles the length of paths; cycles raise.
+    """term, ancestor, for all pairs of an ontology (term, parent); cycles raise.
 
-    Parents that aren't terms themselves take part as ancestors. Pairs are checkpointed each round.
+    Only pairs that the last round found are led on, by all pairs known so far, so that paths double with each round and no pair is
+    extended twice from the same find. Parents that aren't terms themselves take part as ancestors. Pairs are written each round.
     """
-    shared_root(edges.sparkSession)  # sees to a checkpoint folder
-    pairs = edges.select("term", F.col("parent").alias("ancestor")).distinct()
-    n = -1
+    pairs = new = _kept(edges.select("term", F.col("parent").alias("ancestor")).distinct())
     for _ in range(most_rounds):
-        pairs = pairs.checkpoint()
-        if not pairs.filter("term = ancestor").isEmpty():
+        if not new.filter("term = ancestor").isEmpty():
             raise ValueError("the ontology has a cycle")
-        now = pairs.count()
-        if now == n:
+        if new.isEmpty():
             return pairs
-        n = now
-        further = pairs.join(pairs.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("far")), "ancestor").select("term", F.col("far").alias("ancestor"))
-        pairs = pairs.union(further).distinct()
+        ahead = new.select("term", F.col("ancestor").alias("mid")).join(pairs.select(F.col("term").alias("mid"), "ancestor"), "mid").select("term", "ancestor")
+        behind = pairs.select("term", F.col("ancestor").alias("mid")).join(new.select(F.col("term").alias("mid"), "ancestor"), "mid").select("term", "ancestor")
+        new = _kept(ahead.union(behind).distinct().join(pairs, ["term", "ancestor"], "left_anti"))
+        pairs = _kept(pairs.union(new))
     raise ValueError("the ontology is too deep")
 
 
+def _kept(pairs: DataFrame) -> DataFrame:
+    """pairs, written to the shared folder and read back."""
+    path = scratch_path(pairs.sparkSession, "closure")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
+
+
 def direct_parents(pairs: DataFrame) -> DataFrame:
     """Of a closure the pairs without a term between them: the transitive reduction."""
     between = pairs.select("term", F.col("ancestor").alias("mid")).join(pairs.select(F.col("term").alias("mid"), "ancestor"), "mid").select("term", "ancestor").distinct()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varloom.functions.scratch import scratch_path
 from varloom.operators import cohort as H
 from varloom.operators import intervals as I  # noqa: E741
+from varloom.operators import matrix as M
 from varloom.operators import regulatory as R
 from varloom.plans.base import KEYED, on_views
 
@@ -26,14 +28,21 @@ def members(v):
     return R.representatives(v.profiles)
 
 
+def packed(v):
+    """The matrix, packed once and read back."""
+    spark, path = v.codes.sparkSession, scratch_path(v.codes.sparkSession, "matrix")
+    M.pack(v.codes, 25).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @on_views("a21_element_states", CO, f"SELECT row_index, samples, detected, {STATE.format(more='')} AS state FROM (SELECT row_index, count(*) AS samples, count(*) FILTER (WHERE code > 0) AS detected, {SPEC} AS s FROM (SELECT *, {FAM} AS fam FROM fx_codes) GROUP BY row_index)")
 def states(v):
-    return R.element_states(v.codes, ["row_index"])
+    return M.element_states(packed(v))
 
 
 @on_views("a22_tissue_evidence", CO, f"SELECT row_index, sample_index, {CLS} AS class, CASE WHEN code = 0 THEN 'not_detected' WHEN code = 7 THEN 'accessible_only' WHEN code = 4 THEN 'h3k4me3_associated' ELSE 'classified' END AS state FROM fx_codes")
 def tissues(v):
-    return R.tissue_evidence(v.codes)
+    return M.tissue_evidence(packed(v))
 
 
 @on_views("w09_representatives", PR, "SELECT ontology_id, donor, first(sample_index) FILTER (WHERE r = 1) AS sample_index, coalesce(string_agg(sample_index, ',' ORDER BY r) FILTER (WHERE r > 1), '') AS duplicates FROM (SELECT *, row_number() OVER (PARTITION BY ontology_id, donor ORDER BY CASE evidence_tier WHEN 'full_classification' THEN 1 WHEN 'partial_classification' THEN 2 ELSE 3 END, sample_index) AS r FROM fx_profiles) GROUP BY ALL")
@@ -43,7 +52,7 @@ def chosen(v):
 
 @on_views("a23_context_evidence", CP, f"""SELECT row_index, ontology_id, donors, detected, capability, state, classes FROM cx JOIN (SELECT row_index, ontology_id, string_agg(class || '=' || n, ',' ORDER BY class) AS classes FROM (SELECT row_index, ontology_id, {CLS} AS class, count(*) AS n FROM cm GROUP BY ALL) GROUP BY ALL) USING (row_index, ontology_id)""", MEMBERS, CONTEXT)
 def contexts(v):
-    out = R.context_evidence(v.codes, members(v))
+    out = M.context_evidence(packed(v), members(v))
     return out.withColumn("classes", F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
@@ -52,18 +61,19 @@ def contexts(v):
  len(s) > 1 AS discordant, CASE cap WHEN 0 THEN 'unavailable' WHEN 1 THEN 'single_donor' ELSE 'replicated' END AS evidence FROM (SELECT row_index, ontology_id, count(*) FILTER (WHERE code > 0) AS positive, count(*) FILTER (WHERE code > 0 AND ok) AS classified, count(*) FILTER (WHERE ok) AS cap,
  coalesce(list(DISTINCT fam) FILTER (WHERE code > 0 AND ok AND fam <> 'accessibility'), []) AS s, count(*) FILTER (WHERE code > 0 AND ok AND fam <> 'accessibility') AS ing FROM (SELECT *, evidence_tier <> 'accessibility_only' AS ok FROM cm) GROUP BY ALL)""", MEMBERS)
 def curated(v):
-    return R.curated_summary(v.codes, members(v))
+    return M.curated_summary(packed(v), members(v))
 
 
 @on_views("a25_overlap_summary", CP, "SELECT row_index, td AS tissues_detected, t AS tissues, cd AS contexts_detected, c AS contexts, mixed FROM (SELECT row_index, count(*) FILTER (WHERE code > 0) AS td, count(*) AS t FROM fx_codes GROUP BY 1) JOIN (SELECT row_index, count(*) FILTER (WHERE detected > 0) AS cd, count(*) AS c, count(*) FILTER (WHERE state = 'mixed') AS mixed FROM cx GROUP BY 1) USING (row_index)", MEMBERS, CONTEXT)
 def summary(v):
-    return R.overlap_summary(R.tissue_evidence(v.codes), R.context_evidence(v.codes, members(v)))
+    rows = packed(v)
+    return R.overlap_summary(M.tissue_evidence(rows), M.context_evidence(rows, members(v)))
 
 
 def _filtered(v, mode):
     sites = I.as_interval(H.keyed_sites(v.sites)).select("site_id", "chrom", "start0", "end0")
     hits = I.overlaps(sites, v.ccre).select("site_id", "row_index")
-    return R.filter_contexts(sites.select("site_id"), hits, R.context_evidence(v.codes, members(v)), ["CL:1", "CL:2"], mode)
+    return R.filter_contexts(sites.select("site_id"), hits, M.context_evidence(packed(v), members(v)), ["CL:1", "CL:2"], mode)
 
 
 FILTER = "hit AS (SELECT site_id, count(DISTINCT ontology_id) AS n FROM keyed s JOIN fx_ccre c ON c.chrom = s.chrom AND s.pos - 1 < c.end0 AND c.start0 < s.pos - 1 + length(s.ref) JOIN cx USING (row_index) WHERE detected > 0 AND ontology_id IN ('CL:1', 'CL:2') GROUP BY site_id)"
@@ -86,7 +96,7 @@ def capabilities(v):
 
 @on_views("a30_element_summary", CP, "SELECT row_index, count(DISTINCT ontology_id) AS contexts, count(DISTINCT donor) AS donors FROM cm WHERE code > 0 GROUP BY 1", MEMBERS)
 def elements(v):
-    return R.element_summary(v.codes, members(v))
+    return M.element_summary(packed(v), members(v))
 
 
 @on_views("a31_histograms", CO, "SELECT sample_index, code, count(*) AS elements, 0::BIGINT AS copies FROM fx_codes GROUP BY ALL")
@@ -101,12 +111,12 @@ def mismatch(v):
 
 @on_views("x17_encoded_rows", CO, "SELECT row_index, string_agg(code, ',' ORDER BY sample_index) AS codes, sha256(string_agg(code, ',' ORDER BY sample_index)) AS digest FROM fx_codes GROUP BY 1")
 def encoded(v):
-    return R.encoded_rows(v.codes, 25).withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), ","))
+    return packed(v).withColumn("codes", F.array_join(F.transform("codes", lambda c: c.cast("string")), ","))
 
 
 @on_views("x38_misaligned_rows", CO, "SELECT row_index, row_index % 100 = 7 AS missing FROM (SELECT DISTINCT row_index FROM fx_codes) WHERE row_index % 100 IN (5, 7)")
 def misaligned(v):
-    rows = R.encoded_rows(v.codes, 25)
+    rows = packed(v)
     pinned = rows.select("row_index", F.when(F.col("row_index") % 100 == 5, "?").otherwise(F.col("digest")).alias("digest"))
     return R.misaligned(rows.filter("row_index % 100 <> 7"), pinned)
 
