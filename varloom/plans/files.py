@@ -13,27 +13,25 @@ from varloom.sources import phenotypes as PH
 from varloom.sources import vcf as V
 from varloom.streaming import intake as T
 
-SAMPLES = ("S0", "S1", "S2", "S3", "S4", "S5")  # columns of the text: pools of all samples by number modulo six
+BLOCK = 32  # samples in a line: a site has a line for each block of samples that has a call there, and its id names both
+SAMPLES = tuple(f"C{i}" for i in range(BLOCK))
 FIELDS = ("Allele", "Consequence", "SYMBOL", "ALLELE_NUM")
-
-
-def pooled(calls: DataFrame) -> DataFrame:
-    """Of each pool and site the call of the sample with the least number."""
-    number = F.substring("sample_id", 2, 12).cast("long")
-    first = calls.groupBy("site_id", F.concat(F.lit("S"), number % 6).alias("pool")).agg(F.min_by(F.struct("gt", "dp", "gq"), number).alias("c"))
-    return first.select("site_id", F.col("pool").alias("sample_id"), "c.*")
+SITE, IN_BLOCK = F.substring_index("id", "_", 1).cast("long"), F.substring_index("id", "_", -1).cast("long")
 
 
 def vcf_lines(v: Views) -> DataFrame:
-    """One line a site with six samples: a second ALT G on every third, consequences by number or by allele."""
-    calls = pooled(v.calls).groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"))))).alias("m"))
+    """Lines of all calls: a second ALT G on every third site, consequences by number or by allele."""
+    number = F.substring("sample_id", 2, 12).cast("long")
+    text = F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"))
+    calls = v.calls.groupBy("site_id", F.floor(number / BLOCK).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((number % BLOCK).cast("int"), text))).alias("m"))
     n = F.col("site_id")
     entry = F.transform(F.col("genes"), lambda g: F.concat_ws("|", F.col("alt"), F.lit("missense%20variant"), g, F.when(n % 2 == 0, "1").otherwise("")))
     genes = v.annotations.groupBy("site_id").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
-    rows = v.sites.join(calls, "site_id").join(genes, "site_id")
-    cells = [F.coalesce(F.element_at("m", F.lit(s)), F.lit("./.")) for s in SAMPLES]
+    rows = v.sites.join(genes, "site_id").join(calls, "site_id")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit("./.")))
     alts = F.when(n % 3 == 0, F.concat("alt", F.lit(",TTTTTTTTT"))).otherwise(F.col("alt"))
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), n.cast("string"), "ref", alts, F.lit("."), F.when(n % 5 == 0, "LowQual").otherwise("PASS"), F.concat(F.lit("DB;CSQ="), F.array_join(entry, ",")), F.lit("GT:DP:GQ"), *cells)
+    name = F.concat_ws("_", n.cast("string"), F.col("block").cast("string"))
+    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), name, "ref", alts, F.lit("."), F.when(n % 5 == 0, "LowQual").otherwise("PASS"), F.concat(F.lit("DB;CSQ="), F.array_join(entry, ",")), F.lit("GT:DP:GQ"), F.array_join(cells, "\t"))
     return rows.select(line.alias("value"))
 
 
@@ -44,43 +42,47 @@ def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.alleles(V.records(V.read_lines(spark, path)))
 
 
-VCF = """
-six AS (SELECT site_id, 'S' || (n % 6) AS sample_id, gt, dp, gq FROM (SELECT *, substr(sample_id, 2)::BIGINT AS n FROM fx_calls) QUALIFY row_number() OVER (PARTITION BY site_id, n % 6 ORDER BY n) = 1), st AS (SELECT k.*, s.ref AS raw_ref, s.alt AS raw_alt FROM keyed k JOIN fx_sites s USING (site_id) WHERE site_id IN (SELECT site_id FROM six))"""
+VCF = f"""
+bl AS (SELECT *, n // {BLOCK} AS block, n % {BLOCK} AS place FROM (SELECT *, substr(sample_id, 2)::BIGINT AS n FROM fx_calls)),
+st AS (SELECT k.*, block FROM keyed k JOIN (SELECT DISTINCT site_id, block FROM bl) USING (site_id))"""
 
 
-@query("s01_p06_vcf_alleles", oracle(("fx_sites", "fx_calls"), "SELECT site_id, 0 AS alt_index, variant_key FROM st WHERE TRUE UNION ALL SELECT site_id, 1, NULL FROM st WHERE site_id % 3 = 0", KEYED, VCF))
+@query("s01_p06_vcf_alleles", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, 0 AS alt_index, variant_key FROM st WHERE TRUE UNION ALL SELECT site_id, block, 1, NULL FROM st WHERE site_id % 3 = 0", KEYED, VCF))
 def alleles(spark, sf_dir):
     rows = read_back(spark, sf_dir)
-    return rows.select(F.col("id").cast("long").alias("site_id"), "alt_index", F.when(F.col("alt_index") == 0, F.col("variant_key")).alias("variant_key"))
+    return rows.select(SITE.alias("site_id"), IN_BLOCK.alias("block"), "alt_index", F.when(F.col("alt_index") == 0, F.col("variant_key")).alias("variant_key"))
 
 
-@query("s01_p15_vcf_genotypes", oracle(("fx_sites", "fx_calls"), "SELECT variant_key, sample_id, gt, CASE WHEN gt = '1/1' THEN 'homozygous' WHEN gt = './1' THEN 'half_called' ELSE 'heterozygous' END AS zygosity, dp, gq::DOUBLE AS gq FROM six JOIN st USING (site_id) WHERE gt <> '0/0'", KEYED, VCF))
+@query("s01_p15_vcf_genotypes", oracle(("fx_sites", "fx_calls"), "SELECT variant_key, sample_id, gt, CASE WHEN gt = '1/1' THEN 'homozygous' WHEN gt = './1' THEN 'half_called' ELSE 'heterozygous' END AS zygosity, dp, gq::DOUBLE AS gq FROM bl JOIN keyed USING (site_id) WHERE gt <> '0/0'", KEYED, VCF))
 def genotypes(spark, sf_dir):
-    return V.genotypes(read_back(spark, sf_dir), SAMPLES).select("variant_key", "sample_id", "gt", "zygosity", "dp", "gq")
+    rows = V.genotypes(read_back(spark, sf_dir), SAMPLES, keep=("id",))
+    sample = F.concat(F.lit("S"), (IN_BLOCK * BLOCK + F.substring("sample_id", 2, 3).cast("long")).cast("string"))
+    return rows.select("variant_key", sample.alias("sample_id"), "gt", "zygosity", "dp", "gq")
 
 
-@query("s05_p08_vcf_consequences", oracle(("fx_sites", "fx_calls", "fx_annotations"), "SELECT variant_key, gene, 'missense variant' AS consequence FROM st JOIN (SELECT DISTINCT site_id, gene FROM fx_annotations) USING (site_id)", KEYED, VCF))
+@query("s05_p08_vcf_consequences", oracle(("fx_sites", "fx_calls", "fx_annotations"), "SELECT variant_key, block, gene, 'missense variant' AS consequence FROM st JOIN (SELECT DISTINCT site_id, gene FROM fx_annotations) USING (site_id)", KEYED, VCF))
 def consequences(spark, sf_dir):
     rows = V.consequences(read_back(spark, sf_dir), FIELDS)
-    return rows.select("variant_key", F.col("entry")["SYMBOL"].alias("gene"), F.col("entry")["Consequence"].alias("consequence"))
+    return rows.select("variant_key", IN_BLOCK.alias("block"), F.col("entry")["SYMBOL"].alias("gene"), F.col("entry")["Consequence"].alias("consequence"))
 
 
-@query("s26_sample_projection", oracle(("fx_sites", "fx_calls"), "SELECT site_id, coalesce(a.gt, './.') AS first_gt, coalesce(b.gt, './.') AS second_gt FROM st LEFT JOIN (SELECT site_id, gt FROM six WHERE sample_id = 'S1') a USING (site_id) LEFT JOIN (SELECT site_id, gt FROM six WHERE sample_id = 'S4') b USING (site_id) WHERE site_id % 5 <> 0 AND (contains(coalesce(a.gt, ''), '1') OR contains(coalesce(b.gt, ''), '1'))", KEYED, VCF))
+@query("s26_sample_projection", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, coalesce(a.gt, './.') AS first_gt, coalesce(b.gt, './.') AS second_gt FROM st LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 1) a USING (site_id, block) LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 4) b USING (site_id, block) WHERE site_id % 5 <> 0 AND (contains(coalesce(a.gt, ''), '1') OR contains(coalesce(b.gt, ''), '1'))", KEYED, VCF))
 def projection(spark, sf_dir):
+    """Two samples of each block: what a projection is for."""
     path = scratch_path(spark, "vcf")
     vcf_lines(Views(spark, sf_dir)).write.text(path)
-    rows, _ = V.projection(V.records(V.read_lines(spark, path)), SAMPLES, ("S1", "S4"))
-    return rows.select(F.col("id").cast("long").alias("site_id"), F.substring_index(F.col("samples")[0], ":", 1).alias("first_gt"), F.substring_index(F.col("samples")[1], ":", 1).alias("second_gt"))
+    rows, _ = V.projection(V.records(V.read_lines(spark, path)), SAMPLES, ("C1", "C4"))
+    return rows.select(SITE.alias("site_id"), IN_BLOCK.alias("block"), F.substring_index(F.col("samples")[0], ":", 1).alias("first_gt"), F.substring_index(F.col("samples")[1], ":", 1).alias("second_gt"))
 
 
-@query("s24_info_write_back", oracle(("fx_sites", "fx_calls"), "SELECT site_id, 'NEW=' || (site_id % 9)::VARCHAR || CASE WHEN site_id % 3 = 0 THEN ',.' ELSE '' END AS info FROM st", KEYED, VCF))
+@query("s24_info_write_back", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, 'NEW=' || (site_id % 9)::VARCHAR || CASE WHEN site_id % 3 = 0 THEN ',.' ELSE '' END AS info FROM st", KEYED, VCF))
 def write_back(spark, sf_dir):
     path = scratch_path(spark, "vcf")
     vcf_lines(Views(spark, sf_dir)).write.text(path)
     rows = V.records(V.read_lines(spark, path))
     n = F.size(F.split("alt", ","))
-    out = V.with_info(rows, "NEW", F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, (F.col("id").cast("long") % 9).cast("string"))))
-    return V.records(V.to_lines(out)).select(F.col("id").cast("long").alias("site_id"), F.element_at(F.split("info", ";"), -1).alias("info"))
+    out = V.with_info(rows, "NEW", F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, (SITE % 9).cast("string"))))
+    return V.records(V.to_lines(out)).select(SITE.alias("site_id"), IN_BLOCK.alias("block"), F.element_at(F.split("info", ";"), -1).alias("info"))
 
 
 @query("t01_t02_streamed_calls", oracle(("fx_calls",), "SELECT sample_id, site_id, gt, dp, gq, filter FROM fx_calls WHERE site_id % 97 <> 0"))

@@ -154,8 +154,21 @@ def needs(*names: str) -> list[str]:
     return [v for v in VIEWS if v in wanted]
 
 
+#: Views that `store` has written: (sf_dir, name) -> path.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, names: list[str], path: str) -> None:
+    """Write views as tables under path, from which `load` reads them from then on."""
+    for name in names:
+        load(spark, sf_dir, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        _stored[sf_dir, name] = f"{path}/{name}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables in sf_dir, as one lazy query: Spark reads just the columns that it uses."""
+    if (sf_dir, name) in _stored:
+        return spark.read.parquet(_stored[sf_dir, name])
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in needs(name))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if any(t in VIEWS[v] for v in needs(name))}
     # the tables take part under their names, without being registered in the session

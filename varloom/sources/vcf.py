@@ -79,8 +79,8 @@ def alleles(rows: DataFrame) -> DataFrame:
     return out.withColumns({"variant_key": key, "min_pos": F.col("_m.pos"), "min_ref": F.col("_m.ref"), "min_alt": F.col("_m.alt")}).drop("_m")
 
 
-def genotypes(allele_rows: DataFrame, samples: tuple[str, ...], chosen: tuple[str, ...] | None = None) -> DataFrame:
-    """Carriers of each ALT: variant_key, sample_id and the call's fields. Non-carriers never leave the row they are in."""
+def genotypes(allele_rows: DataFrame, samples: tuple[str, ...], chosen: tuple[str, ...] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Carriers of each ALT: keep, variant_key, sample_id and the call's fields. Non-carriers never leave the row they are in."""
     names = F.array(*[F.lit(s) for s in samples])
     n = F.size("samples")
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(names, i).alias("sample_id"), F.get(F.col("samples"), i).alias("raw")))
@@ -89,19 +89,21 @@ def genotypes(allele_rows: DataFrame, samples: tuple[str, ...], chosen: tuple[st
     carried = F.filter(each, lambda s: G.copies(F.substring_index(s["raw"], ":", 1), allele) > 0)
     if chosen is not None:
         carried = F.filter(carried, lambda s: s["sample_id"].isin(*chosen))
-    rows = allele_rows.filter(n > 0).select("variant_key", "chrom", "min_pos", "alt_index", "filter", "format", F.inline(carried))
-    return rows.select("variant_key", "chrom", "min_pos", "filter", "sample_id", G.genotype(F.col("format"), F.col("raw"), F.col("alt_index") + 1).alias("g")).select("variant_key", "chrom", "min_pos", "filter", "sample_id", "g.*")
+    own = [*keep, "variant_key", "chrom", "min_pos", "filter"]
+    rows = allele_rows.filter(n > 0).select(*own, "alt_index", "format", F.inline(carried))
+    return rows.select(*own, "sample_id", G.genotype(F.col("format"), F.col("raw"), F.col("alt_index") + 1).alias("g")).select(*own, "sample_id", "g.*")
 
 
 def consequences(allele_rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """variant_key, alt_index and entry (map) for each consequence that belongs to the ALT.
+    """id (if the rows have one), variant_key, alt_index and entry (map) for each consequence that belongs to the ALT.
 
     Number, exact and minimised alleles decide in turn; of a record with one ALT and no match all entries are taken.
     """
+    kept = ["id"] if "id" in allele_rows.columns else []
     rows = allele_rows.withColumn("_all", X.csq_entries(X.info_map(F.col("info"))["CSQ"], list(fields)))
     own = F.filter("_all", lambda e: X.attributed(F.coalesce(e["ALLELE_NUM"], F.lit("")) if "ALLELE_NUM" in fields else F.lit(""), e["Allele"] if "Allele" in fields else F.lit(""), F.col("ref"), F.col("alts"), F.col("alt_index")))
     taken = F.when((F.size(own) == 0) & (F.size("alts") == 1), F.col("_all")).otherwise(own)
-    return rows.select("variant_key", "alt_index", F.explode(taken).alias("entry"))
+    return rows.select(*kept, "variant_key", "alt_index", F.explode(taken).alias("entry"))
 
 
 def with_info(rows: DataFrame, key: str, values: Column) -> DataFrame:
