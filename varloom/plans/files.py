@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.scratch import scratch_path
@@ -16,7 +16,14 @@ from varloom.streaming import intake as T
 BLOCK = 32  # samples in a line: a site has a line for each block of samples that has a call there, and its id names both
 SAMPLES = tuple(f"C{i}" for i in range(BLOCK))
 FIELDS = ("Allele", "Consequence", "SYMBOL", "ALLELE_NUM")
-SITE, IN_BLOCK = F.substring_index("id", "_", 1).cast("long"), F.substring_index("id", "_", -1).cast("long")
+
+
+def site_of() -> Column:
+    return F.substring_index("id", "_", 1).cast("long")
+
+
+def block_of() -> Column:
+    return F.substring_index("id", "_", -1).cast("long")
 
 
 def vcf_lines(v: Views) -> DataFrame:
@@ -50,20 +57,20 @@ st AS (SELECT k.*, block FROM keyed k JOIN (SELECT DISTINCT site_id, block FROM
 @query("s01_p06_vcf_alleles", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, 0 AS alt_index, variant_key FROM st WHERE TRUE UNION ALL SELECT site_id, block, 1, NULL FROM st WHERE site_id % 3 = 0", KEYED, VCF))
 def alleles(spark, sf_dir):
     rows = read_back(spark, sf_dir)
-    return rows.select(SITE.alias("site_id"), IN_BLOCK.alias("block"), "alt_index", F.when(F.col("alt_index") == 0, F.col("variant_key")).alias("variant_key"))
+    return rows.select(site_of().alias("site_id"), block_of().alias("block"), "alt_index", F.when(F.col("alt_index") == 0, F.col("variant_key")).alias("variant_key"))
 
 
 @query("s01_p15_vcf_genotypes", oracle(("fx_sites", "fx_calls"), "SELECT variant_key, sample_id, gt, CASE WHEN gt = '1/1' THEN 'homozygous' WHEN gt = './1' THEN 'half_called' ELSE 'heterozygous' END AS zygosity, dp, gq::DOUBLE AS gq FROM bl JOIN keyed USING (site_id) WHERE gt <> '0/0'", KEYED, VCF))
 def genotypes(spark, sf_dir):
     rows = V.genotypes(read_back(spark, sf_dir), SAMPLES, keep=("id",))
-    sample = F.concat(F.lit("S"), (IN_BLOCK * BLOCK + F.substring("sample_id", 2, 3).cast("long")).cast("string"))
+    sample = F.concat(F.lit("S"), (block_of() * BLOCK + F.substring("sample_id", 2, 3).cast("long")).cast("string"))
     return rows.select("variant_key", sample.alias("sample_id"), "gt", "zygosity", "dp", "gq")
 
 
 @query("s05_p08_vcf_consequences", oracle(("fx_sites", "fx_calls", "fx_annotations"), "SELECT variant_key, block, gene, 'missense variant' AS consequence FROM st JOIN (SELECT DISTINCT site_id, gene FROM fx_annotations) USING (site_id)", KEYED, VCF))
 def consequences(spark, sf_dir):
     rows = V.consequences(read_back(spark, sf_dir), FIELDS)
-    return rows.select("variant_key", IN_BLOCK.alias("block"), F.col("entry")["SYMBOL"].alias("gene"), F.col("entry")["Consequence"].alias("consequence"))
+    return rows.select("variant_key", block_of().alias("block"), F.col("entry")["SYMBOL"].alias("gene"), F.col("entry")["Consequence"].alias("consequence"))
 
 
 @query("s26_sample_projection", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, coalesce(a.gt, './.') AS first_gt, coalesce(b.gt, './.') AS second_gt FROM st LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 1) a USING (site_id, block) LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 4) b USING (site_id, block) WHERE site_id % 5 <> 0 AND (contains(coalesce(a.gt, ''), '1') OR contains(coalesce(b.gt, ''), '1'))", KEYED, VCF))
@@ -72,7 +79,7 @@ def projection(spark, sf_dir):
     path = scratch_path(spark, "vcf")
     vcf_lines(Views(spark, sf_dir)).write.text(path)
     rows, _ = V.projection(V.records(V.read_lines(spark, path)), SAMPLES, ("C1", "C4"))
-    return rows.select(SITE.alias("site_id"), IN_BLOCK.alias("block"), F.substring_index(F.col("samples")[0], ":", 1).alias("first_gt"), F.substring_index(F.col("samples")[1], ":", 1).alias("second_gt"))
+    return rows.select(site_of().alias("site_id"), block_of().alias("block"), F.substring_index(F.col("samples")[0], ":", 1).alias("first_gt"), F.substring_index(F.col("samples")[1], ":", 1).alias("second_gt"))
 
 
 @query("s24_info_write_back", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, 'NEW=' || (site_id % 9)::VARCHAR || CASE WHEN site_id % 3 = 0 THEN ',.' ELSE '' END AS info FROM st", KEYED, VCF))
@@ -81,8 +88,8 @@ def write_back(spark, sf_dir):
     vcf_lines(Views(spark, sf_dir)).write.text(path)
     rows = V.records(V.read_lines(spark, path))
     n = F.size(F.split("alt", ","))
-    out = V.with_info(rows, "NEW", F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, (SITE % 9).cast("string"))))
-    return V.records(V.to_lines(out)).select(SITE.alias("site_id"), IN_BLOCK.alias("block"), F.element_at(F.split("info", ";"), -1).alias("info"))
+    out = V.with_info(rows, "NEW", F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, (site_of() % 9).cast("string"))))
+    return V.records(V.to_lines(out)).select(site_of().alias("site_id"), block_of().alias("block"), F.element_at(F.split("info", ";"), -1).alias("info"))
 
 
 @query("t01_t02_streamed_calls", oracle(("fx_calls",), "SELECT sample_id, site_id, gt, dp, gq, filter FROM fx_calls WHERE site_id % 97 <> 0"))
@@ -133,12 +140,13 @@ def header_files(spark: SparkSession, sf_dir: str) -> HD.Headers:
     return HD.read_headers(spark, path)
 
 
-FILE_NO = F.regexp_extract("file", r"file=(\d+)", 1).cast("int")
+def file_no() -> Column:
+    return F.regexp_extract("file", r"file=(\d+)", 1).cast("int")
 
 
 @query("s02_header_samples", oracle(("fx_files",), "SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY sample_id) - 1)::INTEGER AS ordinal, sample_id AS sample FROM fx_files"))
 def header_samples(spark, sf_dir):
-    return header_files(spark, sf_dir).samples().select(FILE_NO.alias("file_id"), "ordinal", "sample")
+    return header_files(spark, sf_dir).samples().select(file_no().alias("file_id"), "ordinal", "sample")
 
 
 @query("s02_header_conflicts", oracle(("fx_files",), """SELECT kind, name, variants FROM (VALUES ('info_number', 'AC', '1,A', 4), ('contig_length', 'chr1', '248956422,248956423', 5)) t(kind, name, variants, f) WHERE f IN (SELECT file_id FROM fx_files)"""))
@@ -152,7 +160,7 @@ def csq_by_file(spark, sf_dir):
     heads = header_files(spark, sf_dir)
     rows = heads.csq().select("file", F.when(F.size("csq") == 3, "A|missense|G1").otherwise("G2%20x|A").alias("csq"))
     symbols = HD.entries_by_file(rows, heads).select("file", F.col("entries")[0]["SYMBOL"].alias("symbol"))
-    return heads.csq().join(symbols, "file").select(FILE_NO.alias("file_id"), F.array_join("csq", ",").alias("csq"), "symbol")
+    return heads.csq().join(symbols, "file").select(file_no().alias("file_id"), F.array_join("csq", ",").alias("csq"), "symbol")
 
 
 def phenotype_files(spark: SparkSession, sf_dir: str) -> PH.PhenotypeTable:
@@ -181,12 +189,12 @@ ph AS (SELECT FLOOR(n / 1000)::INTEGER AS file_no, row_number() OVER (PARTITION
 def phenotype_rows(spark, sf_dir):
     rows = phenotype_files(spark, sf_dir).rows
     custom = F.array_join(F.array_sort(F.transform(F.map_entries("custom"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-    return rows.select(FILE_NO.alias("file_no"), "row_no", "individual_id", "sample_ids", "sex_at_birth", "present_features", "notes", custom.alias("custom"))
+    return rows.select(file_no().alias("file_no"), "row_no", "individual_id", "sample_ids", "sex_at_birth", "present_features", "notes", custom.alias("custom"))
 
 
 @query("s12_phenotype_duplicates", oracle(("fx_individuals",), "SELECT file_no, individual_id, string_agg(row_no::VARCHAR, ',' ORDER BY row_no) AS row_nos FROM ph GROUP BY ALL HAVING count(*) > 1", PHENOTYPES))
 def phenotype_duplicates(spark, sf_dir):
-    return phenotype_files(spark, sf_dir).duplicates().select(FILE_NO.alias("file_no"), "individual_id", F.array_join(F.col("row_nos").cast("array<string>"), ",").alias("row_nos"))
+    return phenotype_files(spark, sf_dir).duplicates().select(file_no().alias("file_no"), "individual_id", F.array_join(F.col("row_nos").cast("array<string>"), ",").alias("row_nos"))
 
 
 @on_views("s22_s25_published_tables", ("fx_sites", "fx_calls"), "SELECT chrom, count(*) AS sites FROM keyed GROUP BY chrom", KEYED)
