@@ -122,7 +122,8 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tables.drop()
     d, h = _key(F.col("doc_id"), common.plain_text())
     keyed = docs.select("*", d.alias("_vl_d"), h.alias("_vl_h"))
-    out = keyed.join(runs.withColumnsRenamed({"d": "_vl_rd", "h": "_vl_rh", "runs": "_vl_runs"}), (F.col("_vl_d") == F.col("_vl_rd")) & (F.col("_vl_h") == F.col("_vl_rh")), "left")
+    # a table of this size is dealt at any size that matters, so that a small one isn't broadcast either
+    out = keyed.join(runs.withColumnsRenamed({"d": "_vl_rd", "h": "_vl_rh", "runs": "_vl_runs"}).hint("merge"), (F.col("_vl_d") == F.col("_vl_rd")) & (F.col("_vl_h") == F.col("_vl_rh")), "left")
     numbers = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")) != "", i)), lambda i: i.isNotNull())
     out = out.withColumn("_vl_n", F.when(F.col("_vl_runs").isNotNull(), numbers))
     out = out.withColumn("_vl_runs", F.transform("_vl_runs", lambda r: F.struct(F.get("_vl_n", r["first"]).alias("first"), F.get("_vl_n", r["last"]).alias("last"))))
