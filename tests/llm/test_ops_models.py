@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -30,6 +31,11 @@ def edited(rng, base, n):
     return out
 
 
+def frequencies(docs):
+    text = F.coalesce("text", F.lit(""))
+    return near_dedup.inverse_frequencies(docs.select(F.sha2(text, 256).cast("binary").alias("node"), text.alias("text")).distinct())
+
+
 @pytest.fixture(scope="module")
 def near(spark):
     rng = random.Random(2)
@@ -43,7 +49,7 @@ def near(spark):
     rng.shuffle(texts)
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000, None), (None, texts[0])]
     docs = spark.createDataFrame(rows, DOCS)
-    return rows, docs, near_dedup.classes(docs).collect(), near_dedup.inverse_frequencies(docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct())
+    return rows, docs, near_dedup.classes(docs).collect(), frequencies(docs)
 
 
 def test_near_classes_are_the_components_of_similar_pairs(near):
@@ -71,6 +77,53 @@ def test_near_classes_are_the_components_of_similar_pairs(near):
     assert {r.doc_id: (r.class_id, r.class_size) for r in out} == want
 
 
+def test_near_partners_are_similar_texts_of_the_class(near):
+    rows, _, out, idf = near
+    of = {d: t or "" for d, t in rows}
+    classes, texts = {r.doc_id: r.class_id for r in out}, {}
+    for r in out:
+        texts.setdefault(r.class_id, set()).add(of[r.doc_id])
+    assert any(r.partner_id is not None for r in out)
+    for r in out:
+        assert (r.partner_id is None) == (len(texts[r.class_id]) == 1) == (r.similarity is None)
+        if r.partner_id is not None:
+            assert of[r.partner_id] != of[r.doc_id] and classes[r.partner_id] == r.class_id
+            assert r.similarity >= 0.8 and r.similarity == near_dedup.weighted_jaccard(near_dedup.shingles(of[r.doc_id]), near_dedup.shingles(of[r.partner_id]), idf)
+
+
+def test_near_family_counts_once_and_a_passage_by_its_texts(spark):
+    """What is in 1,200 near copies of one text weighs as much as what is in one text; what 1,200 other texts share weighs less."""
+    rng = random.Random(41)
+    base, passage = words(rng, 150), words(rng, 30)
+    family = [" ".join(edited(rng, base, rng.randint(1, 4))) for _ in range(1200)]
+    others = [" ".join(words(rng, 120) + passage) for _ in range(1200)]
+    idf = frequencies(spark.createDataFrame(list(enumerate(family + others)), DOCS))
+
+    def of(part):
+        return idf[near_dedup.idf_bucket(near_dedup.shingles(" ".join(part))[0])] / near_dedup.SCALE
+
+    want = math.log((len(others) + near_dedup.PRIOR) / len(others)) / math.log(1 / near_dedup.RARE)
+    assert (of(base) > 0.95).all()
+    assert (abs(of(passage) - want) < 0.1).all()
+
+
+def test_near_frequent_passages_count_less(spark):
+    """All texts have the same 120 words and 80 of their own: edits of these count for more than by plain counts, and copies with an edit or two stay copies."""
+    rng = random.Random(43)
+    passage, own = words(rng, 120), [words(rng, 80) for _ in range(2000)]
+    copies = [[w if k % (80 // n) or k == 0 else f"edit{k}" for k, w in enumerate(own[i])] for i, n in enumerate((1, 2, 4, 4))]
+    copies[0][40] = "edit"
+    texts = [" ".join(passage + x) for x in own + copies]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    plain, idf = np.full(near_dedup.IDF_BUCKETS, near_dedup.SCALE), frequencies(docs)
+    of = lambda i, weight: near_dedup.weighted_jaccard(near_dedup.shingles(texts[i]), near_dedup.shingles(texts[2000 + i]), weight)
+    assert all(of(i, plain) >= 0.8 for i in range(4))
+    assert [of(i, idf) >= 0.8 for i in range(4)] == [True, True, False, False]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert [got[2000 + i] == i for i in range(4)] == [True, True, False, False]
+    assert all(got[i] == i for i in range(2000))
+
+
 def test_near_samples_agree_by_similarity():
     rng = random.Random(4)
     base = words(rng, 3000)
@@ -129,6 +182,8 @@ def test_near_products_are_the_similarities_of_pairs():
     assert 0 < alike.sum() < alike.size
     joined = near_dedup.joining(np.array([[1, 0, 0], [0, 1, 0], [0, 1, 1]], bool), np.array([0, 1, 2]), np.array([3, 1, 4]))
     assert sorted(joined) == [(0, 3), (1, 2), (2, 4)]
+    for pair, place in (((0, 3), (0, 0)), ((1, 2), (2, 1)), ((2, 4), (2, 2))):
+        assert near_dedup.joined_by(np.array([[1, 0, 0], [0, 1, 0], [0, 1, 1]], bool), np.array([0, 1, 2]), np.array([3, 1, 4]), pair) == place
 
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 40_000])
@@ -139,7 +194,7 @@ def test_near_classes_of_a_crowded_family_near_the_limit(spark, monkeypatch, blo
     base = words(rng, 150)
     texts = list({" ".join(edited(rng, base, rng.randint(2, 6))) for _ in range(300)})
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    idf = near_dedup.inverse_frequencies(docs)
+    idf = frequencies(docs)
     found = [near_dedup.shingles(t) for t in texts]
     alike = near_dedup.all_similar(found, found, idf)
     root = np.arange(len(texts))
@@ -179,7 +234,7 @@ def test_near_link_of_two_large_families_is_found(spark):
     two = [apart | {148: 0}] + [apart | {i: k} for i, k in edits if i > 148][:40]
     texts = [put(x) for x in one + two]
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    idf = near_dedup.inverse_frequencies(docs)
+    idf = frequencies(docs)
     alike = lambda a, b: near_dedup.weighted_jaccard(near_dedup.shingles(texts[a]), near_dedup.shingles(texts[b]), idf) >= 0.8
     assert [(a, b) for a in range(770, 801) for b in range(801, 842) if alike(a, b)] == [(800, 801)]
     assert {(r.class_id, r.class_size) for r in near_dedup.classes(docs).collect()} == {(0, len(texts))}

@@ -4,9 +4,11 @@ A text is its shingles of five words (lower case; a shorter text is one shingle)
 frequencies are counted over all different texts, so that exact copies don't count, in IDF_BUCKETS hashed counters; from
 each counter the mean load of all counters is taken off, so that what collides in it doesn't count for a shingle, however
 large the corpus. The idf goes by the share of texts that hold a shingle, and so is the same at every size: a shingle in up
-to RARE of the texts weighs 1, one in all texts `idf_floor`, and those between ln(1 / share) / ln(1 / RARE), if that is
-more than the floor. The floor is high by default, since a group of near copies may hold a third of all rows: it makes its
-own shingles frequent, and must not thereby lose the links within it. Weights are whole numbers, so that sums are exact.
+to RARE of the texts weighs 1, and more frequent ones ln(1 / share) / ln(1 / RARE), but `idf_floor` at least.
+A group of near copies may hold a third of all rows. It would make its own shingles frequent and so lose the links within
+it, so that a family counts as about one text: plain min-hashes in FAMILY_BANDS bands of FAMILY_ROWS group the texts first,
+and each text counts by one over the size of its largest group. PRIOR texts without any shingle are added to those counted,
+so that in a small corpus what few texts hold isn't frequent. Weights and counts are whole numbers, so that sums are exact.
 
 Each of HASHES samples draws a shingle in proportion to weight, the same for texts that agree in it, so that two texts
 agree in a sample with a chance that is their weighted Jaccard similarity. BANDS bands of ROWS samples are hashed to
@@ -18,8 +20,9 @@ altogether, which the original of many copies tends to be, by the exact weighted
 Classes are the connected components of verified links. Members that are then still outside of their bucket's largest
 class are a query set that is held against the whole bucket, in blocks of bounded size: a task multiplies the weights of
 two blocks, which gives the exact similarity of every pair, and returns at most one link for each class that it joins, so
-that rows grow with members and never with pairs. Each query meets one block of its bucket first, and all blocks if that
-leaves more than one class. So each pair that shares a bucket is either within one class or was verified; none is capped.
+that rows grow with members and never with pairs, and a pair of texts that shows each link. Each query meets one block of its bucket first, and all blocks if that
+leaves more than one class. So each pair that shares a bucket is either within one class or was verified; none is capped. Every text of a class of several texts thus has a verified link, the most
+similar of which names its partner.
 
 Defined cases: a null text counts as empty; empty texts equal each other and nothing else. Rows repeated with the same
 doc_id get a class each, the same one. A null doc_id takes part: its text has a class, named by the smallest doc_id of the
@@ -29,7 +32,7 @@ result. Extra columns are kept by `keep_one` and not read, whatever their names
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,11 @@ from . import common
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
-IDF_BITS, RARE, IDF_FLOOR = 18, 0.01, 0.9
+IDF_BITS, RARE, IDF_FLOOR = 18, 0.01, 0.05
 IDF_BUCKETS = 1 << IDF_BITS
+FAMILY_BANDS, FAMILY_ROWS = 6, 3
+#: Texts that count besides those of the corpus, and the parts of one text in which they are counted.
+PRIOR, UNIT = 1000, 1 << 30
 #: The weight of one occurrence of a rare shingle.
 SCALE = 256
 #: Shingles that are drawn from at once, and bytes of text that are cut into shingles at once.
@@ -215,6 +221,60 @@ def joining(alike: np.ndarray, class_x: np.ndarray, class_y: np.ndarray) -> list
     return out
 
 
+def joined_by(alike: np.ndarray, class_x: np.ndarray, class_y: np.ndarray, pair: tuple[int, int]) -> tuple[int, int]:
+    """A row and a column of `alike` that join the two classes."""
+    for c, d in (pair, pair[::-1]):
+        x, y = np.flatnonzero(class_x == c), np.flatnonzero(class_y == d)
+        hit = np.argwhere(alike[np.ix_(x, y)])
+        if len(hit):
+            return int(x[hit[0, 0]]), int(y[hit[0, 1]])
+    raise ValueError("no similar texts of these classes")
+
+
+def _band_hashes(texts: list[str], sampled: Callable[[list[Bag], np.ndarray, np.ndarray], np.ndarray], bands: int, rows: int) -> list:
+    """int64 band hashes of each text, None for one without shingles; in chunks of about CHUNK shingles.
+
+    sampled: samples (texts x bands * rows) of some texts, from their bags, all their shingles and where each text's begin.
+    """
+    out: list = [None] * len(texts)
+    part: list[tuple[int, Bag]] = []
+    size = 0
+    for k, bag in enumerate([*bags(texts), None]):
+        if part and (bag is None or size + len(bag[0]) > CHUNK):
+            own = [b for _, b in part]
+            first = np.concatenate(([0], np.cumsum([len(b[0]) for b in own])[:-1]))
+            samples = sampled(own, np.concatenate([b[0] for b in own]), first).astype(np.uint64).reshape(len(part), bands, rows)
+            band = np.zeros((len(part), bands), np.uint64)
+            with np.errstate(over="ignore"):
+                for r in range(rows):
+                    band = _mixed(band * _FACTORS[4] + samples[:, :, r] + _U(r + 1))
+            for (at, _), b in zip(part, band.view(np.int64), strict=True):
+                out[at] = b
+            part, size = [], 0
+        if bag is not None and len(bag[0]):
+            part.append((k, bag))
+            size += len(bag[0])
+    return out
+
+
+def family_bands(texts: list[str]) -> list:
+    """Band hashes of each text by plain min-hashes, None for one without shingles."""
+    factors = _draws()[2][: FAMILY_BANDS * FAMILY_ROWS]
+
+    def least(_: list[Bag], key: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out, h, s = np.empty((len(first), len(factors)), np.uint64), np.empty(len(key), np.uint64), np.empty(len(key), np.uint64)
+        with np.errstate(over="ignore"):
+            for i, factor in enumerate(factors):
+                np.multiply(key, factor, out=h)
+                np.right_shift(h, _U(32), out=s)
+                np.bitwise_xor(h, s, out=h)
+                np.multiply(h, _FACTORS[3], out=h)
+                out[:, i] = np.minimum.reduceat(h, first)
+        return out
+
+    return _band_hashes(texts, least, FAMILY_BANDS, FAMILY_ROWS)
+
+
 class Sampler:
     """Band hashes of texts by improved consistent weighted sampling."""
 
@@ -267,52 +327,57 @@ class Sampler:
         return out
 
     def bands(self, texts: list[str]) -> list:
-        """int64 band hashes of each text, None for one without shingles; in chunks of about CHUNK shingles."""
-        out: list = [None] * len(texts)
-        part: list[tuple[int, Bag]] = []
-        size = 0
-        for k, bag in enumerate([*bags(texts), None]):
-            if part and (bag is None or size + len(bag[0]) > CHUNK):
-                key = np.concatenate([b[0] for _, b in part])
-                weight = np.concatenate([weights(b, self.idf) for _, b in part])
-                first = np.concatenate(([0], np.cumsum([len(b[0]) for _, b in part])[:-1]))
-                samples = self.signatures(key, weight, first).astype(np.uint64).reshape(len(part), BANDS, ROWS)
-                band = np.zeros((len(part), BANDS), np.uint64)
-                with np.errstate(over="ignore"):
-                    for r in range(ROWS):
-                        band = _mixed(band * _FACTORS[4] + samples[:, :, r] + _U(r + 1))
-                for (at, _), b in zip(part, band.view(np.int64), strict=True):
-                    out[at] = b
-                part, size = [], 0
-            if bag is not None and len(bag[0]):
-                part.append((k, bag))
-                size += len(bag[0])
-        return out
+        """Band hashes of each text, None for one without shingles."""
+
+        def sampled(own: list[Bag], key: np.ndarray, first: np.ndarray) -> np.ndarray:
+            return self.signatures(key, np.concatenate([weights(b, self.idf) for b in own]), first)
+
+        return _band_hashes(texts, sampled, BANDS, ROWS)
+
+
+def _family_sizes(nodes: DataFrame, tables: common.Tables) -> DataFrame:
+    """node, family: the size of the largest group of texts with an equal band of plain min-hashes, where that isn't the text alone. nodes: node, text."""
 
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(family_bands(part.column(1).to_pylist()), pa.list_(pa.int64()))], ["node", "bands"])
 
-def inverse_frequencies(texts: DataFrame, idf_floor: float = IDF_FLOOR) -> np.ndarray:
-    """SCALE times the idf by hashed bucket, whole numbers, from all rows of texts (text): IDF_BUCKETS counts reach the driver, whatever the input.
+    banded = tables.write(nodes.select("node", "text").mapInArrow(tasks, "node binary, bands array<long>"), "families")
+    spread = banded.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = tables.write(spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "family-sizes")
+    met = common.attach_stats(spread, sizes, "bucket", "n", common.total_of(sizes, "n"), ["node"]).filter(F.col("n").isNotNull())
+    return tables.write(met.groupBy("node").agg(F.max("n").alias("family")), "family")
+
+
+def inverse_frequencies(nodes: DataFrame, tables: common.Tables | None = None, idf_floor: float = IDF_FLOOR) -> np.ndarray:
+    """SCALE times the idf by hashed bucket, whole numbers, from all rows of nodes (node, text): IDF_BUCKETS counts reach the driver, whatever the input.
 
     A task adds up its batches in a table of its own and gives its non-zero counters; Spark sums them by bucket.
     """
-    common.ship(texts.sparkSession)
+    common.ship(nodes.sparkSession)
+    own = tables or common.Tables(nodes.sparkSession)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(IDF_BUCKETS, np.int64), 0
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                for shingle, _ in bags(b.column(0).slice(i, 200).to_pylist()):
-                    np.add.at(seen, idf_bucket(shingle), 1)
-                    n += 1
+                part = b.slice(i, 200)
+                for (shingle, _), family in zip(bags(part.column(0).to_pylist()), part.column(1).to_pylist(), strict=True):
+                    np.add.at(seen, idf_bucket(shingle), UNIT // family)
+                    n += UNIT // family
         full = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(full, -1), pa.int32()), "n": pa.array(np.append(seen[full], n), pa.int64())})
 
-    counts = texts.select(common.plain_text().alias("text")).mapInArrow(tasks, "bucket int, n long")
-    sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = max(1, int(sums.loc[sums["bucket"] < 0, "n"].sum()))
+    sized = nodes.select("node", "text").join(_family_sizes(nodes, own), "node", "left").select("text", F.coalesce("family", F.lit(1).cast("long")).alias("family"))
+    sums = sized.mapInArrow(tasks, "bucket int, n long").groupBy("bucket").agg(F.sum(F.col("n").cast("decimal(38,0)")).cast("double").alias("n")).toPandas()
+    if tables is None:
+        own.drop()
+    n = float(sums.loc[sums["bucket"] < 0, "n"].sum()) / UNIT + PRIOR
     df = np.zeros(IDF_BUCKETS)
-    own = sums[sums["bucket"] >= 0]
-    df[own["bucket"].to_numpy()] = own["n"].to_numpy()
+    held = sums[sums["bucket"] >= 0]
+    df[held["bucket"].to_numpy()] = held["n"].to_numpy() / UNIT
     share = np.clip((df - df.mean()) / n, RARE, 1)
     return np.rint(SCALE * np.maximum(idf_floor, np.log(1 / share) / np.log(1 / RARE))).astype(np.int64)
 
@@ -340,7 +405,7 @@ def _banded(nodes: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Those of pairs (a, b: nodes) whose texts (node, text) are similar."""
+    """Those of pairs (a, b: nodes) whose texts (node, text) are similar, and their similarity."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,16 +413,18 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                good = []
+                good, sums = [], []
                 for leader, text, found in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), bags(part.column(2).to_pylist()), strict=True):
                     if own != leader:  # pairs of one leader tend to come one after another
                         own, bag = leader, shingles(text)
-                    good.append(similar(*_minima(found, bag, shared.value)))
+                    low, high = _minima(found, bag, shared.value)
+                    good.append(similar(low, high))
+                    sums.append(low / high if high else 1.0)
                 keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(sums, pa.float64()).filter(keep)], ["a", "b", "similarity"])
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(tasks, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tasks, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame, tables: common.Tables | None = None) -> DataFrame:
@@ -384,12 +451,17 @@ def components(links: DataFrame, tables: common.Tables | None = None) -> DataFra
 
 
 def classes(docs: DataFrame, idf_floor: float = IDF_FLOOR) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size (rows), texts (different ones) for each row of docs; digest and root (of the text and of its class)."""
+    """A row for each row of docs: doc_id, class_id (the least doc_id of the class), class_size (rows), texts (different ones), partner_id, similarity, digest, root.
+
+    partner_id: the least doc_id of another text of the class with a verified link to the row's own, the most similar one
+    that was verified (not all pairs within a class are); null, as its similarity, where the class is one text. digest and
+    root: of the text and of its class.
+    """
     tables = common.Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), common.plain_text().alias("text"))
     nodes = docs.groupBy(F.col("digest").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("text").alias("text"))
     nodes = tables.write_bucketed(nodes, "nodes", "node", "zstd")
-    idf = inverse_frequencies(nodes, idf_floor)
+    idf = inverse_frequencies(nodes, tables, idf_floor)
     banded = tables.write(_banded(nodes.select("node", "text"), idf), "bands")
     spread = banded.select("node", "size", F.posexplode("bands").alias("band", "hash"))
     spread = spread.select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
@@ -402,23 +474,37 @@ def classes(docs: DataFrame, idf_floor: float = IDF_FLOOR) -> DataFrame:
     texts = tables.write(nodes.select("node", "text").join(weight, "node", "left_semi"), "texts", "zstd")
     met = tables.write(met.join(weight, "node").select("bucket", "node", "size", "weight"), "met")
     pairs = tables.write(_to_leaders(met, tables, total), "pairs")
-    labels = components(tables.write(_verified(texts, pairs, idf), "links"), tables)
+    verified = tables.write(_verified(texts, pairs, idf), "links")
+    labels = components(verified, tables)
     known = tables.write(nodes.select("node", "least", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
     rooted = tables.write(met.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
     for whole in (False, True):
         mixed = _mixed_buckets(rooted, tables).filter(F.col("blocks") > int(whole))  # the first turn has met buckets of one block whole
         if not mixed.isEmpty():
-            found = tables.write(_links_apart(rooted, mixed, texts, idf, total, whole).distinct(), "links")
+            found = tables.write(_links_apart(rooted, mixed, texts, idf, total, whole), "links")
+            verified = verified.union(found.select("x", "y", "similarity"))
             moved = components(found, tables).withColumnRenamed("node", "old").withColumnRenamed("root", "new")
             known, rooted = (
                 tables.write(x.withColumnRenamed("root", "old").join(moved, "old", "left").select(*[c for c in x.columns if c != "root"], F.coalesce("new", "old").alias("root")), name) for x, name in ((known, "known"), (rooted, "rooted"))
             )
     by_root = tables.write(known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts")), "roots")
     stats = common.attach_stats(known, by_root, "root", "texts", common.total_of(by_root, "texts"), ["node"])
-    stats = tables.write(stats.select(F.col("node").alias("digest"), "copies", "root", "class_id", "class_size", "texts"), "stats", keep=True)
+    stats = stats.join(_partners(verified, known, tables), "node", "left")
+    stats = tables.write(stats.select(F.col("node").alias("digest"), "copies", "root", "class_id", "class_size", "texts", "partner_id", "similarity"), "stats", keep=True)
     tables.drop()
     out = common.attach_stats(docs.select("doc_id", "digest"), stats, "digest", "copies", common.total_of(stats, "copies"), ["doc_id"])
-    return out.select("doc_id", "class_id", "class_size", "texts", "digest", "root")
+    return out.select("doc_id", "class_id", "class_size", "texts", "partner_id", "similarity", "digest", "root")
+
+
+def _partners(verified: DataFrame, known: DataFrame, tables: common.Tables) -> DataFrame:
+    """node, partner_id, similarity: the most similar of each text's verified links (a, b, similarity), named by its least doc_id (known: node, least)."""
+    both = verified.toDF("node", "partner", "similarity")
+    both = both.union(both.select("partner", "node", "similarity"))
+    best = both.groupBy("node").agg(F.max(F.struct("similarity", "partner")).alias("o"))
+    best = tables.write(best.select("node", "o.partner", "o.similarity"), "partners")
+    followed = best.groupBy("partner").agg(F.count("*").alias("n"))  # an original may be the partner of a third of all texts
+    named = tables.write(followed.join(known.select(F.col("node").alias("partner"), F.col("least").alias("partner_id")), "partner"), "followed")
+    return common.attach_stats(best, named, "partner", "n", common.total_of(named, "n"), ["node"]).select("node", "partner_id", "similarity")
 
 
 def _to_leaders(met: DataFrame, tables: common.Tables, total: int) -> DataFrame:
@@ -439,7 +525,7 @@ def _mixed_buckets(rooted: DataFrame, tables: common.Tables) -> DataFrame:
 
 
 def _links_apart(rooted: DataFrame, mixed: DataFrame, texts: DataFrame, idf: np.ndarray, total: int, whole: bool) -> DataFrame:
-    """Pairs (a, b) of classes that similar texts join, of members that aren't in the largest class of their bucket with all others.
+    """Pairs (a, b) of classes that similar texts (x, y) join, of members that aren't in the largest class of their bucket with all others.
 
     rooted: bucket, node, root. Each block of these members meets each block of the bucket, or, unless `whole`, one. A group
     is two blocks of about BLOCK bytes, and returns fewer rows than it has classes.
@@ -460,11 +546,15 @@ def _links_apart(rooted: DataFrame, mixed: DataFrame, texts: DataFrame, idf: np.
             found = list(bags(pdf["text"].tolist()))
             one, other = np.flatnonzero(asks), np.flatnonzero(~asks)
             alike = all_similar([found[i] for i in one], [found[i] for i in other], shared.value)
-            out = [(roots[i], roots[j]) for i, j in joining(alike, number[one], number[other])]
-        return pd.DataFrame(out, columns=["a", "b"])
+            node = pdf["node"].to_numpy()
+            for pair in joining(alike, number[one], number[other]):
+                x, y = joined_by(alike, number[one], number[other], pair)
+                x, y = one[x], other[y]
+                out.append((roots[pair[0]], roots[pair[1]], node[x], node[y], weighted_jaccard(found[x], found[y], shared.value)))
+        return pd.DataFrame(out, columns=["a", "b", "x", "y", "similarity"])
 
-    groups = against.unionByName(asking).join(texts, "node").select("bucket", "block", "q_block", "root", "asks", "text")
-    return groups.groupBy("bucket", "block", "q_block").applyInPandas(compare, "a binary, b binary")
+    groups = against.unionByName(asking).join(texts, "node").select("bucket", "block", "q_block", "node", "root", "asks", "text")
+    return groups.groupBy("bucket", "block", "q_block").applyInPandas(compare, "a binary, b binary, x binary, y binary, similarity double")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -472,7 +562,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows leave by an anti-join on (doc_id, digest). Of rows repeated with the same doc_id any one stays.
     """
-    judged = common.materialize(classes(docs), "classes")
+    judged = common.materialize(classes(docs).select("doc_id", "class_id", "digest", "root"), "classes")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
     out = docs.withColumn("_vl_digest", _digest())
 
