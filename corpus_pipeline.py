@@ -54,8 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents, each one's result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another over documents, each one's result written to the shared folder and read again.
+
+    What a stage wrote on its way, and its predecessor's result, go when its own result is written.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = common.scratch_path(spark, f"stage-{name}")
+        with common.temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            common.delete(spark, last)
+        last = path
     return docs

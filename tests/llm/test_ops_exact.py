@@ -39,6 +39,15 @@ def test_dedup_is_incremental_and_replays(spark):
     assert again == {1: True, 2: True}
 
 
+def test_dedup_in_turn_is_one_batch_after_another(spark):
+    rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (5, "b"), (6, "c"), (None, "c"), (None, None), (7, "d")]
+    docs, idx = spark.createDataFrame(rows, DOCS), index(spark, "turn")
+    newer = F.coalesce(F.col("doc_id") > 4, F.lit(False))
+    out = idx.ingest_in_turn(docs, [("newer", newer), ("older", ~newer)]).collect()
+    assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in out) == sorted([(0, 4, 3, False), (0, 6, 2, False), (1, 2, 2, False), (2, 2, 2, True), (3, 4, 3, False), (4, 4, 3, True), (5, 5, 2, False), (5, 5, 2, True), (6, 6, 2, True), (7, 7, 1, True)])
+    assert {(r.batch, r.keep_id) for r in idx.read().collect()} == {("newer", 5), ("newer", 6), ("newer", 7), ("older", 2), ("older", 4)}
+
+
 def test_dedup_anti_join_reads_the_index_by_bucket(spark):
     idx = index(spark, "plan")
     idx.ingest(spark.createDataFrame([(1, "a")], DOCS), "one").collect()

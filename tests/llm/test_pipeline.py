@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from varloom.llm import near_dedup
+from varloom.llm import common, near_dedup
 from varloom.llm.common import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -73,8 +74,15 @@ def test_one_row_of_near_copies_stays(case):
     before, after = out[1][2], out[2][2]
     found = [near_dedup.shingles(r.text or "") for r in before]
     n = len(before)
-    df = collections.Counter(near_dedup.idf_bucket(np.concatenate([b[0] for b in found])).tolist())
-    share = np.clip((np.array([df[k] for k in range(near_dedup.IDF_BUCKETS)]) - sum(df.values()) / near_dedup.IDF_BUCKETS) / n, near_dedup.RARE, 1)
+    texts = sorted({r.text or "" for r in before})
+    bands = [list(enumerate(b)) if b is not None else [] for b in near_dedup.family_bands(texts)]
+    sizes = collections.Counter(b for own in bands for b in own)
+    df, total = np.zeros(near_dedup.IDF_BUCKETS), near_dedup.PRIOR
+    for text, own in zip(texts, bands, strict=True):
+        family = max([sizes[b] for b in own], default=1)
+        np.add.at(df, near_dedup.idf_bucket(near_dedup.shingles(text)[0]), 1 / family)
+        total += 1 / family
+    share = np.clip((df - df.mean()) / total, near_dedup.RARE, 1)
     idf = np.rint(near_dedup.SCALE * np.maximum(near_dedup.IDF_FLOOR, np.log(1 / share) / np.log(1 / near_dedup.RARE))).astype(np.int64)
     alike = near_dedup.all_similar(found, found, idf)
     alike &= np.array([len(b[0]) > 0 for b in found])[:, None]
@@ -147,6 +155,15 @@ def test_reruns_agree(spark, case):
         assert collections.Counter(map(key, again.collect())) == collections.Counter(map(key, rows)), name
 
 
+def test_only_the_result_is_left_in_the_shared_folder(spark, case):
+    root = "/" + common.scratch_root(spark).removeprefix("file:").lstrip("/")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, case[0])
+    left = set(os.listdir(root)) - before
+    assert out.count() > 0
+    assert [x.rsplit("-", 1)[0] for x in left] == ["varloom-stage-packing"]
+
+
 def test_an_empty_table_ends_empty(spark, case):
     path, _, _ = case
     empty = scratch_path(spark, "empty")

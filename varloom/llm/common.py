@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +49,32 @@ def scratch_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_kept: ContextVar[list[str] | None] = ContextVar("varloom_scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/varloom-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/varloom-{name}-{uuid.uuid4().hex}"
+    if _kept.get() is not None:
+        _kept.get().append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """All that operators write to the shared folder within goes at its end: results must have been written elsewhere by then."""
+    before = _kept.set([])
+    try:
+        yield
+    finally:
+        paths = _kept.get()
+        _kept.reset(before)
+        for path in paths:
+            delete(spark, path)
 
 
 class Tables:
@@ -79,8 +106,7 @@ class Tables:
         for name in self.names:
             self.spark.sql(f"DROP TABLE {name}")
         for path in self.paths:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            delete(self.spark, path)
         self.paths, self.names = [], []
 
 

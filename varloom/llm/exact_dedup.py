@@ -12,7 +12,7 @@ columns named like those this module adds (digest) are not touched, the module's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,16 +37,18 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def _judged(self, docs: DataFrame, batch: str, digest=None) -> DataFrame:
-        """A row for each (doc_id, digest) of docs: copies, group_size, keep_id and stays; appends what is new."""
+    def _judged(self, docs: DataFrame, batches: list[tuple[str, Column]], digest=None) -> DataFrame:
+        """A row for each (doc_id, digest) of docs: copies, group_size, keep_id and stays; appends what is new, batch by batch."""
         digest = text_digest() if digest is None else digest
         seen = common.materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = common.materialize(seen.groupBy("digest").agg(F.max("doc_id").alias("top"), F.sum("copies").alias("group_size")), "groups")
-        # what this batch has appended before, as ahead of a restart, is in the index and isn't appended again
-        fresh = groups.join(self.read().hint("merge").select("digest"), "digest", "left_anti").select("digest", F.col("top").alias("keep_id"), F.lit(batch).alias("batch"))
-        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        self.spark.catalog.refreshTable(self.name)
-        known = self.read().select("digest", "keep_id", (F.col("batch") == batch).alias("mine"))
+        for batch, part in batches:
+            # what this batch has appended before, as ahead of a restart, is in the index and isn't appended again
+            own = seen.filter(part).groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+            fresh = own.join(self.read().hint("merge").select("digest"), "digest", "left_anti").select("digest", "keep_id", F.lit(batch).alias("batch"))
+            fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+            self.spark.catalog.refreshTable(self.name)
+        known = self.read().select("digest", "keep_id", F.col("batch").isin([b for b, _ in batches]).alias("mine"))
         stats = common.materialize(groups.join(known.hint("merge"), "digest").select("digest", "keep_id", "mine", "group_size"), "known")
         out = common.attach_stats(seen, stats, "digest", "group_size", common.total_of(groups, "group_size"), ["doc_id"])
         return out.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("mine"))
@@ -58,7 +60,15 @@ class DigestIndex:
         A batch that was already appended, as after a driver's restart, isn't appended twice: its own rows don't count
         as earlier ones. digest: another column to compare by, instead of SHA-256 of the text as it is.
         """
-        out = self._judged(docs, batch, digest).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        return self.ingest_in_turn(docs, [(batch, F.lit(True))], digest)
+
+    def ingest_in_turn(self, docs: DataFrame, batches: list[tuple[str, Column]], digest=None) -> DataFrame:
+        """As ingest, for several batches of docs one after another: (name, condition on doc_id) of each; a row belongs to exactly one.
+
+        Texts are hashed once. A later batch meets what the earlier ones appended, and appends what they lack. The result
+        is for all rows of docs, with group_size over all batches.
+        """
+        out = self._judged(docs, batches, digest).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "digest")
 
 
@@ -71,7 +81,7 @@ def keep_first(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
 
     Rows leave by an anti-join with the (doc_id, digest) of those to drop: the usual small share of the input.
     """
-    judged = common.materialize(index._judged(docs, batch), "judged")
+    judged = common.materialize(index._judged(docs, [(batch, F.lit(True))]), "judged")
     gone = judged.filter(~F.col("stays")).select(F.col("doc_id").alias("_vl_id"), F.col("digest").alias("_vl_gone"))
     out = docs.withColumn("_vl_digest", text_digest())
     out = out.join(gone, out["doc_id"].cast("long").eqNullSafe(gone["_vl_id"]) & (out["_vl_digest"] == gone["_vl_gone"]), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, common, exact_dedup, knn_join, line_dedup, mixing, near_dedup, ogg_media, packing, quality, secrets, url_filters, vector_codes, zip_warc
@@ -18,16 +18,26 @@ def _buckets(spark: SparkSession) -> int:
     return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _halves(docs: DataFrame) -> tuple[Column, Column]:
+    """Conditions for two batches of docs: doc_ids above a middle one, and all other rows, those without a doc_id among them."""
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    above = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
+    return above, ~above
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches into one index, that with the larger doc_ids first, so that its rows stay."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    newer, older = _halves(docs)
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", _buckets(spark))
-    out = index.ingest(table(spark, sf_dir, "documents"), batch="documents")
+    out = index.ingest_in_turn(docs, [("newer", newer), ("older", older)])
     index.drop()  # the rows of `out` come from tables that were written before
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 OP1 = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
- sha256(coalesce(text, '')) AS text_sha256
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+ row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
@@ -57,7 +67,7 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(table(spark, sf_dir, "documents"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", "class_id", "class_size", "texts", kept.alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", "texts", "partner_id", "similarity", kept.alias("kept"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +127,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secrets.BlobLedger(spark, common.scratch_path(spark, "ledger"), _buckets(spark))
-    ledger.record(docs, "doc_id", "documents")
-    ledger.scan(docs)
+    _, older = _halves(docs)
+    for version, rows in (("first", docs.filter(older)), ("second", docs)):  # the second version has the first one's rows and new ones
+        ledger.record(rows, "doc_id", version)
+        ledger.scan(rows)
     out = ledger.report(docs, ["doc_id"])
     ledger.forget()
     base = F.filter("found", lambda x: x["kind"] < len(secrets.BASE_RULES))
