@@ -20,10 +20,21 @@ CONTEXTS = "array<struct<ontology_id:string,members:array<struct<donor:string,sa
 
 
 def pack(codes: DataFrame, samples: int) -> DataFrame:
-    """row_index, codes (array<tinyint>, one a sample, null where none was read), digest. Of codes repeated for a pair the least counts."""
-    pairs = codes.groupBy("row_index", "sample_index").agg(F.min("code").alias("code"))
-    rows = pairs.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct(F.col("sample_index").cast("int"), F.col("code").cast("tinyint")))).alias("m"))
-    out = rows.select("row_index", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.element_at("m", i)).alias("codes"))
+    """row_index, codes (array<tinyint>, one a sample, null where none was read), digest. Of codes repeated for a pair the least counts.
+
+    A task keeps a row an element and block of samples, with a column a sample, not a row a pair.
+    """
+    n = F.when(F.col("sample_index").between(0, samples - 1), F.col("sample_index"))
+    rows = codes.withColumns({"_block": F.coalesce(F.floor(n / R.BLOCK), F.lit(0)), "_slot": F.pmod(n, F.lit(R.BLOCK))})
+    rows = rows.groupBy("row_index", "_block").agg(*[F.min(F.when(F.col("_slot") == i, F.col("code"))).cast("tinyint").alias(f"_{i}") for i in range(min(samples, R.BLOCK))])
+    own = F.array(*[F.col(f"_{i}") for i in range(min(samples, R.BLOCK))])
+    if samples <= R.BLOCK:
+        out = rows.select("row_index", own.alias("codes"))
+    else:
+        rows = rows.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_block").cast("int"), own))).alias("m"))
+        none = F.array_repeat(F.lit(None).cast("tinyint"), R.BLOCK)
+        blocks = F.transform(F.sequence(F.lit(0), F.lit((samples - 1) // R.BLOCK)), lambda b: F.coalesce(F.element_at("m", b), none))
+        out = rows.select("row_index", F.slice(F.flatten(blocks), 1, samples).alias("codes"))
     return out.withColumn("digest", F.sha2(F.array_join(F.transform("codes", lambda c: c.cast("string")), ",", "."), 256))
 
 

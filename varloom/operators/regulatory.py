@@ -16,6 +16,8 @@ FAMILIES = ("", "promoter", "enhancer", "enhancer", "h3k4me3", "ctcf", "tf", "ac
 #: Evidence tiers from the fullest, and assays that allow a specific class.
 TIERS = ("full_classification", "partial_classification", "accessibility_only")
 SPECIFIC_ASSAYS = ("H3K4me3", "H3K27ac", "CTCF")
+#: Samples whose codes are gathered as columns of one row.
+BLOCK = 32
 
 
 def class_of(code: Column) -> Column:
@@ -116,8 +118,16 @@ def donor_dependence(members: DataFrame, closure: DataFrame) -> DataFrame:
 
 
 def histograms(codes: DataFrame) -> DataFrame:
-    """sample_index, code, elements, and copies: repeated (row, sample) pairs, which should be 0."""
-    pairs = codes.groupBy("sample_index", "row_index").agg(F.min("code").alias("code"), (F.count("*") - 1).alias("extra"))
+    """sample_index, code, elements, and copies: repeated (row, sample) pairs, which should be 0.
+
+    Pairs meet as columns of a row an element and block of samples; the last column is of codes without a sample.
+    """
+    kind, n = codes.schema["sample_index"].dataType, F.col("sample_index")
+    rows = codes.withColumns({"_block": F.floor(n / BLOCK), "_slot": F.coalesce(F.pmod(n, F.lit(BLOCK)), F.lit(BLOCK))})
+    here = [F.col("_slot") == i for i in range(BLOCK + 1)]
+    rows = rows.groupBy("row_index", "_block").agg(*[F.min(F.when(x, F.col("code"))).alias(f"_c{i}") for i, x in enumerate(here)], *[F.count_if(x).alias(f"_n{i}") for i, x in enumerate(here)])
+    slots = [F.struct(((F.col("_block") * BLOCK + i).cast(kind) if i < BLOCK else F.lit(None).cast(kind)).alias("sample_index"), F.col(f"_c{i}").alias("code"), (F.col(f"_n{i}") - 1).alias("extra")) for i in range(BLOCK + 1)]
+    pairs = rows.select(F.inline(F.array(*slots))).filter("extra >= 0")
     return pairs.groupBy("sample_index", "code").agg(F.count("*").alias("elements"), F.sum("extra").alias("copies"))
 
 
