@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.scratch import scratch_path
+from varloom.operators import intervals as I  # noqa: E741
 
 #: Classes by code, and the family of each.
 CLASSES = ("inactive", "PLS", "pELS", "dELS", "CA-H3K4me3", "CA-CTCF", "CA-TF", "CA", "TF")
@@ -18,6 +19,8 @@ TIERS = ("full_classification", "partial_classification", "accessibility_only")
 SPECIFIC_ASSAYS = ("H3K4me3", "H3K27ac", "CTCF")
 #: Samples whose codes are gathered as columns of one row.
 BLOCK = 32
+#: Bases in a bin in which the elements of a context are ordered.
+ISLAND_BIN = 1 << 16
 
 
 def class_of(code: Column) -> Column:
@@ -82,6 +85,30 @@ def filter_contexts(sites: DataFrame, overlaps: DataFrame, contexts: DataFrame,
     return sites.join(good, "site_id", "left_semi")
 
 
+def context_islands(elements: DataFrame, contexts: DataFrame, wanted: list[str]) -> DataFrame:
+    """ontology_id, chrom, start0, end0: what the elements (row_index, chrom, start0, end0) that each wanted context detects cover together.
+
+    Elements that only touch stay apart, so that a site without a base between them is in neither.
+    """
+    if not wanted or contexts.filter(F.col("ontology_id").isin(*wanted)).agg(F.countDistinct("ontology_id")).first()[0] < len(set(wanted)):
+        raise ValueError("choose known contexts, and any or all")
+    on = contexts.filter(F.col("ontology_id").isin(*wanted) & (F.col("detected") > 0)).select("row_index", "ontology_id")
+    rows = elements.join(on, "row_index").select("ontology_id", "chrom", "start0", "end0")
+    return I.merged(rows, -1, ISLAND_BIN, ("ontology_id",)).unionByName(rows.filter("end0 <= start0").distinct())
+
+
+def filter_sites(sites: DataFrame, elements: DataFrame, contexts: DataFrame, wanted: list[str], mode: str = "any") -> DataFrame:
+    """Sites (site_id, chrom, start0, end0) with an overlapping element that is detected in any, or altogether in all, of the wanted contexts.
+
+    A site meets what a context's elements cover together, not each element.
+    """
+    if mode not in ("any", "all"):
+        raise ValueError("choose known contexts, and any or all")
+    hits = I.overlaps(sites.select("site_id", "chrom", "start0", "end0"), context_islands(elements, contexts, wanted)).select("site_id", "ontology_id")
+    good = hits.groupBy("site_id").agg(F.countDistinct("ontology_id").alias("n")).filter(F.col("n") >= (1 if mode == "any" else len(set(wanted))))
+    return sites.join(good, "site_id", "left_semi")
+
+
 def assay_capabilities(members: DataFrame) -> DataFrame:
     """ontology_id, donors, capable donors by tier."""
     return members.groupBy("ontology_id").agg(F.countDistinct("donor").alias("donors"), F.count_if(capable(F.col("evidence_tier"))).alias("any_specific"), F.count_if(F.col("evidence_tier") == TIERS[0]).alias("full"))

@@ -72,8 +72,7 @@ def summary(v):
 
 def _filtered(v, mode):
     sites = I.as_interval(H.keyed_sites(v.sites)).select("site_id", "chrom", "start0", "end0")
-    hits = I.overlaps(sites, v.ccre).select("site_id", "row_index")
-    return R.filter_contexts(sites.select("site_id"), hits, M.context_evidence(packed(v), members(v)), ["CL:1", "CL:2"], mode)
+    return R.filter_sites(sites, v.ccre, M.context_evidence(packed(v), members(v)), ["CL:1", "CL:2"], mode).select("site_id")
 
 
 FILTER = "hit AS (SELECT site_id, count(DISTINCT ontology_id) AS n FROM keyed s JOIN fx_ccre c ON c.chrom = s.chrom AND s.pos - 1 < c.end0 AND c.start0 < s.pos - 1 + length(s.ref) JOIN cx USING (row_index) WHERE detected > 0 AND ontology_id IN ('CL:1', 'CL:2') GROUP BY site_id)"
