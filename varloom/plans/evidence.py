@@ -9,6 +9,7 @@ from varloom.operators import clinical as L
 from varloom.operators import cohort as H
 from varloom.operators import genes as E
 from varloom.plans.base import KEYED, on_views
+from varloom.sources import fixtures
 
 CAT, PRO = ("fx_catalog",), ("fx_protein", "fx_catalog")
 PATH = "classification IN ('Pathogenic', 'Likely_pathogenic')"
@@ -224,7 +225,7 @@ def tags(v):
     lead = F.when(n == 0, "Normal count, low memory B cells ").when(n == 1, "NK cells: absent; monocytes elevated ").when(n == 2, "T cell response not assessed, low ").when(n == 3, "Low to normal\u00a0neutrophils/platelets ")
     lead = lead.when(n == 4, "Hypogammaglobulinemia, poor proliferation, skin ").when(n == 5, "Expanded gamma-delta, eosinophils high ").otherwise("")
     text = F.concat(lead, F.coalesce("text", F.lit("")))
-    return v.table("documents").select("doc_id", F.array_join(E.finding_tags(text), ";").alias("tags"), F.array_join(E.cell_groups(text), ";").alias("cells"))
+    return fixtures.dealt(v.table("documents")).select("doc_id", F.array_join(E.finding_tags(text), ";").alias("tags"), F.array_join(E.cell_groups(text), ";").alias("cells"))
 
 
 @on_views("s18_missense_scan", ("fx_sites",), """SELECT chrom, pos, ref, one AS alt, CASE WHEN site_id % 4 = 0 THEN concat(CASE replace(chrom, 'chr', '') WHEN 'M' THEN 'MT' ELSE replace(chrom, 'chr', '') END, ':', pos, ':', ref, ':', one) ELSE 'R' || site_id END || CASE WHEN site_id % 3 = 2 THEN '' WHEN k = 0 THEN ':ALT1' ELSE ':ALT2' END AS record_id,
