@@ -94,23 +94,23 @@ def write_back(spark, sf_dir):
 
 @query("t01_t02_streamed_calls", oracle(("fx_calls",), "SELECT sample_id, site_id, gt, dp, gq, filter FROM fx_calls WHERE site_id % 97 <> 0"))
 def streamed(spark, sf_dir):
-    """Calls as text in several files, taken in by a stream; lines with a bad genotype are set aside."""
+    """Calls as text in files for all cores, taken in by a stream of four batches; lines with a bad genotype are set aside."""
     calls = Views(spark, sf_dir).calls
     source, target, bad, checkpoint = (scratch_path(spark, f"intake-{k}") for k in ("source", "target", "bad", "checkpoint"))
-    gt = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt"))
-    calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(4, "sample_id").write.text(source)
-    T.start(spark, source, target, bad, checkpoint, files_per_batch=1, fold_every=3).awaitTermination()
+    gt, files = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt")), 4 * spark.sparkContext.defaultParallelism
+    calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(files, "sample_id").write.text(source)
+    T.start(spark, source, target, bad, checkpoint, files_per_batch=files // 4, fold_every=3).awaitTermination()
     return T.DeltaTable(spark, target).read().select("sample_id", "site_id", "gt", "dp", "gq", "filter")
 
 
 @query("t03_intake_counters", oracle(("fx_calls",), "SELECT count(*) AS records, count(*) FILTER (WHERE filter IN ('PASS', '.') AND site_id % 97 <> 0) AS passing, count(*) FILTER (WHERE site_id % 97 = 0) AS quarantined FROM fx_calls"))
 def intake_counters(spark, sf_dir):
-    """The counters that a stream stores with its batches, added up."""
+    """The counters that a stream stores with its two batches, added up."""
     calls = Views(spark, sf_dir).calls
     source, target, bad, checkpoint = (scratch_path(spark, f"counted-{k}") for k in ("source", "target", "bad", "checkpoint"))
-    gt = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt"))
-    calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(3, "sample_id").write.text(source)
-    T.start(spark, source, target, bad, checkpoint, files_per_batch=2).awaitTermination()
+    gt, files = F.when(F.col("site_id") % 97 == 0, "broken").otherwise(F.col("gt")), 4 * spark.sparkContext.defaultParallelism
+    calls.select(F.concat_ws("\t", "sample_id", "site_id", gt, "dp", "gq", "ad_alt", "filter").alias("value")).repartition(files, "sample_id").write.text(source)
+    T.start(spark, source, target, bad, checkpoint, files_per_batch=files // 2).awaitTermination()
     return T.counters(spark, target).agg(*[F.sum(c).alias(c) for c in ("records", "passing", "quarantined")])
 
 

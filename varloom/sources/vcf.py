@@ -86,7 +86,9 @@ def genotypes(allele_rows: DataFrame, samples: tuple[str, ...], chosen: tuple[st
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(names, i).alias("sample_id"), F.get(F.col("samples"), i).alias("raw")))
     allele = F.col("alt_index") + 1
     # the carrier test looks at the genotype alone, before anything is exploded
-    carried = F.filter(each, lambda s: G.copies(F.substring_index(s["raw"], ":", 1), allele) > 0)
+    # and most cells of many samples are uncalled, which a comparison tells
+    called = F.filter(each, lambda s: (s["raw"] != "./.") & ~s["raw"].startswith("./.:"))
+    carried = F.filter(called, lambda s: G.copies(F.substring_index(s["raw"], ":", 1), allele) > 0)
     if chosen is not None:
         carried = F.filter(carried, lambda s: s["sample_id"].isin(*chosen))
     own = [*keep, "variant_key", "chrom", "min_pos", "filter"]
@@ -102,7 +104,9 @@ def consequences(allele_rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     kept = ["id"] if "id" in allele_rows.columns else []
     rows = allele_rows.withColumn("_all", X.csq_entries(X.info_map(F.col("info"))["CSQ"], list(fields)))
     own = F.filter("_all", lambda e: X.attributed(F.coalesce(e["ALLELE_NUM"], F.lit("")) if "ALLELE_NUM" in fields else F.lit(""), e["Allele"] if "Allele" in fields else F.lit(""), F.col("ref"), F.col("alts"), F.col("alt_index")))
-    taken = F.when((F.size(own) == 0) & (F.size("alts") == 1), F.col("_all")).otherwise(own)
+    # a column, so that the filter is done once
+    rows = rows.withColumn("_own", own)
+    taken = F.when((F.size("_own") == 0) & (F.size("alts") == 1), F.col("_all")).otherwise(F.col("_own"))
     return rows.select(*kept, "variant_key", "alt_index", F.explode(taken).alias("entry"))
 
 
