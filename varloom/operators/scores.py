@@ -89,39 +89,45 @@ def lookup(queries: DataFrame, scores: DataFrame, spec: ScoreSpec) -> DataFrame:
     """queries with status (exact, ambiguous, partial, or null without the allele), match, targets and the outputs.
 
     Exact: one record agrees in all dimensions. Ambiguous: several do, or the query lacks a dimension. Partial: the longest
-    prefix of dimensions in which some record agrees. Counting goes by query row: each has a number of its own, so that
-    equal rows don't add up; the number lives within one plan and is never computed twice.
+    prefix of dimensions in which some record agrees. The records of an allele are one row, equal ones counted, so that each
+    query row meets one row at most and none is grouped afterwards.
     """
     asked = queries.filter(F.arrays_overlap(F.split("consequence", "&"), F.array(*[F.lit(x) for x in spec.consequences]))) if spec.consequences else queries
-    normal = {d: NORMAL[n] for d, n in spec.normal}
-    q = asked.select(F.monotonically_increasing_id().alias("_q"), *[F.col(c) for c in asked.columns])
+    normal = dict(spec.normal)
+    same = {d: NORMAL[normal.get(d, "exact")] for d in spec.dimensions}
     names = {c: f"_s_{c}" for c in (*spec.allele, *spec.dimensions, *spec.outputs)}
+    allele, dims = [names[c] for c in spec.allele], [names[c] for c in spec.dimensions]
     s = scores.select(*[F.col(c).alias(n) for c, n in names.items()])
+    s = s.groupBy(*dict.fromkeys((*allele, *dims))).agg(F.count("*").alias("_n"), *[F.max(names[c]).alias(f"_max_{c}") for c in spec.outputs])
+    record = F.struct(*[same[d](F.col(names[d])).alias(f"_d_{d}") for d in spec.dimensions], "_n", *[f"_max_{c}" for c in spec.outputs])
+    target = F.concat_ws(":", *[F.col(d).cast("string") for d in dims])
+    s = s.groupBy(*allele).agg(F.collect_list(record).alias("_found"), F.array_sort(F.collect_set(target)).alias("_targets"))
     on = F.lit(True)
     for c in spec.allele:
         on &= F.col(c) == F.col(names[c])
-    prefix = F.lit(0)
-    agrees = F.lit(True)
-    for c in spec.dimensions:
-        same = normal.get(c, NORMAL["exact"])
-        agrees &= F.coalesce(same(F.col(c)) == same(F.col(names[c])), F.lit(False))
-        prefix = prefix + agrees.cast("int")
+
+    def prefix(record: Column) -> Column:
+        n, agrees = F.lit(0), F.lit(True)
+        for d in spec.dimensions:
+            agrees &= F.coalesce(F.col(f"_q_{d}") == record[f"_d_{d}"], F.lit(False))
+            n = n + agrees.cast("int")
+        return n
+
     missing = F.lit(False)
-    for c in spec.dimensions:
-        missing |= F.col(c).isNull()
-    full = prefix == len(spec.dimensions)
-    target = F.concat_ws(":", *[F.col(names[c]).cast("string") for c in spec.dimensions])
-    joined = q.join(s.withColumn("_hit", F.lit(True)), on, "left").withColumn("_p", F.when(F.col("_hit"), prefix)).withColumn("_exact", F.col("_hit") & full & ~missing)
-    found = joined.groupBy("_q", *asked.columns).agg(
-        F.count_if("_exact").alias("_n"), F.max("_p").alias("_best"), F.array_sort(F.collect_set(F.when(F.col("_hit"), target))).alias("targets"),
-        *[F.max(F.when(F.col("_exact"), F.col(names[c]))).alias(names[c]) for c in spec.outputs],
-    )
+    for d in spec.dimensions:
+        missing |= F.col(d).isNull()
+    # sorted, not broadcast: a score table is large, however small its files look to the planner
+    found = asked.withColumns({f"_q_{d}": same[d](F.col(d)) for d in spec.dimensions}).join(s.hint("merge"), on, "left").withColumn("_p", F.transform("_found", prefix))
+    full = F.filter("_found", lambda r, i: F.get("_p", i) == len(spec.dimensions))
+    found = found.withColumns({"_best": F.array_max("_p"), "_exact": full})
+    n = F.aggregate("_exact", F.lit(0).cast("long"), lambda n, r: n + r["_n"])
     labels = F.array(F.lit("allele_only"), *[F.lit("_".join(("allele", *spec.dimensions[: k + 1]))) for k in range(len(spec.dimensions))])
     met = F.col("_best").isNotNull()
-    status = F.when(met & (missing | (F.col("_n") > 1)), "ambiguous").when(met & (F.col("_n") == 1), "exact").when(met, "partial")
-    match = F.when(met & missing, "query_target_unavailable").when(met & (F.col("_n") > 1), "multiple_exact_records").when(met, F.element_at(labels, F.col("_best") + 1))
-    out = found.withColumns({"status": status, "match": match})
-    return out.select(*asked.columns, "status", "match", "targets", *[F.when(F.col("status") == "exact", F.col(names[c])).alias(c) for c in spec.outputs])
+    status = F.when(met & (missing | (n > 1)), "ambiguous").when(met & (n == 1), "exact").when(met, "partial")
+    match = F.when(met & missing, "query_target_unavailable").when(met & (n > 1), "multiple_exact_records").when(met, F.element_at(labels, F.col("_best") + 1))
+    out = found.withColumns({"status": status, "match": match, "targets": F.coalesce("_targets", F.array().cast("array<string>"))})
+    value = lambda c: F.array_max(F.transform("_exact", lambda r: r[f"_max_{c}"]))
+    return out.select(*asked.columns, "status", "match", "targets", *[F.when(F.col("status") == "exact", value(c)).alias(c) for c in spec.outputs])
 
 
 def by_version_or_base(queries: DataFrame, scores: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def by_manifest(v):
     """(spec, the table under its names): scores of alleles by place, with transcript versions that the calls don't have."""
     spec, names = S.spec_of(MANIFEST)
     sites = v.sites.select("site_id", F.col("chrom").alias("chr"), F.col("pos").alias("at"), F.col("ref").alias("r"), F.col("alt").alias("a"))
-    table = v.scores.join(sites, "site_id").select("chr", "at", "r", "a", F.concat("transcript_base", F.lit(".44")).alias("feature"), F.col("copy_no").alias("copy"), F.col("score").alias("value"))
+    table = v.scores.join(sites.hint("merge"), "site_id").select("chr", "at", "r", "a", F.concat("transcript_base", F.lit(".44")).alias("feature"), F.col("copy_no").alias("copy"), F.col("score").alias("value"))
     return spec, S.named(table, names)
 
 
@@ -68,7 +68,7 @@ m AS (SELECT q.site_id, q.k, count(*) FILTER (WHERE t.b = q.b) AS n, max(t.score
 def manifest_lookup(v):
     spec, scores = by_manifest(v)
     places = v.sites.select("site_id", "chrom", F.col("pos").alias("position"), F.col("ref").alias("reference"), F.col("alt").alias("alternate"))
-    rows = v.annotations.select("site_id", "k", "transcript", F.concat("consequence", F.lit("&NMD_transcript_variant")).alias("consequence")).join(places, "site_id")
+    rows = v.annotations.select("site_id", "k", "transcript", F.concat("consequence", F.lit("&NMD_transcript_variant")).alias("consequence")).join(places.hint("merge"), "site_id")
     return S.lookup(rows, scores, spec).select("site_id", "k", "status", "made_score")
 
 
@@ -82,9 +82,9 @@ def stored_lookup(v):
     """The score table is published by place, then looked up by all annotations."""
     store = ST.ScoreStore(v.sites.sparkSession, scratch_path(v.sites.sparkSession, "scores"), width=1 << 16)
     alleles = v.sites.select("site_id", "chrom", "pos", "ref", "alt")
-    store.publish(v.scores.join(alleles, "site_id").drop("site_id"))
+    store.publish(v.scores.join(alleles.hint("merge"), "site_id").drop("site_id"))
     spec = S.ScoreSpec(("chrom", "pos", "ref", "alt"), ("transcript_base", "copy_no"))
-    return store.lookup(asked(v).join(alleles, "site_id"), spec).select("site_id", "k", "status", "match", "score")
+    return store.lookup(asked(v).join(alleles.hint("merge"), "site_id"), spec).select("site_id", "k", "status", "match", "score")
 
 
 @on_views("e02_scores_out_of_range", ("fx_scores", "fx_sites"), "SELECT transcript_base || '.44' AS transcript, score AS made_score, 'made_score' AS outputs FROM fx_scores JOIN fx_sites USING (site_id) WHERE score > 0.9 OR score < 0")
