@@ -363,6 +363,9 @@ def left_aligned(v):
     rows = rows.withColumns({"sequence": F.concat(F.lit("T"), F.repeat("u", F.col("times")), F.lit("NNNN")), "size": F.length("u")})
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / P.CHUNK).cast("int")), lambda i: F.struct(i.cast("long").alias("chunk"), F.substring("sequence", i * P.CHUNK + 1, F.lit(P.CHUNK)).alias("bases")))
     chunks = rows.select("chrom", F.inline(pieces)).withColumnRenamed("bases", "sequence")
+    path = scratch_path(rows.sparkSession, "chunks")  # each round reads the sequence: it's made once
+    chunks.write.parquet(path)
+    chunks = rows.sparkSession.read.parquet(path)
     at = (1 + n % (F.col("size") * (F.col("times") - 1))).cast("int")  # the base in front of the indel
     base, turned = F.substring("sequence", at, F.lit(1)), F.substring("sequence", at + 1, F.col("size"))
     long, short = F.concat(base, turned), base
