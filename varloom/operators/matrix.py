@@ -119,3 +119,14 @@ def element_summary(packed: DataFrame, members: DataFrame) -> DataFrame:
     found = F.transform(_contexts(members), lambda x: F.struct(x["ontology_id"].alias("o"), F.transform(F.filter(x["members"], lambda m: F.coalesce(F.get("codes", m["sample"]) > 0, F.lit(False))), lambda m: m["donor"]).alias("d")))
     rows = packed.select("row_index", F.filter(found, lambda x: F.size(x["d"]) > 0).alias("f")).filter(F.size("f") > 0)
     return rows.select("row_index", F.size("f").cast("long").alias("contexts"), F.size(F.array_distinct(F.flatten(F.transform("f", lambda x: x["d"])))).cast("long").alias("donors"))
+
+
+def overlap_summary(packed: DataFrame, members: DataFrame) -> DataFrame:
+    """row_index with how many tissues and contexts detect it, and how many contexts are mixed; elements that no context has read aren't there."""
+    own = F.transform(_contexts(members), lambda x: _read(F.transform(x["members"], lambda m: F.get("codes", m["sample"]))))
+    rows = packed.select("row_index", _read(F.col("codes")).alias("c"), F.filter(own, lambda x: F.size(x) > 0).alias("own")).filter(F.size("own") > 0)
+    counts = {
+        "tissues_detected": _some(F.col("c")), "tissues": F.col("c"), "contexts_detected": F.filter("own", lambda x: F.size(_some(x)) > 0),
+        "contexts": F.col("own"), "mixed": F.filter("own", lambda x: F.size(_specific(x)) > 1),
+    }
+    return rows.select("row_index", *[F.size(a).cast("long").alias(name) for name, a in counts.items()])

@@ -69,13 +69,6 @@ def curated_status(per: DataFrame) -> DataFrame:
     return per.select("row_index", "ontology_id", status.alias("status"), (F.size("specific") > 1).alias("discordant"), evidence.alias("evidence"))
 
 
-def overlap_summary(tissues: DataFrame, contexts: DataFrame) -> DataFrame:
-    """row_index with how many tissues and contexts detect it, and how many contexts are mixed."""
-    a = tissues.groupBy("row_index").agg(F.count_if(F.col("class") != "inactive").alias("tissues_detected"), F.count("*").alias("tissues"))
-    b = contexts.groupBy("row_index").agg(F.count_if(F.col("detected") > 0).alias("contexts_detected"), F.count("*").alias("contexts"), F.count_if(F.col("state") == "mixed").alias("mixed"))
-    return a.join(b, "row_index")
-
-
 def filter_contexts(sites: DataFrame, overlaps: DataFrame, contexts: DataFrame, wanted: list[str], mode: str = "any") -> DataFrame:
     """Sites with an overlapping element that is detected in any, or altogether in all, of the wanted contexts."""
     if not wanted or mode not in ("any", "all") or contexts.filter(F.col("ontology_id").isin(*wanted)).agg(F.countDistinct("ontology_id")).first()[0] < len(set(wanted)):

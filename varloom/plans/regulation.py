@@ -66,8 +66,7 @@ def curated(v):
 
 @on_views("a25_overlap_summary", CP, "SELECT row_index, td AS tissues_detected, t AS tissues, cd AS contexts_detected, c AS contexts, mixed FROM (SELECT row_index, count(*) FILTER (WHERE code > 0) AS td, count(*) AS t FROM fx_codes GROUP BY 1) JOIN (SELECT row_index, count(*) FILTER (WHERE detected > 0) AS cd, count(*) AS c, count(*) FILTER (WHERE state = 'mixed') AS mixed FROM cx GROUP BY 1) USING (row_index)", MEMBERS, CONTEXT)
 def summary(v):
-    rows = packed(v)
-    return R.overlap_summary(M.tissue_evidence(rows), M.context_evidence(rows, members(v)))
+    return M.overlap_summary(packed(v), members(v))
 
 
 def _filtered(v, mode):
