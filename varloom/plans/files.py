@@ -27,19 +27,33 @@ def block_of() -> Column:
 
 
 def vcf_lines(v: Views) -> DataFrame:
-    """Lines of all calls: a second ALT G on every third site, consequences by number or by allele."""
+    """Lines of all calls: a second ALT G on every third site, consequences by number or by allele.
+
+    Calls are dealt once, by site, which serves both the lines and the sites that they meet. A line's call or two are put between runs of uncalled cells.
+    """
     number = F.substring("sample_id", 2, 12).cast("long")
     text = F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"))
-    calls = v.calls.groupBy("site_id", F.floor(number / BLOCK).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((number % BLOCK).cast("int"), text))).alias("m"))
+    calls = v.calls.select("site_id", F.floor(number / BLOCK).alias("block"), (number % BLOCK).cast("int").alias("place"), text.alias("text")).repartition("site_id")
+    calls = calls.groupBy("site_id", "block").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("calls"))
+    uncalled = lambda n: F.repeat(F.lit("\t./."), n)
+    put = lambda done, c: F.struct((c["place"] + 1).alias("n"), F.concat(done["text"], uncalled(c["place"] - done["n"]), F.lit("\t"), c["text"]).alias("text"))
+    cells = F.aggregate("calls", F.struct(F.lit(0).alias("n"), F.lit("").alias("text")), put, lambda done: F.concat(done["text"], uncalled(BLOCK - done["n"])))
     n = F.col("site_id")
     entry = F.transform(F.col("genes"), lambda g: F.concat_ws("|", F.col("alt"), F.lit("missense%20variant"), g, F.when(n % 2 == 0, "1").otherwise("")))
     genes = v.annotations.groupBy("site_id").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
-    rows = v.sites.join(genes, "site_id").join(calls, "site_id")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit("./.")))
     alts = F.when(n % 3 == 0, F.concat("alt", F.lit(",TTTTTTTTT"))).otherwise(F.col("alt"))
-    name = F.concat_ws("_", n.cast("string"), F.col("block").cast("string"))
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), name, "ref", alts, F.lit("."), F.when(n % 5 == 0, "LowQual").otherwise("PASS"), F.concat(F.lit("DB;CSQ="), F.array_join(entry, ",")), F.lit("GT:DP:GQ"), F.array_join(cells, "\t"))
-    return rows.select(line.alias("value"))
+    # made once a site, before its lines are met
+    place = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), n.cast("string"))
+    rest = F.concat_ws("\t", "ref", alts, F.lit("."), F.when(n % 5 == 0, "LowQual").otherwise("PASS"), F.concat(F.lit("DB;CSQ="), F.array_join(entry, ",")), F.lit("GT:DP:GQ"))
+    sites = v.sites.join(genes, "site_id").select("site_id", place.alias("place"), rest.alias("rest"))
+    return sites.join(calls, "site_id").select(F.concat("place", F.lit("_"), F.col("block").cast("string"), F.lit("\t"), "rest", cells).alias("value"))
+
+
+def lines_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines written as text and read again. The files are compressed, as most of a line are uncalled cells."""
+    path = scratch_path(spark, "vcf")
+    vcf_lines(Views(spark, sf_dir)).write.text(path, compression="gzip")
+    return V.read_lines(spark, path)
 
 
 def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +90,7 @@ def consequences(spark, sf_dir):
 @query("s26_sample_projection", oracle(("fx_sites", "fx_calls"), "SELECT site_id, block, coalesce(a.gt, './.') AS first_gt, coalesce(b.gt, './.') AS second_gt FROM st LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 1) a USING (site_id, block) LEFT JOIN (SELECT site_id, block, gt FROM bl WHERE place = 4) b USING (site_id, block) WHERE site_id % 5 <> 0 AND (contains(coalesce(a.gt, ''), '1') OR contains(coalesce(b.gt, ''), '1'))", KEYED, VCF))
 def projection(spark, sf_dir):
     """Two samples of each block: what a projection is for."""
-    path = scratch_path(spark, "vcf")
-    vcf_lines(Views(spark, sf_dir)).write.text(path)
-    rows, _ = V.projection(V.records(V.read_lines(spark, path)), SAMPLES, ("C1", "C4"))
+    rows, _ = V.projection(V.records(lines_written(spark, sf_dir)), SAMPLES, ("C1", "C4"))
     return rows.select(site_of().alias("site_id"), block_of().alias("block"), F.substring_index(F.col("samples")[0], ":", 1).alias("first_gt"), F.substring_index(F.col("samples")[1], ":", 1).alias("second_gt"))
 
 
