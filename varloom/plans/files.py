@@ -58,9 +58,7 @@ def lines_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines written as text and read again as ALT rows."""
-    path = scratch_path(spark, "vcf")
-    vcf_lines(Views(spark, sf_dir)).write.text(path)
-    return V.alleles(V.records(V.read_lines(spark, path)))
+    return V.alleles(V.records(lines_written(spark, sf_dir)))
 
 
 VCF = f"""
