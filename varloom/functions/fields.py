@@ -40,6 +40,12 @@ def info_map(info: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def info_value(info: Column, key: str) -> Column:
+    """One value of an INFO field, as `info_map` has it, without the others."""
+    own = F.filter(F.split(info, ";"), lambda x: (x == key) | x.startswith(key + "="))
+    return F.get(F.reverse(F.transform(own, lambda x: F.when(x == key, "1").otherwise(F.substring(x, len(key) + 2, 2**31 - 1)))), F.lit(0))
+
+
 def percent_decoded(text: Column) -> Column:
     """%XX decoded; a plus sign is itself. Text without % is returned as it is; broken escapes leave the text alone."""
     return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)).otherwise(text)

@@ -102,7 +102,8 @@ def consequences(allele_rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     Number, exact and minimised alleles decide in turn; of a record with one ALT and no match all entries are taken.
     """
     kept = ["id"] if "id" in allele_rows.columns else []
-    rows = allele_rows.withColumn("_all", X.csq_entries(X.info_map(F.col("info"))["CSQ"], list(fields)))
+    # a column, so that INFO is searched once
+    rows = allele_rows.withColumn("_csq", X.info_value(F.col("info"), "CSQ")).withColumn("_all", X.csq_entries(F.col("_csq"), list(fields)))
     own = F.filter("_all", lambda e: X.attributed(F.coalesce(e["ALLELE_NUM"], F.lit("")) if "ALLELE_NUM" in fields else F.lit(""), e["Allele"] if "Allele" in fields else F.lit(""), F.col("ref"), F.col("alts"), F.col("alt_index")))
     # a column, so that the filter is done once
     rows = rows.withColumn("_own", own)
